@@ -79,8 +79,14 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.select(*others, _features_as_doubles(df).alias("features"))
 
 
-def _rules(df: DataFrame, flag_nan: bool) -> list[tuple[str, Column]]:
-    parsed = _features_as_doubles(df)
+def _parsed(df: DataFrame) -> DataFrame:
+    """Required columns with the coerced features beside the raw ones, parsed once per row."""
+    require_columns(df)
+    return df.select(*REQUIRED, _features_as_doubles(df).alias("_parsed"))
+
+
+def _rules(flag_nan: bool) -> list[tuple[str, Column]]:
+    parsed = F.col("_parsed")
     rules = [
         ("missing_window_id", F.col("window_id").isNull()),
         ("missing_label", F.col("label").isNull()),
@@ -95,19 +101,15 @@ def _rules(df: DataFrame, flag_nan: bool) -> list[tuple[str, Column]]:
 
 def violations(df: DataFrame, flag_nan: bool = False) -> DataFrame:
     """One row ``(window_id, rule)`` for each broken row rule; narrow, no shuffle."""
-    require_columns(df)
-    broken = F.array_compact(
-        F.array(*[F.when(test, F.lit(name)) for name, test in _rules(df, flag_nan)])
-    )
-    return df.select(F.col("window_id").cast("string"), F.explode(broken).alias("rule"))
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in _rules(flag_nan)]))
+    return _parsed(df).select(F.col("window_id").cast("string"), F.explode(broken).alias("rule"))
 
 
 def violation_counts(df: DataFrame, flag_nan: bool = False) -> DataFrame:
     """One row: how many rows break each rule, in a single pass."""
-    require_columns(df)
-    return df.agg(
+    return _parsed(df).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(test).alias(name) for name, test in _rules(df, flag_nan)],
+        *[F.count_if(test).alias(name) for name, test in _rules(flag_nan)],
     )
 
 
@@ -134,20 +136,30 @@ def check(df: DataFrame) -> bool:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Conformed table, or :class:`ContractError` naming what is wrong."""
-    counts = violation_counts(df).first().asDict()
-    counts.pop("n_rows")
-    problems = {name: n for name, n in counts.items() if n}
-    conformed = conform(df)
-    if not problems:
-        shape = feature_dimension(conformed).first()
-        if shape["uniform"] is False:
-            problems["ragged_features"] = f"{shape['min_dim']}..{shape['max_dim']}"
-        if not duplicate_ids(conformed).isEmpty():
-            problems["duplicate_window_id"] = "yes"
+    """Conformed table, or :class:`ContractError` naming what is wrong.
+
+    One pass over the rows counts every broken rule and the range of feature lengths; a second,
+    reading only the ids, looks for duplicates.
+    """
+    rules = _rules(flag_nan=False)
+    length = F.size("_parsed")
+    counts = (
+        _parsed(df)
+        .agg(
+            *[F.count_if(test).alias(name) for name, test in rules],
+            F.min(length).alias("low"),
+            F.max(length).alias("high"),
+        )
+        .first()
+    )
+    problems = {name: counts[name] for name, _ in rules if counts[name]}
+    if not problems and counts["low"] != counts["high"]:
+        problems["ragged_features"] = f"{counts['low']}..{counts['high']}"
+    if not problems and not duplicate_ids(df).isEmpty():
+        problems["duplicate_window_id"] = "yes"
     if problems:
         raise ContractError("; ".join(f"{name}: {n}" for name, n in problems.items()))
-    return conformed
+    return conform(df)
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,16 +70,24 @@ class Split:
         return joined.select(*df.columns, known.alias(output))
 
 
-def _bucket_counts(df: DataFrame, seed: int, digits: int) -> DataFrame:
-    keyed = df.select("label", F.substring(sort_key(seed), 1, digits).alias("bucket"))
+def _bucket_counts(ids: DataFrame, seed: int, digits: int) -> DataFrame:
+    """Rows per (label, hash bucket); combined before the shuffle, so tiny after it."""
+    keyed = ids.select("label", F.substring(sort_key(seed), 1, digits).alias("bucket"))
     return keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _class_sizes(buckets: DataFrame) -> dict[str, int]:
+    rows = buckets.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
+    return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"])}
+
+
 def _boundary_keys(
-    df: DataFrame, seed: int, cuts: dict[str, list[int]], digits: int
+    ids: DataFrame, buckets: DataFrame, seed: int, cuts: dict[str, list[int]], digits: int
 ) -> dict[str, list[str]]:
     """Sort key of the row at each cut rank, 0-based within its class."""
-    spark = df.sparkSession
+    spark = ids.sparkSession
     wanted = [(label, rank) for label, ranks in cuts.items() for rank in sorted(set(ranks))]
     if not wanted:
         return {}
@@ -90,25 +99,25 @@ def _boundary_keys(
             }
         )
     )
+    # Everything broadcast or fetched here has one row per class and cut: at most
+    # MAX_CLASSES * (parts - 1).
     running = Window.partitionBy("label").orderBy("bucket")
     located = (
-        _bucket_counts(df, seed, digits)
-        .withColumn("start", F.sum("n").over(running) - F.col("n"))
+        buckets.withColumn("start", F.sum("n").over(running) - F.col("n"))
         .join(F.broadcast(cut_table), "label")
         .where("rank >= start and rank < start + n")
         .select("label", "bucket", (F.col("rank") - F.col("start")).alias("offset"), "rank")
         .toArrow()
     )
-    targets = F.broadcast(spark.createDataFrame(located))
-    hit_buckets = targets.select("label", "bucket").distinct()
-    candidates = df.select("label", sort_key(seed).alias("key")).withColumn(
+    targets = spark.createDataFrame(located)
+    candidates = ids.select("label", sort_key(seed).alias("key")).withColumn(
         "bucket", F.substring("key", 1, digits)
     )
     order = Window.partitionBy("label", "bucket").orderBy("key")
     found = (
-        candidates.join(F.broadcast(hit_buckets), ["label", "bucket"], "left_semi")
+        candidates.join(F.broadcast(targets), ["label", "bucket"], "left_semi")
         .withColumn("offset", (F.row_number().over(order) - 1).cast("long"))
-        .join(targets, ["label", "bucket", "offset"])
+        .join(F.broadcast(targets), ["label", "bucket", "offset"])
         .select("label", "rank", "key")
         .collect()
     )
@@ -116,20 +125,23 @@ def _boundary_keys(
     return {label: [keys[label, rank] for rank in ranks] for label, ranks in cuts.items()}
 
 
-def _class_sizes(df: DataFrame) -> dict[str, int]:
-    rows = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
-    return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"])}
-
+def _fit(df: DataFrame, seed: int, parts: int, digits: int, starts_for) -> Split:
+    """Find the boundary keys of parts whose first ranks ``starts_for(class sizes)`` gives.
 
-def _bounds_for(
-    df: DataFrame, seed: int, sizes: dict[str, int], starts: dict[str, list[int]], digits: int
-) -> dict[str, list[str]]:
-    """Boundary keys for parts starting at the given ranks; a start past the end is never met."""
-    inner = {c: [r for r in starts[c] if 0 < r < sizes[c]] for c in sizes}
-    keys = _boundary_keys(df, seed, {c: r for c, r in inner.items() if r}, digits)
-    return {c: [""] * sum(1 for r in starts[c] if r <= 0) + keys.get(c, []) for c in sizes}
+    A start at or below 0 lies under every key; a start past the end of a class is never met.
+    """
+    ids = df.select("window_id", "label")
+    buckets = _bucket_counts(ids, seed, digits).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = _class_sizes(buckets)
+        starts = starts_for(sizes)
+        inner = {c: [r for r in starts[c] if 0 < r < sizes[c]] for c in sizes}
+        cuts = {c: ranks for c, ranks in inner.items() if ranks}
+        keys = _boundary_keys(ids, buckets, seed, cuts, digits)
+    finally:
+        buckets.unpersist()
+    empty = {c: [""] * sum(1 for r in starts[c] if r <= 0) for c in sizes}
+    return Split(seed, parts, {c: empty[c] + keys.get(c, []) for c in sizes})
 
 
 def fold_quotas(sizes: dict[str, int], k: int) -> dict[str, list[int]]:
@@ -155,10 +167,11 @@ def fit_folds(
     """Stratified k-fold split of ``(window_id, label)``."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    ids = df.select("window_id", "label")
-    sizes = _class_sizes(ids)
-    starts = {label: _starts(q) for label, q in fold_quotas(sizes, k).items()}
-    return Split(seed, k, _bounds_for(ids, seed, sizes, starts, digits))
+
+    def starts(sizes: dict[str, int]) -> dict[str, list[int]]:
+        return {label: _starts(quotas) for label, quotas in fold_quotas(sizes, k).items()}
+
+    return _fit(df, seed, k, digits, starts)
 
 
 def holdout_quotas(sizes: dict[str, int], test_size: float) -> dict[str, int]:
@@ -177,10 +190,11 @@ def fit_holdout(
     df: DataFrame, seed: int = SEED, test_size: float = 0.2, digits: int = BUCKET_DIGITS
 ) -> Split:
     """Stratified train/test split; part 0 is the test set, part 1 the training set."""
-    ids = df.select("window_id", "label")
-    sizes = _class_sizes(ids)
-    starts = {c: [q] for c, q in holdout_quotas(sizes, test_size).items()}
-    return Split(seed, 2, _bounds_for(ids, seed, sizes, starts, digits))
+
+    def starts(sizes: dict[str, int]) -> dict[str, list[int]]:
+        return {label: [quota] for label, quota in holdout_quotas(sizes, test_size).items()}
+
+    return _fit(df, seed, 2, digits, starts)
 
 
 def assign_folds(df: DataFrame, seed: int = SEED, k: int = FOLDS) -> DataFrame:

@@ -49,9 +49,11 @@ def stack_matrix(oof: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
-def with_labels(stack: DataFrame, windows: DataFrame) -> DataFrame:
-    """Add labels by id, reading only the two columns needed."""
-    return stack.join(windows.select("window_id", "label"), "window_id")
+def with_labels(
+    stack: DataFrame, windows: DataFrame, columns: Sequence[str] = ("label",)
+) -> DataFrame:
+    """Add the label (and fold, when asked) by id, reading only the columns needed."""
+    return stack.join(windows.select("window_id", *columns), "window_id")
 
 
 def zero_rows(oof: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -13,12 +14,21 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstack.operators.classes import class_list, index_labels
+from foldstack.operators.classes import MAX_CLASSES, index_labels
 from foldstack.operators.splits import SEED, training, validation
 from foldstack.plans.models import WEIGHTED, FitContext, get_model, settings_for
 from foldstack.sources.scratch import checkpoint_dir
 
 
+# The layout depends only on the table, never on the cluster: a floor for small tables and a
+# byte target per partition beyond it.
+MIN_PARTITIONS = 8
+PARTITION_BYTES = 512 * 1024**2
+# Fits run side by side only while the whole table is small; a large fit fills the cluster alone,
+# and every learner keeps its own copy of its rows.
+SIDE_BY_SIDE_BYTES = 1024**3
+
+
 @dataclass(frozen=True)
 class TrainingFrame:
     """Rows ``(window_id, label, fold, y, <input>)`` plus the counts the models need.
@@ -40,6 +50,32 @@ class TrainingFrame:
                     sizes[code] = sizes.get(code, 0) + n
         return sizes
 
+    def parallelism(self, asked: int | None) -> int:
+        if asked is not None:
+            return max(1, asked)
+        n_bytes = sum(self.class_sizes().values()) * self.n_features * 8
+        return 4 if n_bytes <= SIDE_BY_SIDE_BYTES else 1
+
+
+def _fold_counts(df: DataFrame) -> tuple[list[str], dict[int, dict[int, int]]]:
+    """Sorted labels and rows per fold and class code, from a scan of the narrow columns."""
+    per_fold = df.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    folds = per_fold.groupBy("label").agg(
+        F.collect_list(F.struct("fold", "n")).alias("folds")
+    )
+    rows = folds.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct labels: not a class column")
+    if not rows:
+        raise ValueError("no training rows")
+    labels = sorted(r["label"] for r in rows)
+    code = {label: i for i, label in enumerate(labels)}
+    counts: dict[int, dict[int, int]] = {}
+    for r in rows:
+        for part in r["folds"]:
+            counts.setdefault(part["fold"], {})[code[r["label"]]] = part["n"]
+    return labels, counts
+
 
 @contextmanager
 def training_frame(
@@ -47,37 +83,29 @@ def training_frame(
 ) -> Iterator[TrainingFrame]:
     """Lay the rows out once for all fits and release them afterwards.
 
-    Tree learners sample per partition, so rows are hashed by id into a fixed number of
-    partitions and sorted inside them: the same table gives the same models on any cluster. The
-    layout is kept in memory and on disk for the k fits; lost blocks are rebuilt from the input.
+    Tree learners sample per partition, so rows are hashed by id into a number of partitions that
+    depends on the table alone and sorted inside them: the same table gives the same models on
+    any cluster. That one shuffle serves all k fits, each of which passes over the rows many
+    times. The layout is kept in memory and on disk; lost blocks are rebuilt from the input.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    labels = class_list(df)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = df.select("window_id", "label", "fold", F.col(input_col).cast("array<double>").alias(input_col))
+    labels, counts = _fold_counts(df)
+    n_rows = sum(n for per_class in counts.values() for n in per_class.values())
+    values = F.col(input_col).cast("array<double>")
+    width = df.select(F.size(values).alias("n")).first()["n"]
+    if partitions is None:
+        partitions = max(MIN_PARTITIONS, math.ceil(n_rows * width * 8 / PARTITION_BYTES))
+    ragged = F.raise_error(F.concat(F.lit("ragged features in window "), F.col("window_id")))
+    even = F.when(F.size(values) == width, values).otherwise(ragged.cast("array<double>"))
     laid_out = (
-        index_labels(narrow, labels)
-        .repartition(n, "window_id")
+        index_labels(df.select("window_id", "label", "fold", even.alias(input_col)), labels)
+        .repartition(partitions, "window_id")
         .sortWithinPartitions("window_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        width = F.size(input_col)
-        per_class = (
-            laid_out.groupBy("fold", F.col("y").cast("int").alias("code"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(width).alias("low"), F.max(width).alias("high"))
-            .collect()
-        )
-        if not per_class:
-            raise ValueError("no training rows")
-        widths = {r[x] for r in per_class for x in ("low", "high")}
-        if len(widths) != 1:
-            raise ValueError(f"ragged features: {min(widths)}..{max(widths)} values per window")
-        counts: dict[int, dict[int, int]] = {}
-        for r in per_class:
-            counts.setdefault(r["fold"], {})[r["code"]] = r["n"]
-        yield TrainingFrame(laid_out, labels, counts, widths.pop(), input_col)
+        yield TrainingFrame(laid_out, labels, counts, width, input_col)
     finally:
         laid_out.unpersist()
 
@@ -95,7 +123,7 @@ def fit_model(
     seed: int = SEED,
     without: int | None = None,
     size: str = "full",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     **overrides,
 ) -> PipelineModel:
     """Fit on every row outside fold ``without``, or on all rows."""
@@ -112,7 +140,7 @@ def fit_model(
         seed=seed,
         input_col=frame.input_col,
         weight_col=weight_col,
-        parallelism=parallelism,
+        parallelism=frame.parallelism(parallelism),
         settings=settings_for(name, size, **overrides),
     )
     return get_model(name, context).fit(rows)
@@ -133,11 +161,14 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def cross_validate(
     frame: TrainingFrame,
     fit: Callable[[int], PipelineModel],
-    parallelism: int = 4,
+    parallelism: int | None = None,
 ) -> DataFrame:
-    """Score each fold with a model that never saw it; the fits run side by side."""
+    """Score each fold with a model that never saw it; small fits run side by side."""
     folds = sorted(frame.counts)
-    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
+    threads = min(frame.parallelism(parallelism), len(folds))
+    if threads > 1:
+        frame.rows.count()  # fill the cache once, before the fits race for it
+    with ThreadPool(threads) as pool:
         work = inheritable_thread_target(frame.rows.sparkSession)(fit)
         models = pool.map(work, folds)
     scored = [score(m, validation(frame.rows, f)) for f, m in zip(folds, models)]

@@ -104,7 +104,7 @@ def evaluate(
     run_id: str = "dev",
     git_sha: str = "unknown",
     size: str = "full",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Stratified k-fold evaluation; writes metrics, confusion matrices and a run row.
@@ -147,7 +147,7 @@ def generate_oof(
     name: str,
     seed: int = SEED,
     size: str = "full",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     base: str | None = None,
     **overrides,
 ) -> DataFrame:
@@ -179,7 +179,7 @@ def oof(
     seed: int = SEED,
     k: int = FOLDS,
     size: str = "full",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Generate and store one model's out-of-fold table; returns its coverage.
@@ -201,7 +201,7 @@ def stack_train(
     stacker: str = STACKER,
     git_sha: str = "unknown",
     size: str = "full",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Cross-validate and fit the stacker on stored out-of-fold tables."""
@@ -210,13 +210,14 @@ def stack_train(
     base_oof = tables.load_oof(spark, base, models, seed)
     folds = tables.load_folds(spark, base, seed, k)
     stack = stacking.stack_matrix(base_oof, models)
-    labelled = splits.attach_folds(stacking.with_labels(stack, folds), folds)
+    labelled = stacking.with_labels(stack, folds, ("label", "fold"))
     with training_frame(labelled, input_col="stack") as frame:
         pred = cross_validate(
             frame,
             lambda fold: fit_model(frame, stacker, seed, fold, size, parallelism, **overrides),
             parallelism,
         )
+        pred = pred.persist(StorageLevel.MEMORY_AND_DISK)  # scored once, read by both aggregates
         pooled = metrics.metric_bundle(pred).first()
         cells = metrics.confusion_counts(pred, ["fold"])
         record = _cross_validated(cells, "macro", STACKER, seed, k).select(
@@ -225,6 +226,7 @@ def stack_train(
             F.lit(pooled["logloss"]).cast("double").alias("logloss"),
         )
         tables.save_metrics(record, base, STACKER)
+        pred.unpersist()
         final = fit_model(frame, stacker, seed, None, size, parallelism, **overrides)
         tables.save_model(final, base, STACKER)
     saved = tables.load_metrics(spark, base, [STACKER])

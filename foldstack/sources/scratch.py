@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -34,11 +33,6 @@ def scratch_uri(spark: SparkSession, name: str) -> str:
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
-    """Does anything readable live at ``uri``?"""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-        return not files.select("path").isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """One metadata call, however many files lie below ``uri``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
