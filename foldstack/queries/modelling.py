@@ -20,13 +20,18 @@ SIZE = "quick"
 _bases: dict[tuple[str, str], str] = {}
 
 
+def _landed(spark: SparkSession, sf: str) -> str:
+    """A fresh base URI holding the embeddings as training table."""
+    base = scratch.scratch_uri(spark, "workspace")
+    jobs.ingest(spark, base, fx.windows(spark, sf))
+    return base
+
+
 def workspace(spark: SparkSession, sf: str) -> str:
-    """Base URI holding the landed embeddings table, one per application and input."""
+    """The base URI shared by the queries of one application and input."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _bases:
-        base = scratch.scratch_uri(spark, "workspace")
-        jobs.ingest(spark, base, fx.windows(spark, sf))
-        _bases[key] = base
+        _bases[key] = _landed(spark, sf)
     return _bases[key]
 
 
@@ -73,11 +78,11 @@ def oof_fold_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_model(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.train(spark, workspace(spark, sf), "rf", size=SIZE)
+    return jobs.train(spark, _landed(spark, sf), "rf", size=SIZE)
 
 
 def evaluate_model(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.evaluate(spark, workspace(spark, sf), "logreg", size=SIZE)
+    return jobs.evaluate(spark, _landed(spark, sf), "logreg", size=SIZE)
 
 
 def split_reuse(spark: SparkSession, sf: str) -> DataFrame:
