@@ -42,6 +42,10 @@ class Split:
     parts: int
     bounds: dict[str, list[str]]
 
+    def __post_init__(self):
+        if len(self.bounds) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per class: ``(label, bounds)``."""
         labels = sorted(self.bounds)
@@ -67,7 +71,8 @@ class Split:
             F.concat(F.lit("label not in the stored split: "), F.coalesce("label", F.lit("null")))
         ).cast("int")
         known = F.when(F.col("_bounds").isNotNull(), part).otherwise(unknown)
-        return joined.select(*df.columns, known.alias(output))
+        kept = [c for c in df.columns if c != output]
+        return joined.select(*kept, known.alias(output))
 
 
 def _bucket_counts(ids: DataFrame, seed: int, digits: int) -> DataFrame:

@@ -20,10 +20,12 @@ from foldstack.plans.models import WEIGHTED, FitContext, get_model, settings_for
 from foldstack.sources.scratch import checkpoint_dir
 
 
-# The layout depends only on the table, never on the cluster: a floor for small tables and a
-# byte target per partition beyond it.
+# The layout depends only on the table, never on the cluster: small partitions that keep many
+# cores busy, growing once their number would burden the shuffle.
 MIN_PARTITIONS = 8
-PARTITION_BYTES = 512 * 1024**2
+MANY_PARTITIONS = 16_384
+SMALL_PARTITION = 128 * 1024**2
+LARGE_PARTITION = 1024**3
 # Fits run side by side only while the whole table is small; a large fit fills the cluster alone,
 # and every learner keeps its own copy of its rows.
 SIDE_BY_SIDE_BYTES = 1024**3
@@ -77,6 +79,12 @@ def _fold_counts(df: DataFrame) -> tuple[list[str], dict[int, dict[int, int]]]:
     return labels, counts
 
 
+def layout_partitions(n_bytes: int) -> int:
+    small = math.ceil(n_bytes / SMALL_PARTITION)
+    large = math.ceil(n_bytes / LARGE_PARTITION)
+    return max(MIN_PARTITIONS, min(small, max(MANY_PARTITIONS, large)))
+
+
 @contextmanager
 def training_frame(
     df: DataFrame, input_col: str = "features", partitions: int | None = None
@@ -95,7 +103,7 @@ def training_frame(
     values = F.col(input_col).cast("array<double>")
     width = df.select(F.size(values).alias("n")).first()["n"]
     if partitions is None:
-        partitions = max(MIN_PARTITIONS, math.ceil(n_rows * width * 8 / PARTITION_BYTES))
+        partitions = layout_partitions(n_rows * width * 8)
     ragged = F.raise_error(F.concat(F.lit("ragged features in window "), F.col("window_id")))
     even = F.when(F.size(values) == width, values).otherwise(ragged.cast("array<double>"))
     laid_out = (

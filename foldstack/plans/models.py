@@ -37,7 +37,7 @@ STACKER = "stack"
 FULL = {
     "logreg": {"max_iter": 1000},
     "rf": {"trees": 1000, "depth": 30},
-    "xgb": {"rounds": 500, "depth": 6, "step": 0.05, "rows": 0.8, "columns": "0.8"},
+    "xgb": {"rounds": 500, "depth": 6, "step": 0.05, "rows": 0.8, "columns": "0.8", "bins": 256},
     "rwkv_ts": {"hidden": 128, "max_iter": 100},
     "cnn_transformer": {"hidden": 128, "max_iter": 100},
     "stack": {"trees": 1000, "depth": 30},
@@ -45,7 +45,7 @@ FULL = {
 QUICK = {
     "logreg": {"max_iter": 50},
     "rf": {"trees": 20, "depth": 6},
-    "xgb": {"rounds": 2, "depth": 2, "step": 0.3, "rows": 0.8, "columns": "0.8"},
+    "xgb": {"rounds": 2, "depth": 2, "step": 0.3, "rows": 0.8, "columns": "0.8", "bins": 32},
     "rwkv_ts": {"hidden": 16, "max_iter": 20},
     "cnn_transformer": {"hidden": 16, "max_iter": 20},
     "stack": {"trees": 20, "depth": 6},
@@ -136,6 +136,7 @@ def boosted(context: FitContext) -> Pipeline:
         stepSize=s["step"],
         subsamplingRate=s["rows"],
         featureSubsetStrategy=s["columns"],
+        maxBins=s["bins"],
         seed=context.seed,
     )
     return _wrap(context, FLAT, booster, left_over)

@@ -254,7 +254,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT window_id, features, unnest(range(1, len(features) + 1)) AS i FROM windows))
         SELECT window_id, CAST(i - 1 AS INTEGER) AS c,
         {_value('exp(x) / sum(exp(x)) OVER (PARTITION BY window_id)')} FROM flat""",
-    "prediction_rows": f"""WITH {PRED} SELECT window_id, predicted AS prediction, {", ".join(
+    "prediction_table": f"""WITH {PRED} SELECT window_id, predicted AS prediction, {", ".join(
         f"round(proba[{i + 1}], 6) AS prob_class_{i}" for i in range(N_CLASSES))} FROM pred""",
     "accuracy_by_fold": f"""{_FOLD_PRED} SELECT fold,
         round(avg(CAST(actual = predicted AS DOUBLE)), 6) AS accuracy, count(*) AS n
@@ -343,5 +343,5 @@ ORACLE: dict[str, str] = {
                CASE WHEN vec_id % 2 = 0 THEN 'class_A' ELSE 'class_B' END AS label,
                CAST(c AS INTEGER) AS c,
                {_value(f'sqrt(-2 * ln({_uniform(0)})) * cos(2 * pi() * {_uniform(1)})')} FROM ids""",
-    "ingest_windows": f"WITH {LARGE} SELECT label, count(*) AS n FROM large GROUP BY label",
+    "ingest": f"WITH {LARGE} SELECT label, count(*) AS n FROM large GROUP BY label",
 }

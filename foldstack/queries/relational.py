@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foldstack.functions import arrays, sequence
 from foldstack.operators import classes, contract, metrics, splits, stacking
 from foldstack.plans.audit import FAIL, OK, verdict
-from foldstack.plans.jobs import ingest, prediction_table
+from foldstack.plans import jobs
 from foldstack.queries import fixtures as fx
 from foldstack.queries.fixtures import round6
 from foldstack.sources import artifacts, scratch, tables
@@ -195,9 +195,9 @@ def softmax_rows(spark, sf):
     return fx.channels_long(soft, F.col("s"))
 
 
-def prediction_rows(spark, sf):
+def prediction_table(spark, sf):
     scored = fx.multiclass_predictions(spark, sf).withColumn("prediction", F.col("predicted"))
-    result = prediction_table(scored, fx.N_CLASSES)
+    result = jobs.prediction_table(scored, fx.N_CLASSES)
     return result.select(
         "window_id",
         "prediction",
@@ -415,9 +415,9 @@ def synthetic_windows(spark, sf):
     return cells.select("window_id", "label", "c", round6(F.col("x")).alias("value"))
 
 
-def ingest_windows(spark, sf):
+def ingest(spark, sf):
     """Validate, land and read back the large table."""
-    return ingest(spark, scratch.scratch_uri(spark, "ingest"), fx.large_windows(spark, sf))
+    return jobs.ingest(spark, scratch.scratch_uri(spark, "ingest"), fx.large_windows(spark, sf))
 
 
 QUERIES: dict[str, Query] = {
@@ -450,7 +450,7 @@ QUERIES: dict[str, Query] = {
         folds_joined,
         argmax_confidence,
         softmax_rows,
-        prediction_rows,
+        prediction_table,
         accuracy_by_fold,
         fold_metrics,
         fold_mean_metrics,
@@ -484,6 +484,6 @@ QUERIES: dict[str, Query] = {
         seq_pool,
         seq_patch,
         synthetic_windows,
-        ingest_windows,
+        ingest,
     )
 }

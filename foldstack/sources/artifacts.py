@@ -40,7 +40,10 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def artifact_hashes(
-    spark: SparkSession, root: str, patterns: Sequence[str] = PATTERNS
+    spark: SparkSession,
+    root: str,
+    patterns: Sequence[str] = PATTERNS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """``(rel_path, sha256)`` of each matching file below ``root``, the manifest excepted."""
     reader = (
@@ -51,8 +54,8 @@ def artifact_hashes(
     too_long = F.concat(F.lit("error: file of "), F.col("length").cast("string"), F.lit(" bytes"))
     listed = reader.load(root).select(_relative(F.col("path"), root).alias("rel_path"), "length", "content")
     listed = listed.where(~F.col("rel_path").rlike(r"(^|/)manifest(\.json)?(/|$)"))
-    small = listed.where(F.col("length") < MAX_BYTES).select("rel_path", sha256("content").alias("sha256"))
-    large = listed.where(F.col("length") >= MAX_BYTES).select("rel_path", too_long.alias("sha256"))
+    small = listed.where(F.col("length") < max_bytes).select("rel_path", sha256("content").alias("sha256"))
+    large = listed.where(F.col("length") >= max_bytes).select("rel_path", too_long.alias("sha256"))
     return small.unionByName(large)
 
 

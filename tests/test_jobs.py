@@ -1,5 +1,6 @@
 """The jobs end to end on separable data, with their guarantees as properties."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from foldstack.operators import splits
 from foldstack.operators.contract import ContractError
 from foldstack.plans import audit as checks
 from foldstack.plans import jobs
-from foldstack.plans.fitting import cross_validate, fit_model, training_frame
+from foldstack.plans.fitting import cross_validate, fit_model, layout_partitions, training_frame
 from foldstack.plans.models import BASE_MODELS, FitContext, get_model, list_models
 from foldstack.sources import artifacts, tables
 from foldstack.sources.synthetic import normals
@@ -93,6 +94,29 @@ def test_models_learn_separable_classes(spark, base, name):
     assert right / 120 > 0.6, right
 
 
+def test_logistic_regression_solves_the_penalised_problem(spark, windows):
+    """At the optimum of summed log-loss + ||W||^2 / 2 the gradient vanishes."""
+    with training_frame(splits.assign_folds(windows)) as frame:
+        model = fit_model(frame, "logreg", size="full").stages[1]
+        rows = frame.rows.select("y", "features").collect()
+    weights = model.coefficientMatrix.toArray()
+    x = np.array([r["features"] for r in rows])
+    y = np.array([int(r["y"]) for r in rows])
+    logits = x @ weights.T + model.interceptVector.toArray()
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    gradient = (p - np.eye(3)[y]).T @ x + weights
+    assert np.abs(gradient).max() < 0.02
+
+
+def test_layout_depends_on_size_only():
+    tib = 1024**4
+    assert layout_partitions(1) == 8
+    assert layout_partitions(tib) == 8192
+    assert layout_partitions(10 * tib) == 16384
+    assert layout_partitions(100 * tib) == 102400
+
+
 def test_no_fold_model_sees_its_own_rows(spark, windows):
     seen = {}
     with training_frame(splits.assign_folds(windows)) as frame:

@@ -112,6 +112,15 @@ def test_manifest_detects_changes(spark, tmp_path):
     assert [r["rel_path"] for r in failed.collect()] == ["a/x.csv", "b/deep/y.parquet"]
 
 
+def test_oversized_files_are_listed_with_an_error(spark, tmp_path):
+    _write(tmp_path / "small.csv", "x")
+    _write(tmp_path / "large.csv", "x" * 100)
+    rows = artifacts.artifact_hashes(spark, str(tmp_path), max_bytes=50).collect()
+    hashes = {r["rel_path"]: r["sha256"] for r in rows}
+    assert hashes["small.csv"] == hashlib.sha256(b"x").hexdigest()
+    assert hashes["large.csv"] == "error: file of 100 bytes"
+
+
 def test_no_manifest_verifies_nothing(spark, tmp_path):
     assert artifacts.verify_manifest(spark, str(tmp_path)).isEmpty()
 
