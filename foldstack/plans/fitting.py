@@ -87,7 +87,11 @@ def layout_partitions(n_bytes: int) -> int:
 
 @contextmanager
 def training_frame(
-    df: DataFrame, input_col: str = "features", partitions: int | None = None
+    df: DataFrame,
+    input_col: str = "features",
+    partitions: int | None = None,
+    folds: DataFrame | None = None,
+    width: int | None = None,
 ) -> Iterator[TrainingFrame]:
     """Lay the rows out once for all fits and release them afterwards.
 
@@ -95,16 +99,21 @@ def training_frame(
     depends on the table alone and sorted inside them: the same table gives the same models on
     any cluster. That one shuffle serves all k fits, each of which passes over the rows many
     times. The layout is kept in memory and on disk; lost blocks are rebuilt from the input.
+
+    Rows per fold and the input width are looked up first. Callers whose ``df`` is costly to
+    compute pass a ``folds`` table with the same rows and the expected ``width`` instead; a row
+    of another width, or without input, raises.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    labels, counts = _fold_counts(df)
+    labels, counts = _fold_counts(df if folds is None else folds)
     n_rows = sum(n for per_class in counts.values() for n in per_class.values())
     values = F.col(input_col).cast("array<double>")
-    width = df.select(F.size(values).alias("n")).first()["n"]
+    if width is None:
+        width = df.select(F.size(values).alias("n")).first()["n"]
     if partitions is None:
         partitions = layout_partitions(n_rows * width * 8)
-    ragged = F.raise_error(F.concat(F.lit("ragged features in window "), F.col("window_id")))
+    ragged = F.raise_error(F.concat(F.lit("missing or ragged features in window "), F.col("window_id")))
     even = F.when(F.size(values) == width, values).otherwise(ragged.cast("array<double>"))
     laid_out = (
         index_labels(df.select("window_id", "label", "fold", even.alias(input_col)), labels)

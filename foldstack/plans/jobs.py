@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstack.functions.arrays import utc_stamp
+from foldstack.functions.arrays import argmax, utc_stamp
 from foldstack.operators import contract, metrics, splits, stacking
-from foldstack.operators.classes import label_distribution
+from foldstack.operators.classes import class_list, label_distribution
 from foldstack.operators.splits import FOLDS, SEED, Split
 from foldstack.plans.fitting import cross_validate, fit_model, training_frame
 from foldstack.plans.models import BASE_MODELS, STACKER, check_name
@@ -95,6 +96,18 @@ def _cross_validated(cells: DataFrame, average: str, name: str, seed: int, k: in
     )
 
 
+def _stored_predictions(spark: SparkSession, base: str, name: str, seed: int, k: int) -> DataFrame:
+    """Cross-validated predictions read back from the out-of-fold table."""
+    folds = tables.load_folds(spark, base, seed, k)
+    labels = F.array(*[F.lit(x) for x in class_list(folds)])
+    rows = tables.load_oof(spark, base, [name], seed).select("window_id", "proba")
+    return folds.join(rows, "window_id").select(
+        "fold",
+        F.col("label").alias("actual"),
+        F.get(labels, argmax(F.col("proba"))).alias("predicted"),
+    )
+
+
 def evaluate(
     spark: SparkSession,
     base: str,
@@ -105,29 +118,29 @@ def evaluate(
     git_sha: str = "unknown",
     size: str = "full",
     parallelism: int | None = None,
+    from_oof: bool = False,
     **overrides,
 ) -> DataFrame:
     """Stratified k-fold evaluation; writes metrics, confusion matrices and a run row.
 
     Precision, recall and F1 are weighted by support; the macro F1 is stored beside them so that
-    the audit compares like with like.
+    the audit compares like with like. ``from_oof`` reads the predictions stored by :func:`oof`
+    for the same seed and folds instead of fitting the same models again.
     """
     check_name(name)
     started = time.monotonic()
-    split = get_or_create_split(spark, base, seed, k)
-    windows = split.assign(tables.read_windows(spark, base))
-    with training_frame(windows) as frame:
-        pred = cross_validate(
-            frame,
-            lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
-            parallelism,
-        )
-        # One scored pass; every metric and matrix below is computed from these few cells.
-        cells = metrics.confusion_counts(pred, ["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
-        record = _cross_validated(cells, "weighted", name, seed, k)
-        tables.save_metrics(record, base, name)
-        tables.save_confusion(metrics.cells_wide(cells, frame.labels), base, name)
-        cells.unpersist()
+    if from_oof:
+        _save_evaluation(_stored_predictions(spark, base, name, seed, k), base, name, seed, k)
+    else:
+        split = get_or_create_split(spark, base, seed, k)
+        windows = split.assign(tables.read_windows(spark, base))
+        with training_frame(windows) as frame:
+            pred = cross_validate(
+                frame,
+                lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
+                parallelism,
+            )
+            _save_evaluation(pred, base, name, seed, k)
     saved = tables.load_metrics(spark, base, [name])
     run = saved.select(
         F.lit(run_id).alias("run_id"),
@@ -141,55 +154,76 @@ def evaluate(
     return saved
 
 
+def _save_evaluation(pred: DataFrame, base: str, name: str, seed: int, k: int) -> None:
+    """Score once; every metric and matrix is computed from the few cells that remain."""
+    cells = metrics.confusion_counts(pred, ["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
+    tables.save_metrics(_cross_validated(cells, "weighted", name, seed, k), base, name)
+    seen = F.explode(F.array("actual", "predicted")).alias("label")
+    classes = class_list(cells.select(seen))
+    tables.save_confusion(metrics.cells_wide(cells, classes), base, name)
+    cells.unpersist()
+
+
 def generate_oof(
     windows: DataFrame,
     split: Split,
-    name: str,
+    names: Sequence[str],
+    base: str,
     seed: int = SEED,
     size: str = "full",
     parallelism: int | None = None,
-    base: str | None = None,
     **overrides,
 ) -> DataFrame:
-    """Out-of-fold probabilities of one model, stored under ``base``."""
-    check_name(name)
+    """Store out-of-fold probabilities of each model; all models share one laid-out table."""
+    for name in names:
+        check_name(name)
     with training_frame(split.assign(windows)) as frame:
-        pred = cross_validate(
-            frame,
-            lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
-            parallelism,
-        )
-        tables.save_oof(
-            pred.select(
-                "window_id",
-                "fold",
-                "proba",
-                F.lit(name).alias("model"),
-                F.lit(seed).cast("long").alias("seed"),
-            ),
-            base,
-        )
-    return tables.load_oof(windows.sparkSession, base, [name], seed)
+        for name in names:
+            pred = cross_validate(
+                frame,
+                lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
+                parallelism,
+            )
+            tables.save_oof(
+                pred.select(
+                    "window_id",
+                    "fold",
+                    "proba",
+                    F.lit(name).alias("model"),
+                    F.lit(seed).cast("long").alias("seed"),
+                ),
+                base,
+            )
+    return tables.load_oof(windows.sparkSession, base, list(names), seed)
 
 
 def oof(
     spark: SparkSession,
     base: str,
-    name: str,
+    name: str | Sequence[str],
     seed: int = SEED,
     k: int = FOLDS,
     size: str = "full",
     parallelism: int | None = None,
     **overrides,
 ) -> DataFrame:
-    """Generate and store one model's out-of-fold table; returns its coverage.
+    """Generate and store the out-of-fold table of one or several models; returns the coverage.
 
-    ``(n_rows, zero_rows, missing_rows)``: rows written, rows never filled, windows without a row.
+    ``(model, n_rows, zero_rows, missing_rows)``: rows written, rows never filled, windows without
+    a row.
     """
+    names = [name] if isinstance(name, str) else list(name)
     split = get_or_create_split(spark, base, seed, k)
     windows = tables.read_windows(spark, base)
-    written = generate_oof(windows, split, name, seed, size, parallelism, base, **overrides)
-    return stacking.coverage(tables.load_folds(spark, base, seed, k), written)
+    generate_oof(windows, split, names, base, seed, size, parallelism, **overrides)
+    folds = tables.load_folds(spark, base, seed, k)
+    reports = [
+        stacking.coverage(folds, tables.load_oof(spark, base, [n], seed)).select(
+            F.lit(n).alias("model"), "*"
+        )
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, reports)
 
 
 def stack_train(
@@ -210,8 +244,11 @@ def stack_train(
     base_oof = tables.load_oof(spark, base, models, seed)
     folds = tables.load_folds(spark, base, seed, k)
     stack = stacking.stack_matrix(base_oof, models)
-    labelled = stacking.with_labels(stack, folds, ("label", "fold"))
-    with training_frame(labelled, input_col="stack") as frame:
+    # A full join keeps windows without probabilities and probabilities without a window, so that
+    # either stops the training instead of shrinking it.
+    labelled = folds.join(stack, "window_id", "full")
+    width = len(models) * folds.select("label").distinct().count()
+    with training_frame(labelled, "stack", folds=folds, width=width) as frame:
         pred = cross_validate(
             frame,
             lambda fold: fit_model(frame, stacker, seed, fold, size, parallelism, **overrides),

@@ -45,9 +45,15 @@ def _ensure_model(spark: SparkSession, base: str, name: str) -> None:
         jobs.train(spark, base, name, size=SIZE)
 
 
+def _ensure_all_oof(spark: SparkSession, base: str) -> None:
+    absent = [n for n in BASE_MODELS if not tables.has_oof(spark, base, n, SEED)]
+    if absent:
+        jobs.oof(spark, base, absent, size=SIZE)
+
+
 def _ensure_stack(spark: SparkSession, base: str) -> None:
+    _ensure_all_oof(spark, base)
     for name in BASE_MODELS:
-        _ensure_oof(spark, base, name)
         _ensure_model(spark, base, name)
     if not scratch.exists(spark, tables.model_path(base, STACKER)):
         jobs.stack_train(spark, base, size=SIZE)
@@ -85,6 +91,13 @@ def evaluate_model(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.evaluate(spark, _landed(spark, sf), "logreg", size=SIZE)
 
 
+def evaluate_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation from stored out-of-fold rows, without refitting."""
+    base = _landed(spark, sf)
+    jobs.oof(spark, base, "rf", size=SIZE)
+    return jobs.evaluate(spark, base, "rf", from_oof=True)
+
+
 def split_reuse(spark: SparkSession, sf: str) -> DataFrame:
     """Folds from the stored split, made on first use."""
     base = workspace(spark, sf)
@@ -94,8 +107,7 @@ def split_reuse(spark: SparkSession, sf: str) -> DataFrame:
 
 def stack_train(spark: SparkSession, sf: str) -> DataFrame:
     base = workspace(spark, sf)
-    for name in BASE_MODELS:
-        _ensure_oof(spark, base, name)
+    _ensure_all_oof(spark, base)
     return jobs.stack_train(spark, base, size=SIZE)
 
 
@@ -141,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "split_reuse": split_reuse,
     "train_model": train_model,
     "evaluate_model": evaluate_model,
+    "evaluate_stored": evaluate_stored,
     "stack_train": stack_train,
     "predict_model": predict_model,
     "stack_predict": stack_predict,

@@ -40,7 +40,8 @@ def base(spark, windows, tmp_path_factory):
     jobs.ingest(spark, uri, windows)
     for name in BASE_MODELS:
         jobs.train(spark, uri, name, **QUICK)
-        jobs.oof(spark, uri, name, **QUICK)
+    cover = jobs.oof(spark, uri, BASE_MODELS, **QUICK).collect()
+    assert {tuple(r) for r in cover} == {(name, 120, 0, 0) for name in BASE_MODELS}
     jobs.evaluate(spark, uri, "logreg", **QUICK)
     jobs.evaluate(spark, uri, "rf", git_sha="abc1234", **QUICK)
     jobs.stack_train(spark, uri, **QUICK)
@@ -194,6 +195,39 @@ def test_evaluate_writes_metrics_runs_and_matrix(spark, base):
         assert sum(sum(r[c] for c in LABELS) for r in matrix.collect()) == 120
 
 
+def test_evaluating_stored_rows_equals_refitting(spark, windows, tmp_path):
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows)
+    jobs.oof(spark, base, "rf", **QUICK)
+    stored = jobs.evaluate(spark, base, "rf", from_oof=True).drop("timestamp").first()
+    fitted = jobs.evaluate(spark, base, "rf", **QUICK).drop("timestamp").first()
+    assert stored == fitted
+
+
+@pytest.mark.parametrize("rows", ["fewer", "more"])
+def test_stack_train_stops_on_misaligned_rows(spark, windows, tmp_path, rows):
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows)
+    jobs.get_or_create_split(spark, base)
+    ids = tables.load_folds(spark, base, splits.SEED, 5).select("window_id", "fold")
+    if rows == "fewer":
+        ids = ids.where("window_id <> 'w7'")
+    else:
+        ids = ids.unionAll(spark.createDataFrame([("stranger", 0)], "window_id string, fold int"))
+    for name in ("logreg", "rf"):
+        tables.save_oof(
+            ids.select(
+                "*",
+                F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)).alias("proba"),
+                F.lit(name).alias("model"),
+                F.lit(splits.SEED).cast("long").alias("seed"),
+            ),
+            base,
+        )
+    with pytest.raises(Exception, match="w7|NULL|null"):
+        jobs.stack_train(spark, base, models=("logreg", "rf"), **QUICK)
+
+
 def test_stack_metrics_and_manifest(spark, base):
     record = tables.load_metrics(spark, base, ["stack"]).first()
     assert 0 <= record["ece"] <= 1 and record["logloss"] > 0 and record["macro_f1"] == record["f1"]
