@@ -7,11 +7,12 @@ the row, so none of it shuffles.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldstack.functions.arrays import array_mean, bind
+from foldstack.functions.arrays import array_mean, array_sum, bind
 
 # Four price channels per step, normalisation epsilon, convolution and patch sizes.
 CHANNELS = 4
@@ -22,14 +23,14 @@ PATCHES = (7, 15, 21, 35)
 
 def to_steps(features: Column, channels: int = CHANNELS) -> Column:
     """Flat features to ``T x channels`` when they divide evenly, else one step of all of them."""
+    # Values are picked by position: slicing would copy the whole window once per step.
     size = F.size(features)
-    width = F.when(size % channels == 0, F.lit(channels)).otherwise(size)
-    steps = F.floor(F.try_divide(size, width)).cast("int")
     cut = F.transform(
-        F.sequence(F.lit(0), steps - 1),
-        lambda t: F.slice(features, t * width + 1, width),
+        F.sequence(F.lit(0), F.floor(size / channels).cast("int") - 1),
+        lambda t: F.array(*[F.get(features, t * channels + c) for c in range(channels)]),
     )
-    return F.when(size > 0, cut).otherwise(F.array().cast("array<array<double>>"))
+    empty = F.array().cast("array<array<double>>")
+    return F.when(size == 0, empty).when(size % channels == 0, cut).otherwise(F.array(features))
 
 
 def _channel(steps: Column, c: Column) -> Column:
@@ -38,8 +39,12 @@ def _channel(steps: Column, c: Column) -> Column:
 
 def _per_channel(steps: Column, summarise) -> Column:
     """One value per channel, computed from that channel's series."""
-    last = F.size(F.get(steps, F.lit(0))) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda c: bind(_channel(steps, c), summarise))
+
+    def each(s: Column) -> Column:
+        last = F.size(F.get(s, F.lit(0))) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda c: bind(_channel(s, c), summarise))
+
+    return bind(steps, each)
 
 
 def instance_norm(steps: Column, epsilon: float = EPSILON) -> Column:
@@ -102,13 +107,17 @@ def time_mix(steps: Column, mix: float | Sequence[float]) -> Column:
     return bind(steps, lambda s: F.zip_with(s, shift_right(s), blend))
 
 
+def _lag_weights(kernel: int | Sequence[float]) -> list[float]:
+    return [1.0 / kernel] * kernel if isinstance(kernel, int) else [float(w) for w in kernel]
+
+
 def causal_conv(steps: Column, kernels: Sequence[int | Sequence[float]] = KERNELS) -> Column:
     """Left-padded convolutions, one block of output channels per kernel.
 
     An integer kernel ``k`` averages the current and the ``k - 1`` earlier steps; a list gives
     the weight of each lag, current step first. Steps before the window count as zero.
     """
-    weights = [[1.0 / k] * k if isinstance(k, int) else [float(w) for w in k] for k in kernels]
+    weights = [_lag_weights(k) for k in kernels]
 
     def convolved(s: Column) -> Column:
         def at(row: Column, i: Column) -> Column:
@@ -134,7 +143,34 @@ def pool_last(steps: Column) -> Column:
 
 
 def pool_mean(steps: Column) -> Column:
-    return bind(steps, lambda s: _per_channel(s, array_mean))
+    return _per_channel(steps, array_mean)
+
+
+def pooled_conv(steps: Column, kernels: Sequence[int | Sequence[float]] = KERNELS) -> Column:
+    """``pool_mean(causal_conv(steps, kernels))`` without building the convolution.
+
+    Every value is met by all lags of a kernel, except that the last ``k - 1`` steps lose the lags
+    reaching past the window. So each output is the channel sum times the kernel's total weight,
+    less what those few steps lose.
+    """
+    reach = [list(accumulate(_lag_weights(k))) for k in kernels]
+
+    def pooled(series: Column) -> Column:
+        n = F.size(series)
+
+        def one(shares: list[float], total: Column) -> Column:
+            value = total * shares[-1]
+            for back, share in enumerate(shares[:-1], start=1):
+                late = F.coalesce(F.get(series, n - back), F.lit(0.0))
+                value = value - late * (shares[-1] - share)
+            return F.try_divide(value, n)
+
+        return bind(array_sum(series), lambda total: F.array(*[one(s, total) for s in reach]))
+
+    return bind(
+        _per_channel(steps, pooled),
+        lambda outputs: F.concat(*[_channel(outputs, F.lit(i)) for i in range(len(reach))]),
+    )
 
 
 def patch_means(steps: Column, size: int) -> Column:

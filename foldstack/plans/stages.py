@@ -31,7 +31,7 @@ def view(features: Column, kind: str) -> Column:
     if kind == MIXED:
         return sequence.pool_last(sequence.time_mix(sequence.instance_norm(steps), 0.5))
     if kind == CONVOLVED:
-        return sequence.pool_mean(sequence.causal_conv(steps))
+        return sequence.pooled_conv(steps)
     raise ValueError(f"unknown view {kind!r}")
 
 

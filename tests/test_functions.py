@@ -78,6 +78,12 @@ def test_sequence_transforms_equal_numpy(spark, steps):
     custom = _eval(spark, flat, _steps(lambda s: sequence.causal_conv(s, [[0.5, -1.0, 2.0]])))
     assert np.allclose(custom, conv([0.5, -1.0, 2.0]))
 
+    pooled = _eval(spark, flat, _steps(sequence.pooled_conv))
+    assert np.allclose(pooled, uniform.mean(axis=0))
+    weights = [[0.5, -1.0, 2.0], 4]
+    pooled = _eval(spark, flat, _steps(lambda s: sequence.pooled_conv(s, weights)))
+    assert np.allclose(pooled, np.hstack([conv(weights[0]), conv([0.25] * 4)]).mean(axis=0))
+
     assert np.allclose(_eval(spark, flat, _steps(sequence.pool_last)), x[-1])
     assert np.allclose(_eval(spark, flat, _steps(sequence.pool_mean)), x.mean(axis=0))
     patches = [x[i : i + 3].mean(axis=0) for i in range(0, steps, 3)]
