@@ -56,24 +56,34 @@ def get_or_create_split(
 def train(
     spark: SparkSession,
     base: str,
-    name: str = "logreg",
+    name: str | Sequence[str] = "logreg",
     seed: int = SEED,
     size: str = "full",
     **overrides,
 ) -> DataFrame:
-    """Fit on a stratified 80 % and save the model; returns accuracy on both parts."""
-    check_name(name)
+    """Fit one or several models on a stratified 80 % and save them.
+
+    Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
+    """
+    names = [name] if isinstance(name, str) else list(name)
+    for n in names:
+        check_name(n)
     windows = tables.read_windows(spark, base)
     held_out = splits.fit_holdout(windows, seed).assign(windows)
+    reports = []
     with training_frame(held_out) as frame:
-        model = fit_model(frame, name, seed, without=0, size=size, **overrides)
-        tables.save_model(model, base, name)
-        scored = model.transform(frame.rows).select(
-            F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"),
-            F.col("prediction").alias("predicted"),
-            F.col("label").alias("actual"),
-        )
-        result = metrics.accuracy(scored, ["part"]).toArrow()
+        for n in names:
+            model = fit_model(frame, n, seed, without=0, size=size, **overrides)
+            tables.save_model(model, base, n)
+            scored = model.transform(frame.rows).select(
+                F.lit(n).alias("model"),
+                F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"),
+                F.col("prediction").alias("predicted"),
+                F.col("label").alias("actual"),
+            )
+            reports.append(metrics.accuracy(scored, ["model", "part"]))
+        # Two rows per model, computed before the layout is released.
+        result = reduce(DataFrame.unionByName, reports).toArrow()
     return spark.createDataFrame(result)
 
 

@@ -50,6 +50,10 @@ QUICK = {
     "cnn_transformer": {"hidden": 16, "max_iter": 20},
     "stack": {"trees": 20, "depth": 6},
 }
+# Node statistics collected per pass over the rows; more memory means fewer passes.
+TREE_MEMORY_MB = 1024
+# Gradients of many partitions are combined in more steps before they reach the driver.
+DEEP_AGGREGATION_ROWS = 100_000_000
 SIZES = {"full": FULL, "quick": QUICK}
 SCRATCH = ("_vector", "_raw", "_probability", "_index")
 
@@ -102,6 +106,7 @@ def logreg(context: FitContext) -> Pipeline:
             regParam=1.0 / max(context.n_rows, 1),
             elasticNetParam=0.0,
             standardization=False,
+            aggregationDepth=3 if context.n_rows > DEEP_AGGREGATION_ROWS else 2,
             **_COLUMNS,
         ),
     )
@@ -117,6 +122,7 @@ def forest(context: FitContext) -> Pipeline:
             numTrees=context.settings["trees"],
             maxDepth=context.settings["depth"],
             featureSubsetStrategy="sqrt",
+            maxMemoryInMB=TREE_MEMORY_MB,
             seed=context.seed,
             **weights,
             **_COLUMNS,
@@ -125,11 +131,10 @@ def forest(context: FitContext) -> Pipeline:
 
 
 def boosted(context: FitContext) -> Pipeline:
+    """Gradient-boosted trees with row and column sampling."""
     s = context.settings
-    n = len(context.labels)
-    _, left_over = BoostedClasses.columns(n)
     booster = BoostedClasses(
-        n,
+        len(context.labels),
         context.parallelism,
         maxIter=s["rounds"],
         maxDepth=s["depth"],
@@ -137,9 +142,10 @@ def boosted(context: FitContext) -> Pipeline:
         subsamplingRate=s["rows"],
         featureSubsetStrategy=s["columns"],
         maxBins=s["bins"],
+        maxMemoryInMB=TREE_MEMORY_MB,
         seed=context.seed,
     )
-    return _wrap(context, FLAT, booster, left_over)
+    return _wrap(context, FLAT, booster, booster.columns())
 
 
 def _perceptron(context: FitContext, kind: str, width: int) -> Pipeline:

@@ -78,7 +78,7 @@ class ClassOutput(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
 
 class ClassShares(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """One-vs-rest probabilities scaled to sum to one."""
+    """One-vs-rest probabilities scaled to sum to one; a single binary model is taken as it is."""
 
     inputCols = Param(Params._dummy(), "inputCols", "binary vectors", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "array column", TypeConverters.toString)
@@ -90,28 +90,29 @@ class ClassShares(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         inputs = self.getOrDefault(self.inputCols)
+        output = self.getOrDefault(self.outputCol)
+        if len(inputs) == 1:
+            return dataset.withColumn(output, vector_to_array(F.col(inputs[0])))
         positive = F.array(*[F.get(vector_to_array(F.col(c)), F.lit(1)) for c in inputs])
-        return dataset.withColumn(self.getOrDefault(self.outputCol), normalise(positive))
+        return dataset.withColumn(output, normalise(positive))
 
 
 class BoostedClasses(Estimator):
-    """Gradient-boosted trees per class against the rest.
+    """Gradient-boosted trees: one model for two classes, else one per class against the rest.
 
-    Spark's boosted classifier is binary; the fitted result is a plain pipeline of one model per
-    class followed by :class:`ClassShares`.
+    Spark's boosted classifier is binary; the fitted result is a plain pipeline of the boosters
+    followed by :class:`ClassShares`.
     """
 
     def __init__(self, n_classes: int, parallelism: int, **settings):
         super().__init__()
-        self.n_classes = n_classes
+        self.targets = [1] if n_classes == 2 else list(range(n_classes))
         self.parallelism = parallelism
         self.settings = settings
 
-    @staticmethod
-    def columns(n_classes: int) -> tuple[list[str], list[str]]:
-        """Probability columns of the class models, and every column they leave behind."""
-        shares = [f"_p{c}" for c in range(n_classes)]
-        return shares, shares + [f"_{x}{c}" for x in "rd" for c in range(n_classes)]
+    def columns(self) -> list[str]:
+        """Every column the boosters leave behind."""
+        return [f"_{x}{c}" for x in "prd" for c in self.targets]
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         def fit_class(c: int):
@@ -125,8 +126,8 @@ class BoostedClasses(Estimator):
             target = (F.col("y") == F.lit(float(c))).cast("double")
             return booster.fit(dataset.select("_vector", target.alias("_is_class")))
 
-        with ThreadPool(max(1, min(self.parallelism, self.n_classes))) as pool:
+        with ThreadPool(max(1, min(self.parallelism, len(self.targets)))) as pool:
             work = inheritable_thread_target(dataset.sparkSession)(fit_class)
-            models = pool.map(work, range(self.n_classes))
-        shares, _ = self.columns(self.n_classes)
-        return PipelineModel([*models, ClassShares(inputCols=shares, outputCol="_probability")])
+            models = pool.map(work, self.targets)
+        shares = ClassShares(inputCols=[f"_p{c}" for c in self.targets], outputCol="_probability")
+        return PipelineModel([*models, shares])

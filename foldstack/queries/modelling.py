@@ -53,8 +53,9 @@ def _ensure_all_oof(spark: SparkSession, base: str) -> None:
 
 def _ensure_stack(spark: SparkSession, base: str) -> None:
     _ensure_all_oof(spark, base)
-    for name in BASE_MODELS:
-        _ensure_model(spark, base, name)
+    absent = [n for n in BASE_MODELS if not scratch.exists(spark, tables.model_path(base, n))]
+    if absent:
+        jobs.train(spark, base, absent, size=SIZE)
     if not scratch.exists(spark, tables.model_path(base, STACKER)):
         jobs.stack_train(spark, base, size=SIZE)
 

@@ -38,8 +38,7 @@ def base(spark, windows, tmp_path_factory):
     """A base URI where every job has run."""
     uri = str(tmp_path_factory.mktemp("base"))
     jobs.ingest(spark, uri, windows)
-    for name in BASE_MODELS:
-        jobs.train(spark, uri, name, **QUICK)
+    jobs.train(spark, uri, BASE_MODELS, **QUICK)
     cover = jobs.oof(spark, uri, BASE_MODELS, **QUICK).collect()
     assert {tuple(r) for r in cover} == {(name, 120, 0, 0) for name in BASE_MODELS}
     jobs.evaluate(spark, uri, "logreg", **QUICK)
@@ -156,6 +155,22 @@ def test_a_fold_without_a_class_still_yields_all_columns(spark, windows):
             assert {len(r["proba"]) for r in scored.collect()} == {3}
 
 
+@pytest.mark.parametrize("name", BASE_MODELS)
+def test_two_classes_without_channels(spark, name):
+    """Five features do not form channels; each model still gives two probabilities."""
+    code = (F.col("id") % 2).cast("int")
+    two = spark.range(60).select(
+        F.col("id").cast("string").alias("window_id"),
+        F.element_at(F.array(F.lit("class_A"), F.lit("class_B")), code + 1).alias("label"),
+        F.transform(normals(1, F.col("id"), 5), lambda v: v + code * 4.0).alias("features"),
+    )
+    with training_frame(splits.assign_folds(two, k=2)) as frame:
+        model = fit_model(frame, name, without=0, **QUICK)
+        rows = model.transform(two).collect()
+    assert sum(r["prediction"] == r["label"] for r in rows) > 50
+    assert all(len(r["proba"]) == 2 and abs(sum(r["proba"]) - 1) < 1e-9 for r in rows)
+
+
 def test_ragged_features_stop_training(spark, windows):
     odd = windows.withColumn(
         "features", F.when(F.col("window_id") == "w5", F.array(F.lit(1.0))).otherwise(F.col("features"))
