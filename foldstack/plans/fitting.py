@@ -22,9 +22,9 @@ from foldstack.sources.scratch import checkpoint_dir
 
 # The layout depends only on the table, never on the cluster: small partitions that keep many
 # cores busy, growing once their number would burden the shuffle.
-MIN_PARTITIONS = 8
+MIN_PARTITIONS = 2
 MANY_PARTITIONS = 16_384
-SMALL_PARTITION = 128 * 1024**2
+SMALL_PARTITION = 16 * 1024**2
 LARGE_PARTITION = 1024**3
 # Fits run side by side only while the whole table is small; a large fit fills the cluster alone,
 # and every learner keeps its own copy of its rows.

@@ -107,14 +107,19 @@ def _cross_validated(cells: DataFrame, average: str, name: str, seed: int, k: in
 
 
 def _stored_predictions(spark: SparkSession, base: str, name: str, seed: int, k: int) -> DataFrame:
-    """Cross-validated predictions read back from the out-of-fold table."""
+    """Cross-validated predictions read back from the out-of-fold table.
+
+    A window without a stored row stops the evaluation instead of leaving it.
+    """
     folds = tables.load_folds(spark, base, seed, k)
     labels = F.array(*[F.lit(x) for x in class_list(folds)])
     rows = tables.load_oof(spark, base, [name], seed).select("window_id", "proba")
-    return folds.join(rows, "window_id").select(
+    guess = F.get(labels, argmax(F.col("proba")))
+    gap = F.raise_error(F.concat(F.lit("no out-of-fold row for window "), F.col("window_id")))
+    return folds.join(rows, "window_id", "left").select(
         "fold",
         F.col("label").alias("actual"),
-        F.get(labels, argmax(F.col("proba"))).alias("predicted"),
+        F.when(F.col("proba").isNotNull(), guess).otherwise(gap.cast("string")).alias("predicted"),
     )
 
 

@@ -1,12 +1,14 @@
-"""Queries that fit models or fingerprint files; checked by properties, not by SQL."""
+"""Queries that fit models or fingerprint files; checked by SQL only where the fit cannot matter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldstack.operators import metrics
+from foldstack.operators import metrics, stacking
 from foldstack.operators.splits import FOLDS, SEED
 from foldstack.plans import audit as checks
 from foldstack.plans import jobs
@@ -84,6 +86,31 @@ def oof_fold_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("fold", "accuracy", "macro_f1", "n")
 
 
+def oof_stored_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage of the stored out-of-fold rows of every base model."""
+    base = workspace(spark, sf)
+    _ensure_all_oof(spark, base)
+    folds = tables.load_folds(spark, base, SEED, FOLDS)
+    reports = [
+        stacking.coverage(folds, tables.load_oof(spark, base, [n], SEED)).select(
+            F.lit(n).alias("model"), "*"
+        )
+        for n in BASE_MODELS
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def predicted_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window scored by the stack: rows, and how many probability rows sum to one."""
+    columns = [F.col(f"prob_class_{i}") for i in range(fx.N_CLASSES)]
+    total = reduce(lambda a, b: a + b, columns)
+    return stack_predict(spark, sf).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("window_id").alias("n_windows"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_normalised"),
+    )
+
+
 def train_model(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.train(spark, _landed(spark, sf), "rf", size=SIZE)
 
@@ -151,6 +178,7 @@ QUERIES: dict[str, Query] = {
     "oof_seq_shift": _oof("rwkv_ts"),
     "oof_seq_conv": _oof("cnn_transformer"),
     "oof_fold_report": oof_fold_report,
+    "oof_stored_coverage": oof_stored_coverage,
     "split_reuse": split_reuse,
     "train_model": train_model,
     "evaluate_model": evaluate_model,
@@ -158,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "stack_train": stack_train,
     "predict_model": predict_model,
     "stack_predict": stack_predict,
+    "predicted_totals": predicted_totals,
     "audit_all": audit_all,
     "artifact_manifest": artifact_manifest,
     "manifest_verify": manifest_verify,

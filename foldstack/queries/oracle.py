@@ -343,5 +343,11 @@ ORACLE: dict[str, str] = {
                CASE WHEN vec_id % 2 = 0 THEN 'class_A' ELSE 'class_B' END AS label,
                CAST(c AS INTEGER) AS c,
                {_value(f'sqrt(-2 * ln({_uniform(0)})) * cos(2 * pi() * {_uniform(1)})')} FROM ids""",
+    "split_reuse": f"WITH {WINDOWS}, {_folds('windows')} SELECT window_id, label, fold FROM folded",
+    "oof_stored_coverage": """SELECT unnest(['logreg', 'rf', 'xgb', 'rwkv_ts', 'cnn_transformer']) AS model,
+        n AS n_rows, CAST(0 AS BIGINT) AS zero_rows, CAST(0 AS BIGINT) AS missing_rows
+        FROM (SELECT count(*) AS n FROM embeddings)""",
+    "predicted_totals": """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_windows,
+        count(*) AS n_normalised FROM embeddings""",
     "ingest": f"WITH {LARGE} SELECT label, count(*) AS n FROM large GROUP BY label",
 }

@@ -110,9 +110,10 @@ def test_logistic_regression_solves_the_penalised_problem(spark, windows):
 
 
 def test_layout_depends_on_size_only():
-    tib = 1024**4
-    assert layout_partitions(1) == 8
-    assert layout_partitions(tib) == 8192
+    gib, tib = 1024**3, 1024**4
+    assert layout_partitions(1) == 2
+    assert layout_partitions(gib) == 64
+    assert layout_partitions(tib) == 16384
     assert layout_partitions(10 * tib) == 16384
     assert layout_partitions(100 * tib) == 102400
 

@@ -28,9 +28,9 @@ def _sorted_rows(frame):
     return columns, [tuple(map(repr, row)) for row in frame.itertuples(index=False)]
 
 
-@pytest.mark.parametrize("name", sorted(RELATIONAL))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, sf, duck, name):
-    ours = _sorted_rows(RELATIONAL[name](spark, sf).toPandas())
+    ours = _sorted_rows(contract.queries()[name](spark, sf).toPandas())
     theirs = _sorted_rows(duck.sql(ORACLE[name]).df())
     assert ours[0] == theirs[0]
     assert len(ours[1]) == len(theirs[1])
@@ -39,6 +39,6 @@ def test_matches_sql(spark, sf, duck, name):
 
 
 def test_registry_is_complete():
-    assert set(ORACLE) == set(RELATIONAL)
+    assert set(RELATIONAL) <= set(ORACLE)
     assert set(contract.queries()) == set(RELATIONAL) | set(MODELLING)
     assert set(contract.oracle_sql()) <= set(contract.queries())
