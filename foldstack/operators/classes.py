@@ -20,15 +20,23 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_table(df: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, code, n)`` with codes from 0 in sorted label order.
+def bounded_distribution(
+    df: DataFrame, label: str = "label", limit: int = MAX_CLASSES
+) -> DataFrame:
+    """Label distribution as a local table of at most ``limit`` rows; more labels raise.
 
-    The window runs over one row per class, after the partial aggregation.
+    What follows may order or total the classes in one task, because there are provably few.
     """
-    ordered = Window.orderBy(label)
-    return label_distribution(df, label).select(
-        label, (F.row_number().over(ordered) - 1).alias("code"), "n"
-    )
+    rows = label_distribution(df, label).limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        raise ValueError(f"more than {limit} distinct labels: not a class column")
+    return df.sparkSession.createDataFrame(rows)
+
+
+def class_table(df: DataFrame, label: str = "label") -> DataFrame:
+    """``(label, code, n)`` with codes from 0 in sorted label order."""
+    code = (F.row_number().over(Window.orderBy(label)) - 1).alias("code")
+    return bounded_distribution(df, label).select(label, code, "n")
 
 
 def class_list(df: DataFrame, label: str = "label", limit: int = MAX_CLASSES) -> list[str]:
@@ -52,7 +60,8 @@ def join_per_class(
     if rows.num_rows <= limit:
         small = df.sparkSession.createDataFrame(rows)
         return df.join(F.broadcast(small), on, how)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    key = ["window_id"] if "window_id" in df.columns else df.columns
+    spread = F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
     copies = per_class.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.withColumn("_salt", spread).join(copies, [on, "_salt"], how).drop("_salt")
 
@@ -79,12 +88,13 @@ def class_weights(df: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     n = F.sum("n").over(everything)
     classes = F.count(F.lit(1)).over(everything)
-    return label_distribution(df).select("label", "n", (n / (classes * F.col("n"))).alias("weight"))
+    weight = (n / (classes * F.col("n"))).alias("weight")
+    return bounded_distribution(df).select("label", "n", weight)
 
 
 def class_summary(df: DataFrame) -> DataFrame:
     """One row: the sorted class names and how many there are."""
-    return df.select("label").distinct().agg(
+    return bounded_distribution(df).agg(
         F.array_join(F.sort_array(F.collect_list("label")), ",").alias("classes"),
         F.count("label").alias("n_classes"),
     )

@@ -12,6 +12,7 @@ whole class.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -85,7 +86,8 @@ def _class_sizes(buckets: DataFrame) -> dict[str, int]:
     rows = buckets.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
-    return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"])}
+    by_hash = sorted(rows, key=lambda r: hashlib.md5(r["label"].encode()).hexdigest())
+    return {r["label"]: r["n"] for r in by_hash}
 
 
 def _boundary_keys(
@@ -152,7 +154,8 @@ def _fit(df: DataFrame, seed: int, parts: int, digits: int, starts_for) -> Split
 def fold_quotas(sizes: dict[str, int], k: int) -> dict[str, list[int]]:
     """Rows per (class, fold): even within one in each class and in total.
 
-    Leftover rows of a class continue round-robin where the previous class stopped.
+    Leftover rows of a class continue round-robin where the previous class stopped; classes come
+    in the order of ``md5(label)``, which any number of tasks can follow.
     """
     quotas, offset = {}, 0
     for label, n in sizes.items():
@@ -207,6 +210,30 @@ def assign_folds(df: DataFrame, seed: int = SEED, k: int = FOLDS) -> DataFrame:
     return fit_folds(df, seed, k).assign(df)
 
 
+def _class_offsets(counts: DataFrame, digits: int) -> DataFrame:
+    """``(label, size, begin)``: running class totals in ``md5(label)`` order.
+
+    Totals run inside each group of labels sharing a hash prefix, and over the groups, of which
+    there are at most ``16 ** digits``.
+    """
+    sizes = (
+        counts.groupBy("label")
+        .agg(F.sum("n").alias("size"))
+        .withColumn("_hash", F.md5("label"))
+        .withColumn("_group", F.substring("_hash", 1, digits))
+    )
+    groups = sizes.groupBy("_group").agg(F.sum("size").alias("_total"))
+    before = groups.select(
+        "_group", (F.sum("_total").over(Window.orderBy("_group")) - F.col("_total")).alias("_before")
+    )
+    inside = F.sum("size").over(Window.partitionBy("_group").orderBy("_hash")) - F.col("size")
+    return (
+        sizes.withColumn("_inside", inside)
+        .join(before, "_group")
+        .select("label", "size", (F.col("_before") + F.col("_inside")).alias("begin"))
+    )
+
+
 def assign_folds_by_rank(
     df: DataFrame, seed: int = SEED, k: int = FOLDS, digits: int = BUCKET_DIGITS
 ) -> DataFrame:
@@ -219,13 +246,11 @@ def assign_folds_by_rank(
         "bucket", F.substring("_key", 1, digits)
     )
     counts = keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("label").agg(F.sum("n").alias("size"))
-    offsets = sizes.withColumn("begin", F.sum("size").over(Window.orderBy("label")) - F.col("size"))
     starts = counts.withColumn(
         "start",
         F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n"),
     ).select("label", "bucket", "start")
-    per_bucket = starts.join(offsets, "label")
+    per_bucket = starts.join(_class_offsets(counts, digits), "label")
     order = Window.partitionBy("label", "bucket").orderBy("_key")
     ranked = (
         keyed.withColumn("_row", F.row_number().over(order) - 1)

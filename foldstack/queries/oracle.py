@@ -81,7 +81,7 @@ HASHES = """checked AS (
 def _folds(source: str, k: int = FOLDS, seed: int = SEED) -> str:
     """Fold of each row: quotas per class by residues of the running class offset."""
     return f"""sizes AS (SELECT label, count(*) AS n FROM {source} GROUP BY label),
-offsets AS (SELECT label, n, CAST(sum(n) OVER (ORDER BY label) - n AS BIGINT) AS o FROM sizes),
+offsets AS (SELECT label, n, CAST(sum(n) OVER (ORDER BY md5(label)) - n AS BIGINT) AS o FROM sizes),
 quotas AS (
   SELECT label, f, (o + n - 1 - f + {k}) // {k} - (o - 1 - f + {k}) // {k} AS q
   FROM offsets, (SELECT unnest(range({k})) AS f)),

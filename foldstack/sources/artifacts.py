@@ -33,10 +33,11 @@ HEADER_SCHEMA = T.StructType(
 
 
 def _relative(path: Column, root: str) -> Column:
+    """Path below ``root``; schemes and missing authorities do not matter."""
     plain = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
-    base = root.split("://", 1)[-1].removeprefix("file:").strip("/")
-    after = F.substring_index(plain, f"/{base}/", -1)
-    return F.when(F.contains(plain, F.lit(f"/{base}/")), after).otherwise(plain)
+    folder = "/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
+    at = F.instr(plain, folder)
+    return F.when(at > 0, F.substr(plain, at + len(folder))).otherwise(plain)
 
 
 def artifact_hashes(

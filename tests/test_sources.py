@@ -1,6 +1,7 @@
 import hashlib
 import os
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,14 @@ def test_manifest_detects_changes(spark, tmp_path):
     assert [r["rel_path"] for r in failed.collect()] == ["a/x.csv", "b/deep/y.parquet"]
 
 
+def test_relative_paths_start_at_the_root(spark, tmp_path):
+    root = tmp_path / "run"
+    _write(root / "models" / "run" / "x.csv", "x")
+    for uri in (str(root), f"file:{root}", f"file://{root}/"):
+        rows = artifacts.artifact_hashes(spark, uri).collect()
+        assert [r["rel_path"] for r in rows] == ["models/run/x.csv"]
+
+
 def test_oversized_files_are_listed_with_an_error(spark, tmp_path):
     _write(tmp_path / "small.csv", "x")
     _write(tmp_path / "large.csv", "x" * 100)
@@ -138,6 +147,13 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert scratch.scratch_uri(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_a_cluster_must_name_the_shared_folder():
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.checkpoint_dir(session)
+
+
 def test_run_text_format(spark):
     run = spark.createDataFrame([("dev", "rf", "abc", 0.123456, 0.5, 1.239)], tables.RUNS_SCHEMA)
     row = tables.runs_as_text(run).first()

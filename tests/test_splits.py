@@ -19,7 +19,7 @@ def _brute_force(rows, seed, k):
         digest = hashlib.md5(f"{seed}:{window_id}".encode()).hexdigest()
         by_class.setdefault(label, []).append((digest, window_id))
     folds, offset = {}, 0
-    for label in sorted(by_class):
+    for label in sorted(by_class, key=lambda c: hashlib.md5(c.encode()).hexdigest()):
         members = sorted(by_class[label])
         quota = Counter((offset + i) % k for i in range(len(members)))
         position = 0
@@ -111,6 +111,16 @@ def test_join_per_class_agrees_within_and_beyond_the_broadcast_bound(spark):
     assert small.exceptAll(salted).isEmpty() and salted.exceptAll(small).isEmpty()
 
 
+def test_many_classes_split_alike(spark):
+    sizes = {f"class-{i}": 1 + i % 4 for i in range(300)}
+    df, rows = _table(spark, sizes)
+    expected = _brute_force(rows, 7, 5)
+    for assigned in (splits.assign_folds(df, 7, 5), splits.assign_folds_by_rank(df, 7, 5)):
+        assert {r["window_id"]: r["fold"] for r in assigned.collect()} == expected
+    totals = Counter(expected.values())
+    assert max(totals.values()) - min(totals.values()) <= 1
+
+
 def test_class_list_refuses_unbounded_labels(spark):
     df, _ = _table(spark, {"a": 1, "b": 1, "c": 1})
     assert classes.class_list(df) == ["a", "b", "c"]
