@@ -43,7 +43,7 @@ def _share_out(nodes: DataFrame, parent: list[str], budget: str, capacity: str,
         .withColumn("_full", F.coalesce(F.col("_level") >= F.col("_ratio"), F.lit(False)))
     )
     # full ones lead the order, so the first that is not full holds the common level
-    common = F.min(F.when(~F.col("_full"), F.col("_level"))).over(siblings)
+    common = F.max(F.when(~F.col("_full"), F.col("_level"))).over(siblings)
     share = F.when(F.col(weight) <= 0, F.lit(0.0)).when(F.col("_full"), F.col(capacity).cast("double"))
     return marked.withColumn(
         out, F.least(F.col(capacity).cast("double"), share.otherwise(common * F.col(weight)))
@@ -152,7 +152,7 @@ l{depth} AS (
   FROM n{depth} x {join}),
 b{depth} AS (
   SELECT {path}, least(CAST(cap AS DOUBLE), CASE WHEN lvl >= cap / w THEN CAST(cap AS DOUBLE) ELSE w *
-         min(CASE WHEN lvl < cap / w THEN lvl END) OVER (PARTITION BY {parent}) END) AS budget FROM l{depth})"""
+         max(CASE WHEN lvl < cap / w THEN lvl END) OVER (PARTITION BY {parent}) END) AS budget FROM l{depth})"""
 
 
 ORACLE = f"""
