@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, units, winnowing
+from . import exact, mixing, quality, simhash, units, winnowing
 from .common import table
 
 DOMAINS = 4
@@ -58,8 +58,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup)
+    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op7_simhash)
 }
 
 ORACLE = {
