@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, simhash, units, winnowing
+from . import exact, mixing, packing, quality, simhash, units, winnowing
 from .common import table
 
 DOMAINS = 4
@@ -15,6 +15,12 @@ LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 MIX_EPOCHS, MIX_SEED = 4, 7
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def domain_of(source: str) -> Column:
     """Sources are dealt to domains by their number; a source without one is of domain 0."""
     number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "([0-9]{1,9})$", 1)
@@ -62,8 +68,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op7_simhash)
+    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op7_simhash, op8_packing)
 }
 
 ORACLE = {

@@ -3,7 +3,7 @@
 Only distinct fingerprints are joined. By the pigeonhole principle, two that differ in at most ``bits`` places agree
 on one of ``bits + 1`` blocks, so each is dealt to the subtrees of its blocks, each a trie whose first bits are that
 block. A subtree of too many fingerprints is not capped: its free bits are cut into blocks again, and so on; once
-twelve bits are free it holds 4,096 at most. Inside a subtree node pairs descend together, differing bits add up, and
+sixteen bits are free it holds 65,536 at most. Inside a subtree node pairs descend together, differing bits add up, and
 a pair over budget is dropped. Of the links found only a spanning forest leaves the task.
 """
 
@@ -21,12 +21,12 @@ from .common import HIGHEST, as_null, narrow, null_as, store, whole
 from .components import connected
 
 SHINGLE, BITS, SEED = 3, 2, 42
-#: Fingerprints in a subtree beyond which it is divided again (at least 4,096, see above).
-SUBTREE = 4096
+#: Fingerprints in a subtree beyond which it is divided again.
+SUBTREE = 1 << 16
 #: Node pairs that descend together; more wait on a stack.
 FRONTIER = 1 << 18
 #: A trie of no more fingerprints is one leaf, whose members are compared directly.
-LEAF = 24
+LEAF = 64
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
