@@ -207,7 +207,7 @@ def pack(rows: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP) -
     names = rows.columns
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sequence, offset = best_fit(table.column("length").to_numpy(), capacity)
         number = sequence * groups + key[0].as_py()

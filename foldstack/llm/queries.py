@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, simhash, units, winnowing
+from . import exact, mixing, packing, quality, simhash, units, warc, winnowing
 from .common import table
 
 DOMAINS = 4
@@ -64,6 +64,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op7_simhash, op8_packing)
+    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op6_warc, op7_simhash, op8_packing)
 }
 
 ORACLE = {
