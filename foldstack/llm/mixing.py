@@ -135,6 +135,11 @@ def _small(leaves: DataFrame) -> bool:
     return leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
 
 
+def take_prefix(text: Column, tokens: Column) -> Column:
+    """The text up to the end of its first ``tokens`` tokens."""
+    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+){"), tokens.cast("string"), F.lit("}")), 0)
+
+
 def _level(depth: int) -> str:
     """SQL for one level of the tree: the same sharing rule, written with framed windows."""
     path = ", ".join(LEVELS[:depth])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, personal, quality, simhash, units, warc, winnowing
+from . import exact, mixing, packing, passages, personal, quality, simhash, units, warc, winnowing
 from .common import table
 
 DOMAINS = 4
@@ -80,8 +80,24 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality, op3_winnowing, op4_line_dedup, op5_exact_dedup, op6_warc, op7_simhash, op8_packing, op9_personal)
+    f.__name__: f
+    for f in (
+        op1_mixture,
+        op2_quality,
+        op3_winnowing,
+        op4_line_dedup,
+        op5_exact_dedup,
+        op6_warc,
+        op7_simhash,
+        op8_packing,
+        op9_personal,
+        op10_passages,
+    )
 }
 
 ORACLE = {
