@@ -137,7 +137,29 @@ def _small(leaves: DataFrame) -> bool:
 
 def take_prefix(text: Column, tokens: Column) -> Column:
     """The text up to the end of its first ``tokens`` tokens."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+){"), tokens.cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all(text, F.lit(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), tokens.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, domain: Column, share: float, weights: dict[str, Column], seed: int) -> DataFrame:
+    """The input's columns for a ``share`` of its tokens by the target weights, each document once at most.
+
+    ``docs`` has the columns of ``documents`` and perhaps more. ``text`` and ``n_chars`` of the document in which a
+    leaf's budget ends are cut to its first tokens. Documents without tokens have nothing to give and go. Rows that
+    repeat an id and text are one document, kept or cut alike.
+    """
+    names = docs.columns
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.xxhash64("text", "lang", "source").cast("string"))
+    told = docs.select(key.alias("id"), domain.alias("domain"), "lang", "source", words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    told = store(told.distinct(), "mix-told")
+    budget = int((told.agg(F.sum("tokens")).first()[0] or 0) * share)
+    taken = store(mix(told, F.lit(budget), weights, 1, seed).select("id", "tokens", "take"), "mix-taken")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("id")).join(taken, "id")
+    cut = F.when(F.col("take") < F.col("tokens"), take_prefix(F.col("row.text"), F.col("take"))).otherwise(F.col("row.text"))
+    rows = rows.select("row", "tokens", "take", cut.alias("cut"))
+    size = F.when(F.col("take") < F.col("tokens"), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    changed = {"text": F.col("cut"), "n_chars": size}
+    return rows.select(*(changed.get(n, F.col("row").getField(n)).alias(n) for n in names))
 
 
 def _level(depth: int) -> str:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import narrow, whole
 
@@ -169,8 +170,8 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
             yield pa.record_batch([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
 
     rows = docs.select(F.struct("*").alias("row"), whole("text").alias("text"))
-    schema = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {schema}, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
