@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow, whole
+from .common import narrow, sample_ids, store, whole
 
 EMBEDDED, WIDTH, STRIDE, FILTERS, POOL = 8, 8, 4, 24, 64
 #: Training sample: labelled documents per class and longest text, in order of a hash of the id.
@@ -143,11 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     """
     known = narrow(labels, id="doc_id", label="quality").filter("id is not null and label in (0, 1)").filter(remainder("id") != 1)
     short = narrow(docs, id="doc_id", text=whole("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    ids = short.select("id").join(known, "id").distinct()
-    order = [F.xxhash64("id", F.lit(SEED)), "id", "label"]
-    some = ids.filter("label = 0").orderBy(*order).limit(SAMPLE_PER_CLASS)
-    some = some.unionByName(ids.filter("label = 1").orderBy(*order).limit(SAMPLE_PER_CLASS))
-    sample = short.join(F.broadcast(some), "id")  # bounded by the sample's size
+    known = store(short.select("id").join(known, "id").distinct(), "quality-labels")
+    chosen = [
+        sample_ids(known.filter(F.col("label") == label), SAMPLE_PER_CLASS, SEED).withColumn("label", F.lit(label))
+        for label in (0, 1)
+    ]
+    sample = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")  # bounded by the sample's size
 
     def run(batches):
         rows = [row for batch in batches for row in batch.to_pylist()]

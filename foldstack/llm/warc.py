@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_uri
-from .common import LOWEST, as_null, narrow, null_as, store, whole
+from .common import LOWEST, as_null, narrow, null_as, sample_ids, store, whole
 
 VERSION = "WARC/1.1"
 #: Fixed by the format: the skippable frame that holds a dictionary, a trained dictionary, a compressed one.
@@ -281,9 +281,10 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 
 def sample_dictionary(pages: DataFrame, payload: str = "html", page_id: str = "page_id") -> bytes:
     """Trained on at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` each."""
-    some = narrow(pages, id=page_id, payload=whole(payload)).filter(F.length("payload").between(1, SAMPLE_CHARS))
-    some = some.orderBy(F.xxhash64("id"), "id", "payload").limit(SAMPLE_PAGES)
-    return train_dictionary([r["payload"].encode() for r in some.collect()])
+    rows = narrow(pages, id=page_id, payload=whole(payload))
+    ids = sample_ids(rows.select("id"), SAMPLE_PAGES, 6)
+    some = rows.filter(F.length("payload").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "id")  # at most SAMPLE_PAGES
+    return train_dictionary([x.encode() for x in sorted(r["payload"] for r in some.dropDuplicates(["id"]).collect())])
 
 
 def report(pages: DataFrame) -> DataFrame:
