@@ -1,8 +1,8 @@
 """Everything that is one row per class: distributions, codes and weights.
 
-Class tables are small because a classifier holds weights per class, but the size is checked,
-not assumed. A label may hold a third of all rows, so a wide table is never shuffled by label:
-within ``MAX_CLASSES`` the class table is broadcast, beyond it the join is salted.
+Nothing here bounds the number of classes. A label may hold a third of all rows, so a wide table
+is never shuffled by label alone: within ``MAX_CLASSES`` rows the class table is broadcast, beyond
+that the join is salted. Fitting a classifier does need a bound, which :func:`class_list` checks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldstack.sources.scratch import scratch_uri
+
 MAX_CLASSES = 10_000
 SALTS = 64
 
@@ -20,23 +22,29 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bounded_distribution(
-    df: DataFrame, label: str = "label", limit: int = MAX_CLASSES
-) -> DataFrame:
-    """Label distribution as a local table of at most ``limit`` rows; more labels raise.
+def global_rank(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``_rank``, its 0-based place in the order, without gathering it in one task.
 
-    What follows may order or total the classes in one task, because there are provably few.
+    Rows are range sorted and written; places add up from the sizes of the ranges.
     """
-    rows = label_distribution(df, label).limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"more than {limit} distinct labels: not a class column")
-    return df.sparkSession.createDataFrame(rows)
+    spark = df.sparkSession
+    path = scratch_uri(spark, "ranked")
+    df.orderBy(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranked = spark.read.parquet(path)
+    sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (
+        ranked.join(F.broadcast(sizes.select("_part", before)), "_part")
+        .withColumn("_rank", place + F.col("_before"))
+        .drop("_part", "_before")
+    )
 
 
 def class_table(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, code, n)`` with codes from 0 in sorted label order."""
-    code = (F.row_number().over(Window.orderBy(label)) - 1).alias("code")
-    return bounded_distribution(df, label).select(label, code, "n")
+    ranked = global_rank(label_distribution(df, label), label)
+    return ranked.select(label, F.col("_rank").cast("int").alias("code"), "n")
 
 
 def class_list(df: DataFrame, label: str = "label", limit: int = MAX_CLASSES) -> list[str]:
@@ -85,16 +93,15 @@ def decode_labels(df: DataFrame, labels: list[str], column: str, output: str) ->
 
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weights ``N / (C * n_class)``, one row per class."""
-    everything = Window.partitionBy()
-    n = F.sum("n").over(everything)
-    classes = F.count(F.lit(1)).over(everything)
-    weight = (n / (classes * F.col("n"))).alias("weight")
-    return bounded_distribution(df).select("label", "n", weight)
+    sizes = label_distribution(df)
+    total = sizes.agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_classes"))  # one row
+    weight = (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
+    return sizes.join(F.broadcast(total)).select("label", "n", weight)
 
 
 def class_summary(df: DataFrame) -> DataFrame:
-    """One row: the sorted class names and how many there are."""
-    return bounded_distribution(df).agg(
+    """One row: the sorted class names, a single text by definition, and how many there are."""
+    return label_distribution(df).agg(
         F.array_join(F.sort_array(F.collect_list("label")), ",").alias("classes"),
         F.count("label").alias("n_classes"),
     )

@@ -26,6 +26,9 @@ UNIT_METRICS = (
     "precision",
     "recall",
     "f1_score",
+    "f1",
+    "macro_f1",
+    "ece",
     "auc",
 )
 
@@ -79,7 +82,7 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.select(*others, _features_as_doubles(df).alias("features"))
 
 
-def _parsed(df: DataFrame) -> DataFrame:
+def parsed(df: DataFrame) -> DataFrame:
     """Required columns with the coerced features beside the raw ones, parsed once per row."""
     require_columns(df)
     return df.select(*REQUIRED, _features_as_doubles(df).alias("_parsed"))
@@ -102,12 +105,12 @@ def _rules(flag_nan: bool) -> list[tuple[str, Column]]:
 def violations(df: DataFrame, flag_nan: bool = False) -> DataFrame:
     """One row ``(window_id, rule)`` for each broken row rule; narrow, no shuffle."""
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in _rules(flag_nan)]))
-    return _parsed(df).select(F.col("window_id").cast("string"), F.explode(broken).alias("rule"))
+    return parsed(df).select(F.col("window_id").cast("string"), F.explode(broken).alias("rule"))
 
 
 def violation_counts(df: DataFrame, flag_nan: bool = False) -> DataFrame:
     """One row: how many rows break each rule, in a single pass."""
-    return _parsed(df).agg(
+    return parsed(df).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(test).alias(name) for name, test in _rules(flag_nan)],
     )
@@ -135,30 +138,45 @@ def check(df: DataFrame) -> bool:
     return True
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """Conformed table, or :class:`ContractError` naming what is wrong.
-
-    One pass over the rows counts every broken rule and the range of feature lengths; a second,
-    reading only the ids, looks for duplicates.
-    """
-    rules = _rules(flag_nan=False)
+def rule_measures() -> list[Column]:
+    """Aggregates over parsed rows: broken rules and the range of feature lengths."""
     length = F.size("_parsed")
-    counts = (
-        _parsed(df)
-        .agg(
-            *[F.count_if(test).alias(name) for name, test in rules],
-            F.min(length).alias("low"),
-            F.max(length).alias("high"),
-        )
-        .first()
+    return [
+        *[F.count_if(test).alias(name) for name, test in _rules(flag_nan=False)],
+        F.min(length).alias("low"),
+        F.max(length).alias("high"),
+    ]
+
+
+def conformed(rows: DataFrame) -> DataFrame:
+    """The contract's columns of parsed rows."""
+    return rows.select(
+        F.col("window_id").cast("string").alias("window_id"),
+        F.col("label").cast("string").alias("label"),
+        F.col("_parsed").alias("features"),
     )
-    problems = {name: counts[name] for name, _ in rules if counts[name]}
+
+
+def raise_problems(counts: dict[str, int | None], duplicates: bool) -> None:
+    """:class:`ContractError` naming what the measures and a look at the ids found wrong."""
+    problems = {name: counts[name] for name, _ in _rules(flag_nan=False) if counts[name]}
     if not problems and counts["low"] != counts["high"]:
         problems["ragged_features"] = f"{counts['low']}..{counts['high']}"
-    if not problems and not duplicate_ids(df).isEmpty():
+    if not problems and duplicates:
         problems["duplicate_window_id"] = "yes"
     if problems:
         raise ContractError("; ".join(f"{name}: {n}" for name, n in problems.items()))
+
+
+def validate(df: DataFrame) -> DataFrame:
+    """Conformed table, or :class:`ContractError` naming what is wrong.
+
+    One pass over the rows counts every broken rule and the range of feature lengths; a second,
+    reading only the ids, looks for duplicates.
+    """
+    counts = parsed(df).agg(*rule_measures()).first().asDict()
+    broken = any(counts[name] for name, _ in _rules(flag_nan=False)) or counts["low"] != counts["high"]
+    raise_problems(counts, not broken and not duplicate_ids(df).isEmpty())
     return conform(df)
 
 
@@ -198,19 +216,41 @@ def expectations(
 
 
 def metric_range_violations(
-    df: DataFrame, metrics: Sequence[str] = UNIT_METRICS, key: str = "model"
+    df: DataFrame, metrics: Sequence[str] = UNIT_METRICS, key: str = "model", custom: str | None = "custom_metrics"
 ) -> DataFrame:
-    """Metrics outside [0, 1] as ``(key, metric, value)``; a missing value is allowed."""
-    present = [m for m in metrics if m in df.columns]
-    long = df.select(
-        key,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                    for m in present
-                ]
+    """Metrics outside [0, 1] as ``(key, metric, value)``; a missing value is allowed.
+
+    Looked at are the columns named in ``metrics``, the entries of a map column ``custom`` and the
+    per-fold records in ``fold_details``, where the table has them; these last are named
+    ``fold <n> <metric>``.
+    """
+    entry = "array<struct<metric: string, value: double>>"
+    found = [
+        F.array(F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("double").alias("value")))
+        for m in metrics
+        if m in df.columns
+    ]
+    if custom is not None and custom in df.columns:
+        found.append(
+            F.transform(
+                F.map_entries(custom),
+                lambda e: F.struct(e["key"].cast("string").alias("metric"), e["value"].cast("double").alias("value")),
             )
-        ),
-    )
+        )
+    if "fold_details" in df.columns:
+        inner = [f for f in df.schema["fold_details"].dataType.elementType.fieldNames() if f in metrics]
+        found += [
+            F.transform(
+                "fold_details",
+                lambda d, m=m: F.struct(
+                    F.concat_ws(" ", F.lit("fold"), d["fold"].cast("string"), F.lit(m)).alias("metric"),
+                    d[m].cast("double").alias("value"),
+                ),
+            )
+            for m in inner
+        ]
+    if not found:
+        return df.select(key, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).where("false")
+    some = [F.coalesce(x.cast(entry), F.array().cast(entry)) for x in found]
+    long = df.select(key, F.inline(F.concat(*some)))
     return long.where(F.col("value").isNotNull() & ~F.col("value").between(0.0, 1.0))

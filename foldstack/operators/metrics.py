@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldstack.functions.arrays import argmax, confidence
 
@@ -31,20 +32,34 @@ def confusion_counts(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pred.groupBy(*by, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cells_wide(cells: DataFrame, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
+def cells_long(cells: DataFrame, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """All cells, zeros included, as ``(by.., actual, predicted, n)``.
+
+    Labels stay values from end to end, so any text may be a label. Every class is an actual one
+    even when it never occurs: each cell also stands for its predicted class.
+    """
+    kind = cells.schema["predicted"].dataType
+    listed = F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(kind))
+    seen = F.explode(F.array_distinct(F.array("actual", "predicted"))).alias("actual")
+    grid = cells.select(*by, seen).distinct().select(*by, "actual", F.explode(listed).alias("predicted"))
+    blank = grid.withColumn("n", F.lit(0).cast("long"))
+    counted = cells.select(*by, "actual", "predicted", "n").where(F.array_contains(listed, F.col("predicted")))
+    return counted.unionByName(blank).groupBy(*by, "actual", "predicted").agg(F.sum("n").alias("n"))
+
+
+def cells_wide(
+    cells: DataFrame, classes: Sequence, by: Sequence[str] = (), names: Sequence[str] | None = None
+) -> DataFrame:
     """Square matrix: one row per class as ``actual``, one column per predicted class.
 
-    Every class gets a row even when it never occurs: each cell also contributes an empty
-    diagonal cell for its predicted class, so no class grid has to be crossed in.
+    Columns are named after the classes unless ``names`` gives other ones by position.
     """
-    columns = [F.col(c) for c in by]
-    cell = F.struct(F.col("actual"), F.col("predicted"), F.col("n"))
-    blank = F.struct(
-        F.col("predicted").alias("actual"), F.col("predicted"), F.lit(0).cast("long").alias("n")
+    places = {c: i for i, c in enumerate(classes)}
+    numbered = cells_long(cells, classes, by).withColumn(
+        "_at", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("predicted")).cast("int") - 1
     )
-    padded = cells.select(*columns, F.inline(F.array(cell, blank)))
-    wide = padded.groupBy(*by, "actual").pivot("predicted", list(classes)).agg(F.sum("n"))
-    return wide.na.fill(0)
+    wide = numbered.groupBy(*by, "actual").pivot("_at", list(places.values())).agg(F.sum("n"))
+    return wide.na.fill(0).toDF(*by, "actual", *(names or [str(c) for c in classes]))
 
 
 def confusion_wide(pred: DataFrame, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
@@ -53,15 +68,7 @@ def confusion_wide(pred: DataFrame, classes: Sequence, by: Sequence[str] = ()) -
 
 def confusion_long(pred: DataFrame, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """All cells, zeros included, as ``(by.., actual, predicted, n)``."""
-    wide = confusion_wide(pred, classes, by)
-    kind = pred.schema["predicted"].dataType
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).cast(kind).alias("predicted"), F.col(f"`{c}`").alias("n"))
-            for c in classes
-        ]
-    )
-    return wide.select(*by, "actual", F.inline(cells))
+    return cells_long(confusion_counts(pred, by), classes, by)
 
 
 def class_report(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -6,8 +6,9 @@ split is described by at most ``k - 1`` boundary keys per class: finding them co
 two narrow columns, and applying them to the wide table is a plain projection, no shuffle.
 
 Boundaries are found exactly. Sort keys fall into buckets by hash prefix; per-bucket counts say
-which bucket holds each boundary rank, and only those buckets are ranked. No task ever sees a
-whole class.
+which bucket holds each boundary rank. Buckets that are still large are cut by further digits,
+and only what remains is ranked. No task ever sees a whole class. With too many classes for a
+boundary table the same folds come from a two-level rank (:func:`fit_split` chooses).
 """
 
 from __future__ import annotations
@@ -22,12 +23,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldstack.operators.classes import MAX_CLASSES
+from foldstack.operators.classes import MAX_CLASSES, global_rank
 
 # Default seed and number of folds.
 SEED = 1337
 FOLDS = 5
 BUCKET_DIGITS = 3
+#: Boundary keys (classes times cuts) that may be fetched and broadcast, some 100 bytes each.
+MAX_BOUNDS = 200_000
+#: Rows of a bucket that are ranked in one task; larger ones are cut by more digits first.
+BUCKET_ROWS = 500_000
+
+
+class TooManyBounds(ValueError):
+    """More classes times cuts than a boundary table may hold: rank instead."""
+
+
+def _check_bounds(classes: int, parts: int) -> None:
+    if classes > MAX_CLASSES or classes * (parts - 1) > MAX_BOUNDS:
+        raise TooManyBounds(f"{classes} classes in {parts} parts: use assign_folds_by_rank")
 
 
 def sort_key(seed: int, window_id: str = "window_id") -> Column:
@@ -44,8 +58,7 @@ class Split:
     bounds: dict[str, list[str]]
 
     def __post_init__(self):
-        if len(self.bounds) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
+        _check_bounds(len(self.bounds), self.parts)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per class: ``(label, bounds)``."""
@@ -60,7 +73,7 @@ class Split:
         )
 
     def assign(self, df: DataFrame, output: str = "fold") -> DataFrame:
-        """Add the fold number. Narrow: the boundary table is at most ``MAX_CLASSES`` rows.
+        """Add the fold number. Narrow: the boundary table holds at most ``MAX_BOUNDS`` keys.
 
         A label the split has never seen raises instead of losing its rows.
         """
@@ -82,10 +95,9 @@ def _bucket_counts(ids: DataFrame, seed: int, digits: int) -> DataFrame:
     return keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _class_sizes(buckets: DataFrame) -> dict[str, int]:
+def _class_sizes(buckets: DataFrame, parts: int) -> dict[str, int]:
     rows = buckets.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: use assign_folds_by_rank")
+    _check_bounds(len(rows), parts)
     by_hash = sorted(rows, key=lambda r: hashlib.md5(r["label"].encode()).hexdigest())
     return {r["label"]: r["n"] for r in by_hash}
 
@@ -106,20 +118,36 @@ def _boundary_keys(
             }
         )
     )
-    # Everything broadcast or fetched here has one row per class and cut: at most
-    # MAX_CLASSES * (parts - 1).
+    # Everything broadcast or fetched here has one row per class and cut: at most MAX_BOUNDS.
+    keyed = ids.select("label", sort_key(seed).alias("key"))
     running = Window.partitionBy("label").orderBy("bucket")
     located = (
         buckets.withColumn("start", F.sum("n").over(running) - F.col("n"))
         .join(F.broadcast(cut_table), "label")
         .where("rank >= start and rank < start + n")
-        .select("label", "bucket", (F.col("rank") - F.col("start")).alias("offset"), "rank")
+        .select("label", "bucket", (F.col("rank") - F.col("start")).alias("offset"), "rank", "n")
         .toArrow()
     )
-    targets = spark.createDataFrame(located)
-    candidates = ids.select("label", sort_key(seed).alias("key")).withColumn(
-        "bucket", F.substring("key", 1, digits)
-    )
+    while digits < 32 and max(located["n"].to_pylist()) > BUCKET_ROWS:
+        targets = spark.createDataFrame(located.rename_columns(["label", "outer", "offset", "rank", "n"]))
+        places = targets.select("label", "outer").distinct()
+        inside = keyed.withColumn("outer", F.substring("key", 1, digits)).join(
+            F.broadcast(places), ["label", "outer"], "left_semi"
+        )
+        digits = min(digits + BUCKET_DIGITS, 32)
+        finer = inside.groupBy("label", "outer", F.substring("key", 1, digits).alias("bucket")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        running = Window.partitionBy("label", "outer").orderBy("bucket")
+        located = (
+            finer.withColumn("start", F.sum("n").over(running) - F.col("n"))
+            .join(F.broadcast(targets.drop("n")), ["label", "outer"])
+            .where("offset >= start and offset < start + n")
+            .select("label", "bucket", (F.col("offset") - F.col("start")).alias("offset"), "rank", "n")
+            .toArrow()
+        )
+    targets = spark.createDataFrame(located).drop("n")
+    candidates = keyed.withColumn("bucket", F.substring("key", 1, digits))
     order = Window.partitionBy("label", "bucket").orderBy("key")
     found = (
         candidates.join(F.broadcast(targets), ["label", "bucket"], "left_semi")
@@ -140,7 +168,7 @@ def _fit(df: DataFrame, seed: int, parts: int, digits: int, starts_for) -> Split
     ids = df.select("window_id", "label")
     buckets = _bucket_counts(ids, seed, digits).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sizes = _class_sizes(buckets)
+        sizes = _class_sizes(buckets, parts)
         starts = starts_for(sizes)
         inner = {c: [r for r in starts[c] if 0 < r < sizes[c]] for c in sizes}
         cuts = {c: ranks for c, ranks in inner.items() if ranks}
@@ -206,8 +234,43 @@ def fit_holdout(
 
 
 def assign_folds(df: DataFrame, seed: int = SEED, k: int = FOLDS) -> DataFrame:
-    """``df`` with its fold number."""
-    return fit_folds(df, seed, k).assign(df)
+    """``df`` with its fold number, for any number of classes."""
+    return fit_split(df, seed, k).assign(df)
+
+
+@dataclass(frozen=True)
+class RankedSplit:
+    """Parts by id, for more classes than a boundary table may hold."""
+
+    seed: int
+    parts: int
+    folds: DataFrame
+
+    def assign(self, df: DataFrame, output: str = "fold") -> DataFrame:
+        """Add the part number by id; a window the split has never seen raises."""
+        known = self.folds.select("window_id", F.col("fold").alias("_part"))
+        unknown = F.raise_error(
+            F.concat(F.lit("window not in the split: "), F.coalesce("window_id", F.lit("null")))
+        ).cast("int")
+        kept = [c for c in df.columns if c != output]
+        part = F.when(F.col("_part").isNotNull(), F.col("_part")).otherwise(unknown)
+        return df.join(known, "window_id", "left").select(*kept, part.alias(output))
+
+
+def fit_split(df: DataFrame, seed: int = SEED, k: int = FOLDS) -> Split | RankedSplit:
+    """Stratified k-fold split; the same folds whether by boundaries or, beyond their bound, by rank."""
+    try:
+        return fit_folds(df, seed, k)
+    except TooManyBounds:
+        return RankedSplit(seed, k, assign_folds_by_rank(df, seed, k))
+
+
+def fit_holdout_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2) -> Split | RankedSplit:
+    """Train/test split for any number of classes."""
+    try:
+        return fit_holdout(df, seed, test_size)
+    except TooManyBounds:
+        return RankedSplit(seed, 2, assign_holdout_by_rank(df, seed, test_size))
 
 
 def _class_offsets(counts: DataFrame, digits: int) -> DataFrame:
@@ -234,13 +297,11 @@ def _class_offsets(counts: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def assign_folds_by_rank(
-    df: DataFrame, seed: int = SEED, k: int = FOLDS, digits: int = BUCKET_DIGITS
-) -> DataFrame:
-    """The same folds for any number of classes, by a two-level rank and no broadcast.
+def _ranked(df: DataFrame, seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(window_id, label, rank, size, begin)`` ranked in their class, and the bucket counts.
 
-    ``(window_id, label, fold)``. Rows shuffle by (label, bucket), so a class holding most of the
-    table still spreads over all its buckets.
+    Rows shuffle by (label, bucket), so a class holding most of the table still spreads over all
+    its buckets.
     """
     keyed = df.select("window_id", "label", sort_key(seed).alias("_key")).withColumn(
         "bucket", F.substring("_key", 1, digits)
@@ -257,6 +318,14 @@ def assign_folds_by_rank(
         .join(per_bucket, ["label", "bucket"])
         .withColumn("rank", F.col("start") + F.col("_row"))
     )
+    return ranked.select("window_id", "label", "rank", "size", "begin"), counts
+
+
+def assign_folds_by_rank(
+    df: DataFrame, seed: int = SEED, k: int = FOLDS, digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """``(window_id, label, fold)``: the same folds for any number of classes, with no broadcast."""
+    ranked, _ = _ranked(df, seed, digits)
     base = F.floor(F.col("size") / k)
     extra = F.col("size") % k
     quotas = F.transform(
@@ -271,6 +340,28 @@ def assign_folds_by_rank(
     return ranked.select("window_id", "label", fold.alias("fold"))
 
 
+def assign_holdout_by_rank(
+    df: DataFrame, seed: int = SEED, test_size: float = 0.2, digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """``(window_id, label, fold)`` with the test part as 0: the same holdout for any number of classes."""
+    ranked, counts = _ranked(df, seed, digits)
+    sizes = counts.groupBy("label").agg(F.sum("n").cast("decimal(38,0)").alias("size"))
+    total = int(sizes.agg(F.sum("size")).first()[0] or 0)
+    target = math.ceil(test_size * total)
+    exact = F.col("size") * F.lit(target)
+    quotas = sizes.select(
+        "label",
+        F.floor(exact / F.lit(max(total, 1))).cast("long").alias("quota"),
+        (-(exact % F.lit(max(total, 1)))).alias("rest"),
+    )
+    left = target - int(quotas.agg(F.sum("quota")).first()[0] or 0)
+    quotas = global_rank(quotas, "rest", "label").select(
+        "label", (F.col("quota") + (F.col("_rank") < left).cast("long")).alias("quota")
+    )
+    part = F.when(F.col("rank") < F.col("quota"), 0).otherwise(1).cast("int")
+    return ranked.join(quotas, "label").select("window_id", "label", part.alias("fold"))
+
+
 def training(df: DataFrame, fold: int) -> DataFrame:
     return df.where(F.col("fold") != fold)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstack.functions.arrays import is_zero_row
@@ -68,11 +68,44 @@ def missing_rows(folds: DataFrame, oof: DataFrame) -> DataFrame:
     return folds.join(oof.select("window_id"), "window_id", "left_anti")
 
 
-def coverage(folds: DataFrame, oof: DataFrame) -> DataFrame:
-    """One row for one model: rows written, rows never filled, windows without a row."""
-    pairs = folds.select("window_id").join(oof.select("window_id", "proba"), "window_id", "left")
-    return pairs.agg(
-        F.count("proba").alias("n_rows"),
-        F.count_if(is_zero_row(F.col("proba"))).alias("zero_rows"),
-        F.count_if(F.col("proba").isNull()).alias("missing_rows"),
+COVERAGE = ("n_rows", "zero_rows", "missing_rows", "extra_rows", "duplicate_rows")
+#: What makes a stored table unfit for stacking.
+GAPS = COVERAGE[1:]
+
+
+def coverage(folds: DataFrame, oof: DataFrame, models: Sequence[str]) -> DataFrame:
+    """One row per model: rows written, rows never filled, windows without a row, rows of unknown
+    windows, rows beyond the first of a window.
+
+    All models are counted in one pass: probabilities shrink to a flag before the only wide
+    shuffle, and a window is one row of counts after it.
+    """
+    models = list(models)
+    flags = oof.where(F.col("model").isin(models)).select(
+        "window_id", "model", is_zero_row(F.col("proba")).alias("_zero")
     )
+    counts = flags.groupBy("window_id").agg(
+        *[F.count_if(F.col("model") == m).alias(f"_n{i}") for i, m in enumerate(models)],
+        *[F.count_if((F.col("model") == m) & F.col("_zero")).alias(f"_z{i}") for i, m in enumerate(models)],
+    )
+    known = folds.select("window_id").distinct().withColumn("_known", F.lit(True))
+    pairs = known.join(counts, "window_id", "full")
+    inside, zero = F.coalesce("_known", F.lit(False)), F.lit(0).cast("long")
+
+    def tallies(i: int) -> list[Column]:
+        n = F.coalesce(f"_n{i}", zero)
+        found = (
+            n,
+            F.coalesce(f"_z{i}", zero),
+            F.when(inside & (n == 0), 1).otherwise(0).cast("long"),
+            F.when(inside, zero).otherwise(n),
+            F.greatest(n - 1, zero),
+        )
+        return [F.coalesce(F.sum(value), zero).alias(f"{name}{i}") for name, value in zip(COVERAGE, found)]
+
+    totals = pairs.agg(*[tally for i in range(len(models)) for tally in tallies(i)])
+    rows = [
+        F.struct(F.lit(m).alias("model"), *[F.col(f"{name}{i}").alias(name) for name in COVERAGE])
+        for i, m in enumerate(models)
+    ]
+    return totals.select(F.inline(F.array(*rows)))

@@ -1,13 +1,20 @@
 """Artifact manifests: a SHA-256 per file, built and verified as DataFrames.
 
-A file is hashed inside one row, so files are read in parallel but each must stay below the
-reader's 2 GiB bound; larger ones are listed with an error text instead of a hash.
+Files are hashed in parallel, each by one task. Small ones are read as a column; larger ones are
+streamed in fixed-size pieces, so a file of any size needs the memory of one piece. A file that
+cannot be read has no hash and its error in a column of its own, and never verifies.
 """
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +22,14 @@ from pyspark.sql import types as T
 from foldstack.functions.arrays import sha256, utc_stamp
 from foldstack.sources.scratch import exists
 
+# The streaming reader travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MANIFEST = "manifest"
 PATTERNS = ("*.parquet", "*.json", "*.csv", "part-*")
-MAX_BYTES = 2**31 - 1
+#: Larger files are streamed, in pieces of this many bytes.
+WHOLE_BYTES = 32 * 1024**2
+PIECE_BYTES = 4 * 1024**2
 
 ENTRY_SCHEMA = T.StructType(
     [T.StructField("rel_path", T.StringType()), T.StructField("sha256", T.StringType())]
@@ -32,32 +44,73 @@ HEADER_SCHEMA = T.StructType(
 )
 
 
-def _relative(path: Column, root: str) -> Column:
-    """Path below ``root``; schemes and missing authorities do not matter."""
-    plain = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
-    folder = "/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    at = F.instr(plain, folder)
-    return F.when(at > 0, F.substr(plain, at + len(folder))).otherwise(plain)
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file listing writes it, without a trailing slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
+def _stream_sha256(uri: str) -> str:
+    if uri.startswith("file:"):
+        system, path = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    else:
+        system, path = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    digest = hashlib.sha256()
+    with system.open_input_stream(path, compression=None, buffer_size=PIECE_BYTES) as stream:
+        while piece := stream.read(PIECE_BYTES):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _streamed(paths: DataFrame) -> DataFrame:
+    """``(rel_path, path)`` with ``sha256`` and ``error`` of each file, one of them null."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, errors = [], []
+            for uri in batch.column("path").to_pylist():
+                try:
+                    hashes.append(_stream_sha256(uri))
+                    errors.append(None)
+                except (OSError, ValueError) as problem:
+                    hashes.append(None)
+                    errors.append(f"{type(problem).__name__}: {problem}"[:500])
+            yield pa.record_batch(
+                [batch.column("rel_path"), pa.array(hashes, pa.string()), pa.array(errors, pa.string())],
+                names=["rel_path", "sha256", "error"],
+            )
+
+    # One file per partition would be best; a round robin over the default number comes near.
+    return paths.repartition(max(2, paths.sparkSession.sparkContext.defaultParallelism)).mapInArrow(
+        run, "rel_path string, sha256 string, error string"
+    )
 
 
 def artifact_hashes(
     spark: SparkSession,
     root: str,
     patterns: Sequence[str] = PATTERNS,
-    max_bytes: int = MAX_BYTES,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
-    """``(rel_path, sha256)`` of each matching file below ``root``, the manifest excepted."""
+    """``(rel_path, sha256, error)`` of each matching file below ``root``.
+
+    Left out are the root's own manifest folder and files named ``manifest.json``.
+    """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "{" + ",".join(patterns) + "}")
     )
-    too_long = F.concat(F.lit("error: file of "), F.col("length").cast("string"), F.lit(" bytes"))
-    listed = reader.load(root).select(_relative(F.col("path"), root).alias("rel_path"), "length", "content")
-    listed = listed.where(~F.col("rel_path").rlike(r"(^|/)manifest(\.json)?(/|$)"))
-    small = listed.where(F.col("length") < max_bytes).select("rel_path", sha256("content").alias("sha256"))
-    large = listed.where(F.col("length") >= max_bytes).select("rel_path", too_long.alias("sha256"))
-    return small.unionByName(large)
+    top = _qualified(spark, root)
+    below = F.expr(f"substring(path, {len(top) + 2})")
+    own = F.col("rel_path").startswith(f"{MANIFEST}/") | F.col("rel_path").rlike(r"(^|/)manifest\.json$")
+    listed = reader.load(root).withColumn("rel_path", below).where(~own)
+    small = listed.where(F.col("length") <= whole_bytes).select(
+        "rel_path", sha256("content").alias("sha256"), F.lit(None).cast("string").alias("error")
+    )
+    large = listed.where(F.col("length") > whole_bytes).select("rel_path", "path")
+    return small.unionByName(_streamed(large))
 
 
 def create_manifest(
@@ -78,9 +131,14 @@ def create_manifest(
     return header, artifact_hashes(spark, root)
 
 
+def unreadable(entries: DataFrame) -> DataFrame:
+    """Listed files without a hash, and why."""
+    return entries.where(F.col("sha256").isNull()).select("rel_path", "error")
+
+
 def write_manifest(header: DataFrame, entries: DataFrame, root: str) -> None:
     header.write.mode("overwrite").json(f"{root}/{MANIFEST}/header")
-    entries.write.mode("overwrite").json(f"{root}/{MANIFEST}/artifacts")
+    entries.select("rel_path", "sha256").write.mode("overwrite").json(f"{root}/{MANIFEST}/artifacts")
 
 
 def read_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
@@ -95,7 +153,8 @@ def read_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 def compare_hashes(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """``(rel_path, ok)`` for each expected file; absent ones fail, unlisted ones are ignored."""
     found = actual.select("rel_path", F.lower("sha256").alias("_actual"))
-    same = F.coalesce(F.lower("sha256") == F.col("_actual"), F.lit(False))
+    digest = F.lower("sha256").rlike("^[0-9a-f]{64}$")  # an error text is never a match
+    same = F.coalesce(digest & (F.lower("sha256") == F.col("_actual")), F.lit(False))
     return expected.join(found, "rel_path", "left").select("rel_path", same.alias("ok"))
 
 

@@ -121,13 +121,42 @@ def test_relative_paths_start_at_the_root(spark, tmp_path):
         assert [r["rel_path"] for r in rows] == ["models/run/x.csv"]
 
 
-def test_oversized_files_are_listed_with_an_error(spark, tmp_path):
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "PIECE_BYTES", 16)
     _write(tmp_path / "small.csv", "x")
-    _write(tmp_path / "large.csv", "x" * 100)
-    rows = artifacts.artifact_hashes(spark, str(tmp_path), max_bytes=50).collect()
+    _write(tmp_path / "large file%.csv", "x" * 100)
+    rows = artifacts.artifact_hashes(spark, str(tmp_path), whole_bytes=50).collect()
     hashes = {r["rel_path"]: r["sha256"] for r in rows}
-    assert hashes["small.csv"] == hashlib.sha256(b"x").hexdigest()
-    assert hashes["large.csv"] == "error: file of 100 bytes"
+    assert hashes == {n: hashlib.sha256(t.encode()).hexdigest() for n, t in (("small.csv", "x"), ("large file%.csv", "x" * 100))}
+    assert all(r["error"] is None for r in rows)
+
+
+def test_tampering_with_a_large_file_is_seen(spark, tmp_path):
+    _write(tmp_path / "large.csv", "x" * 100)
+    hashed = artifacts.artifact_hashes(spark, str(tmp_path), whole_bytes=50)
+    before = spark.createDataFrame(hashed.collect(), hashed.schema)
+    _write(tmp_path / "large.csv", "y" * 100)
+    after = artifacts.artifact_hashes(spark, str(tmp_path), whole_bytes=50)
+    assert [r["ok"] for r in artifacts.compare_hashes(before, after).collect()] == [False]
+
+
+def test_error_texts_never_match(spark):
+    same = spark.createDataFrame([("a", "error: file of 100 bytes"), ("b", None)], "rel_path string, sha256 string")
+    assert [r["ok"] for r in artifacts.compare_hashes(same, same).collect()] == [False, False]
+
+
+def test_unreadable_files_have_an_error(spark, tmp_path):
+    paths = spark.createDataFrame([("x", f"file:{tmp_path}/none.bin")], "rel_path string, path string")
+    row = artifacts._streamed(paths).first()
+    assert row["sha256"] is None and "none.bin" in row["error"]
+    assert artifacts.unreadable(artifacts._streamed(paths)).count() == 1
+
+
+def test_only_the_roots_own_manifest_is_left_out(spark, tmp_path):
+    for name in ("manifest/part-0.json", "manifest.json", "sub/manifest/part-0.parquet", "sub/manifest.json", "a.csv"):
+        _write(tmp_path / name, name)
+    rows = artifacts.artifact_hashes(spark, str(tmp_path)).collect()
+    assert {r["rel_path"] for r in rows} == {"sub/manifest/part-0.parquet", "a.csv"}
 
 
 def test_no_manifest_verifies_nothing(spark, tmp_path):

@@ -49,16 +49,33 @@ def test_one_shuffle_for_any_number_of_models(spark):
 def test_coverage_flags_zero_and_missing_rows(spark):
     folds = spark.createDataFrame([("1",), ("2",), ("3",)], "window_id string")
     oof = _oof(spark, [("1", "a", [0.5, 0.5]), ("2", "a", [0.0, 0.0])])
-    assert stacking.coverage(folds, oof).first().asDict() == {
+    assert stacking.coverage(folds, oof, ["a"]).first().asDict() == {
+        "model": "a",
         "n_rows": 2,
         "zero_rows": 1,
         "missing_rows": 1,
+        "extra_rows": 0,
+        "duplicate_rows": 0,
     }
     assert [r["window_id"] for r in stacking.missing_rows(folds, oof).collect()] == ["3"]
     zero = stacking.zero_rows(oof).first()
     assert (zero["n_rows"], zero["zero_rows"]) == (2, 1)
 
 
+def test_coverage_sees_foreign_and_duplicate_rows(spark):
+    folds = spark.createDataFrame([("1",), ("2",), ("3",)], "window_id string")
+    rows = [("1", "a", [0.5, 0.5]), ("1", "a", [0.5, 0.5]), ("9", "a", [1.0, 0.0]), ("9", "a", [0.0, 0.0]), ("2", "b", [1.0, 0.0])]
+    found = {r["model"]: tuple(r)[1:] for r in stacking.coverage(folds, _oof(spark, rows), ["a", "b", "c"]).collect()}
+    assert found == {"a": (4, 1, 2, 2, 2), "b": (1, 0, 2, 0, 0), "c": (0, 0, 3, 0, 0)}
+
+
+def test_coverage_of_all_models_is_one_wide_pass(spark):
+    oof = _oof(spark, [("1", m, [1.0]) for m in "abcdef"])
+    folds = spark.createDataFrame([("1",)], "window_id string")
+    plan = stacking.coverage(folds, oof, list("abcdef"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the split's ids and the flags
+
+
 def test_hot_key_keeps_bounded_buffers(spark):
     """A key repeated far beyond one row per model is reported, not collected."""
     hot = spark.range(5000).select(
