@@ -28,7 +28,7 @@ LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1
 LONGEST = LENGTH + 64
 #: Bytes of documents in a group, of documents per anchor partition, hashed at a time; windows in a batch.
-GROUP_BYTES, ANCHOR_BYTES, PIECE_BYTES, BATCH = 12 << 20, 8 << 20, 1 << 20, 1 << 18
+GROUP_BYTES, ANCHOR_BYTES, PIECE_BYTES, BATCH = 8 << 20, 8 << 20, 1 << 20, 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64(63)
