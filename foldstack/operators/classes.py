@@ -94,9 +94,9 @@ def decode_labels(df: DataFrame, labels: list[str], column: str, output: str) ->
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weights ``N / (C * n_class)``, one row per class."""
     sizes = label_distribution(df)
-    total = sizes.agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_classes"))  # one row
-    weight = (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
-    return sizes.join(F.broadcast(total)).select("label", "n", weight)
+    total = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    weight = F.lit(total["rows"] or 0) / (F.lit(total["classes"]) * F.col("n"))
+    return sizes.select("label", "n", weight.alias("weight"))
 
 
 def class_summary(df: DataFrame) -> DataFrame:

@@ -215,6 +215,14 @@ def expectations(
     return profile(df).select(F.inline(rows)).withColumn("ok", F.col("expected") == F.col("actual"))
 
 
+def _fold_metric(metric: str):
+    def entry(detail: Column) -> Column:
+        name = F.concat_ws(" ", F.lit("fold"), detail["fold"].cast("string"), F.lit(metric))
+        return F.struct(name.alias("metric"), detail[metric].cast("double").alias("value"))
+
+    return entry
+
+
 def metric_range_violations(
     df: DataFrame, metrics: Sequence[str] = UNIT_METRICS, key: str = "model", custom: str | None = "custom_metrics"
 ) -> DataFrame:
@@ -239,16 +247,7 @@ def metric_range_violations(
         )
     if "fold_details" in df.columns:
         inner = [f for f in df.schema["fold_details"].dataType.elementType.fieldNames() if f in metrics]
-        found += [
-            F.transform(
-                "fold_details",
-                lambda d, m=m: F.struct(
-                    F.concat_ws(" ", F.lit("fold"), d["fold"].cast("string"), F.lit(m)).alias("metric"),
-                    d[m].cast("double").alias("value"),
-                ),
-            )
-            for m in inner
-        ]
+        found += [F.transform("fold_details", _fold_metric(m)) for m in inner]
     if not found:
         return df.select(key, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")).where("false")
     some = [F.coalesce(x.cast(entry), F.array().cast(entry)) for x in found]

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foldstack.functions.arrays import argmax, utc_stamp
 from foldstack.operators import contract, metrics, splits, stacking
 from foldstack.operators.classes import class_list, label_distribution
-from foldstack.operators.splits import FOLDS, SEED, Split
-from foldstack.plans.fitting import cross_validate, fit_model, training_frame
+from foldstack.operators.splits import FOLDS, SEED, RankedSplit, Split
+from foldstack.plans.fitting import cross_validate, fit_model, layout_partitions, training_frame
 from foldstack.plans.models import BASE_MODELS, STACKER, check_name
 from foldstack.sources import artifacts, tables
 from foldstack.sources.synthetic import synthetic_windows
@@ -29,7 +29,8 @@ def ingest(
 ) -> DataFrame:
     """Validate and land the training table; returns its label distribution.
 
-    Without a source a synthetic table is landed.
+    Without a source a synthetic table is landed. The source is read once: rows are staged while
+    the rules are counted, ids are checked in the staged table, and only a sound table is promoted.
     """
     if source is None:
         raw = synthetic_windows(spark, seed=seed)
@@ -37,20 +38,42 @@ def ingest(
         raw = source
     else:
         raw = tables.read_dataset(spark, source, fmt)
-    tables.write_windows(contract.validate(raw), base)
+    staged = tables.staging_path(base)
+    seen = Observation("contract")
+    try:
+        rows = contract.parsed(raw).observe(seen, *contract.rule_measures())
+        contract.conformed(rows).write.parquet(staged)
+        counts = seen.get
+        landed = spark.read.schema(contract.WINDOW_SCHEMA).parquet(staged)
+        contract.raise_problems(counts, not contract.duplicate_ids(landed).isEmpty())
+        tables.promote(spark, staged, base)
+    finally:
+        tables.discard(spark, staged)
     return label_distribution(tables.read_windows(spark, base))
 
 
 def get_or_create_split(
     spark: SparkSession, base: str, seed: int = SEED, k: int = FOLDS
-) -> Split:
-    """The stored split for (seed, k), made from the landed table on first use."""
-    if tables.has_split(spark, base, seed, k):
+) -> Split | RankedSplit:
+    """The stored split for (seed, k), made on first use and anew for another version of the table."""
+    version, what = tables.table_version(spark, base), tables.split_key(seed, k)
+    if tables.has_split(spark, base, seed, k) and tables.marked_version(spark, base, what) == version:
         return tables.load_split(spark, base, seed, k)
     windows = tables.read_windows(spark, base)
-    split = splits.fit_folds(windows, seed, k)
-    tables.save_split(split, windows, base)
-    return split
+    tables.save_split(splits.fit_split(windows, seed, k), windows, base)
+    tables.mark_version(spark, base, what, version)
+    return tables.load_split(spark, base, seed, k)
+
+
+def _current_folds(spark: SparkSession, base: str, seed: int, k: int) -> DataFrame:
+    tables.require_version(spark, base, tables.split_key(seed, k))
+    return tables.load_folds(spark, base, seed, k)
+
+
+def _current_oof(spark: SparkSession, base: str, models: Sequence[str], seed: int) -> DataFrame:
+    for name in models:
+        tables.require_version(spark, base, tables.oof_key(name, seed))
+    return tables.load_oof(spark, base, list(models), seed)
 
 
 def train(
@@ -69,12 +92,13 @@ def train(
     for n in names:
         check_name(n)
     windows = tables.read_windows(spark, base)
-    held_out = splits.fit_holdout(windows, seed).assign(windows)
+    held_out = splits.fit_holdout_split(windows, seed).assign(windows)
     reports = []
     with training_frame(held_out) as frame:
         for n in names:
             model = fit_model(frame, n, seed, without=0, size=size, **overrides)
             tables.save_model(model, base, n)
+            tables.mark_version(spark, base, f"model/{n}", tables.table_version(spark, base))
             scored = model.transform(frame.rows).select(
                 F.lit(n).alias("model"),
                 F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"),
@@ -109,17 +133,25 @@ def _cross_validated(cells: DataFrame, average: str, name: str, seed: int, k: in
 def _stored_predictions(spark: SparkSession, base: str, name: str, seed: int, k: int) -> DataFrame:
     """Cross-validated predictions read back from the out-of-fold table.
 
-    A window without a stored row stops the evaluation instead of leaving it.
+    A window without a stored row, a row without a window or a second row for one stops the
+    evaluation, as does a table made from another version of the training table.
     """
-    folds = tables.load_folds(spark, base, seed, k)
+    folds = _current_folds(spark, base, seed, k)
     labels = F.array(*[F.lit(x) for x in class_list(folds)])
-    rows = tables.load_oof(spark, base, [name], seed).select("window_id", "proba")
+    rows = _current_oof(spark, base, [name], seed).groupBy("window_id").agg(
+        F.first("proba").alias("proba"), F.count(F.lit(1)).alias("_rows")
+    )
     guess = F.get(labels, argmax(F.col("proba")))
-    gap = F.raise_error(F.concat(F.lit("no out-of-fold row for window "), F.col("window_id")))
-    return folds.join(rows, "window_id", "left").select(
+    fault = (
+        F.when(F.col("_rows").isNull(), "no out-of-fold row for window ")
+        .when(F.col("fold").isNull(), "out-of-fold row of an unknown window ")
+        .when(F.col("_rows") > 1, "several out-of-fold rows for window ")
+    )
+    stop = F.raise_error(F.concat(fault, F.coalesce("window_id", F.lit("null")))).cast("string")
+    return folds.join(rows, "window_id", "full").select(
         "fold",
         F.col("label").alias("actual"),
-        F.when(F.col("proba").isNotNull(), guess).otherwise(gap.cast("string")).alias("predicted"),
+        F.when(fault.isNull(), guess).otherwise(stop).alias("predicted"),
     )
 
 
@@ -172,11 +204,14 @@ def evaluate(
 def _save_evaluation(pred: DataFrame, base: str, name: str, seed: int, k: int) -> None:
     """Score once; every metric and matrix is computed from the few cells that remain."""
     cells = metrics.confusion_counts(pred, ["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
-    tables.save_metrics(_cross_validated(cells, "weighted", name, seed, k), base, name)
-    seen = F.explode(F.array("actual", "predicted")).alias("label")
-    classes = class_list(cells.select(seen))
-    tables.save_confusion(metrics.cells_wide(cells, classes), base, name)
-    cells.unpersist()
+    try:
+        tables.save_metrics(_cross_validated(cells, "weighted", name, seed, k), base, name)
+        seen = F.explode(F.array("actual", "predicted")).alias("label")
+        classes = class_list(cells.select(seen))
+        names = [f"pred_{i}" for i in range(len(classes))]
+        tables.save_confusion(metrics.cells_wide(cells, classes, names=names), base, name)
+    finally:
+        cells.unpersist()
 
 
 def generate_oof(
@@ -209,6 +244,12 @@ def generate_oof(
                 ),
                 base,
             )
+            tables.mark_version(
+                windows.sparkSession,
+                base,
+                tables.oof_key(name, seed),
+                tables.table_version(windows.sparkSession, base),
+            )
     return tables.load_oof(windows.sparkSession, base, list(names), seed)
 
 
@@ -224,21 +265,15 @@ def oof(
 ) -> DataFrame:
     """Generate and store the out-of-fold table of one or several models; returns the coverage.
 
-    ``(model, n_rows, zero_rows, missing_rows)``: rows written, rows never filled, windows without
-    a row.
+    ``(model, n_rows, zero_rows, missing_rows, extra_rows, duplicate_rows)``, see
+    :func:`foldstack.operators.stacking.coverage`.
     """
     names = [name] if isinstance(name, str) else list(name)
     split = get_or_create_split(spark, base, seed, k)
     windows = tables.read_windows(spark, base)
     generate_oof(windows, split, names, base, seed, size, parallelism, **overrides)
     folds = tables.load_folds(spark, base, seed, k)
-    reports = [
-        stacking.coverage(folds, tables.load_oof(spark, base, [n], seed)).select(
-            F.lit(n).alias("model"), "*"
-        )
-        for n in names
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    return stacking.coverage(folds, tables.load_oof(spark, base, names, seed), names)
 
 
 def stack_train(
@@ -256,29 +291,34 @@ def stack_train(
     """Cross-validate and fit the stacker on stored out-of-fold tables."""
     check_name(stacker)
     models = list(models)
-    base_oof = tables.load_oof(spark, base, models, seed)
-    folds = tables.load_folds(spark, base, seed, k)
-    stack = stacking.stack_matrix(base_oof, models)
+    base_oof = _current_oof(spark, base, models, seed)
+    folds = _current_folds(spark, base, seed, k)
+    width = len(models) * folds.select("label").distinct().count()
+    # Both sides are dealt by id into the partitions of the training layout, so grouping, join and
+    # layout share one shuffle of the probabilities.
+    partitions = layout_partitions(folds.count() * width * 8)
+    stack = stacking.stack_matrix(base_oof.repartition(partitions, "window_id"), models)
     # A full join keeps windows without probabilities and probabilities without a window, so that
     # either stops the training instead of shrinking it.
-    labelled = folds.join(stack, "window_id", "full")
-    width = len(models) * folds.select("label").distinct().count()
-    with training_frame(labelled, "stack", folds=folds, width=width) as frame:
+    labelled = folds.repartition(partitions, "window_id").join(stack, "window_id", "full")
+    with training_frame(labelled, "stack", partitions, folds, width) as frame:
         pred = cross_validate(
             frame,
             lambda fold: fit_model(frame, stacker, seed, fold, size, parallelism, **overrides),
             parallelism,
         )
         pred = pred.persist(StorageLevel.MEMORY_AND_DISK)  # scored once, read by both aggregates
-        pooled = metrics.metric_bundle(pred).first()
-        cells = metrics.confusion_counts(pred, ["fold"])
-        record = _cross_validated(cells, "macro", STACKER, seed, k).select(
-            "*",
-            F.lit(pooled["ece"]).alias("ece"),
-            F.lit(pooled["logloss"]).cast("double").alias("logloss"),
-        )
-        tables.save_metrics(record, base, STACKER)
-        pred.unpersist()
+        try:
+            pooled = metrics.metric_bundle(pred).first()
+            cells = metrics.confusion_counts(pred, ["fold"])
+            record = _cross_validated(cells, "macro", STACKER, seed, k).select(
+                "*",
+                F.lit(pooled["ece"]).alias("ece"),
+                F.lit(pooled["logloss"]).cast("double").alias("logloss"),
+            )
+            tables.save_metrics(record, base, STACKER)
+        finally:
+            pred.unpersist()
         final = fit_model(frame, stacker, seed, None, size, parallelism, **overrides)
         tables.save_model(final, base, STACKER)
     saved = tables.load_metrics(spark, base, [STACKER])
@@ -298,9 +338,13 @@ def stack_scores(
     spark: SparkSession, base: str, windows: DataFrame, models: Sequence[str] = BASE_MODELS
 ) -> DataFrame:
     """All base models applied to the same rows, their probabilities joined into ``stack``."""
-    scored = windows
+    scored, known = windows, None
     for i, name in enumerate(models):
         model = tables.load_model(spark, base, name)
+        labels = model.stages[-1].getOrDefault("labels")
+        if known is not None and labels != known:
+            raise ValueError(f"{name} was fitted on other labels than {models[0]}: train the base models together")
+        known = labels
         scored = model.transform(scored).withColumnRenamed("proba", f"_base{i}").drop("prediction")
     parts = [f"_base{i}" for i in range(len(models))]
     return scored.withColumn("stack", F.concat(*parts)).drop(*parts)
@@ -324,7 +368,11 @@ def predict(
     output: str | None = None,
     models: Sequence[str] = BASE_MODELS,
 ) -> DataFrame:
-    """Score a table with one model or the stack: a narrow plan from scan to write."""
+    """Score a table with one model or the stack: a narrow plan from scan to write.
+
+    A window of another width than the model was fitted on stops the scoring and is named. With an
+    ``output`` the written table is returned, so nothing is scored twice.
+    """
     check_name(name)
     raw = source if isinstance(source, DataFrame) else tables.read_dataset(spark, source)
     rows = contract.with_features(raw)
@@ -332,7 +380,9 @@ def predict(
         rows = stack_scores(spark, base, rows, models)
     model = tables.load_model(spark, base, name)
     labels = model.stages[-1].getOrDefault("labels")
+    if name == STACKER:
+        base_labels = tables.load_model(spark, base, models[0]).stages[-1].getOrDefault("labels")
+        if base_labels != labels:
+            raise ValueError("the stacker was fitted on other labels than the base models: train it again")
     result = prediction_table(model.transform(rows), len(labels))
-    if output is not None:
-        tables.write_predictions(result, output)
-    return result
+    return result if output is None else tables.write_predictions(result, output)

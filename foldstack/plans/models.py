@@ -75,7 +75,9 @@ class FitContext:
 def _wrap(context: FitContext, kind: str, classifier, extra: list[str] = ()) -> Pipeline:
     return Pipeline(
         stages=[
-            WindowVector(inputCol=context.input_col, outputCol="_vector", kind=kind),
+            WindowVector(
+                inputCol=context.input_col, outputCol="_vector", kind=kind, size=context.n_features
+            ),
             classifier,
             ClassOutput(
                 labels=context.labels,

@@ -41,14 +41,27 @@ class WindowVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     inputCol = Param(Params._dummy(), "inputCol", "array column", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
     kind = Param(Params._dummy(), "kind", "view of the window", TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "values of a window", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol="features", outputCol="_vector", kind=FLAT):
+    def __init__(self, *, inputCol="features", outputCol="_vector", kind=FLAT, size=0):
         super().__init__()
+        self._setDefault(size=0)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        values = view(F.col(self.getOrDefault(self.inputCol)), self.getOrDefault(self.kind))
+        raw, size = F.col(self.getOrDefault(self.inputCol)), self.getOrDefault(self.size)
+        if size:
+            name = F.col("window_id").cast("string") if "window_id" in dataset.columns else F.lit("without id")
+            told = F.concat(
+                F.lit("window "),
+                F.coalesce(name, F.lit("null")),
+                F.lit(f": {size} values expected, found "),
+                F.coalesce(F.size(raw).cast("string"), F.lit("none")),
+            )
+            wrong = F.raise_error(told).cast("array<double>")
+            raw = F.when(F.coalesce(F.size(raw) == size, F.lit(False)), raw.cast("array<double>")).otherwise(wrong)
+        values = view(raw, self.getOrDefault(self.kind))
         return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(values))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from foldstack.functions.arrays import argmax, normalise
 from foldstack.operators.splits import assign_folds
 
-# Embedding positions feeding the three pseudo models, ten classes each.
-SLICES = {"m0": 1, "m1": 11, "m2": 21}
+# The three pseudo models deal all embedding positions to ten classes, so many
+# neighbours at a time.
+SLICES = {"m0": 1, "m1": 7, "m2": 3}
+POSITIONS = 64
 N_CLASSES = 10
 CLASSES = [f"c{i}" for i in range(N_CLASSES)]
 FLAGS = ["A", "N", "R"]
@@ -79,10 +81,18 @@ def binary_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", F.col("quality").alias("y"), F.array(1 - p1, p1).alias("proba"))
 
 
-def _scored(spark: SparkSession, sf: str, start: int) -> DataFrame:
-    values = F.transform(
-        F.slice(F.col("embedding").cast("array<double>"), start, N_CLASSES), lambda v: F.abs(v)
-    )
+def positions(step: int, code: int) -> list[int]:
+    """Embedding positions, from 1, whose sizes add up to a class's pseudo score."""
+    return [p for p in range(1, POSITIONS + 1) if (p - 1) // step % N_CLASSES == code]
+
+
+def _scored(spark: SparkSession, sf: str, step: int) -> DataFrame:
+    sizes = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v))
+    sums = [
+        reduce(lambda a, b: a + b, [F.get(sizes, F.lit(p - 1)) for p in positions(step, c)])
+        for c in range(N_CLASSES)
+    ]
+    values = F.array(*sums)
     source = table(spark, sf, "embeddings").select("vec_id", "label", values.alias("_a"))
     return source.select(
         F.col("vec_id").cast("string").alias("window_id"),
@@ -112,6 +122,24 @@ def oof_long(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def order_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items labelled by their order: tens of thousands of classes of a few rows."""
+    return large_windows(spark, sf).withColumn("label", F.substring_index("window_id", "-", 1))
+
+
+def faulty_oof(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold rows with foreign windows (every id doubled) and second rows (low quality again)."""
+    rows = document_oof(spark, sf).select("window_id", "proba")
+    doubled = rows.withColumn("window_id", (F.col("window_id").cast("long") * 2).cast("string"))
+    again = rows.where(F.get("proba", F.lit(0)) == 0)
+    named = [
+        ("doubled", doubled),
+        ("repeated", rows.unionAll(again)),
+        ("plain", rows),
+    ]
+    return reduce(DataFrame.unionAll, [r.withColumn("model", F.lit(n)) for n, r in named])
+
+
 def json_events(spark: SparkSession, sf: str) -> DataFrame:
     """Event rows as raw windows with every kind of unusable value."""
     kind = F.col("event_type")

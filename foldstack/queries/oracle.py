@@ -7,7 +7,7 @@ where the Spark side uses array expressions, so the two sides share no logic.
 from __future__ import annotations
 
 from foldstack.operators.splits import FOLDS, SEED
-from foldstack.queries.fixtures import N_CLASSES, SLICES
+from foldstack.queries.fixtures import N_CLASSES, SLICES, positions
 
 WINDOWS = """windows AS (
   SELECT CAST(vec_id AS VARCHAR) AS window_id, 'c' || CAST(label AS VARCHAR) AS label,
@@ -21,15 +21,20 @@ LARGE = """large AS (
          l_quantity, l_extendedprice, l_discount, l_tax
   FROM lineitem)"""
 
+#: The same rows labelled by their order.
+ORDER = LARGE.replace("l_returnflag AS label", "CAST(l_orderkey AS VARCHAR) AS label")
+
 CELLS = """cells AS (
   SELECT window_id, label, CAST((i - 1) // 4 AS INTEGER) AS t, CAST((i - 1) % 4 AS INTEGER) AS c,
          features[i] AS x
   FROM (SELECT window_id, label, features, unnest(range(1, len(features) + 1)) AS i FROM windows))"""
 
 
-def _scored(name: str, start: int) -> str:
-    """Pseudo predictions from ten embedding values: probabilities, first maximum, class code."""
-    values = ", ".join(f"abs(CAST(embedding[{start + i}] AS DOUBLE))" for i in range(N_CLASSES))
+def _scored(name: str, step: int) -> str:
+    """Pseudo predictions from the embedding: probabilities, first maximum, class code."""
+    values = ", ".join(
+        " + ".join(f"abs(CAST(embedding[{p}] AS DOUBLE))" for p in positions(step, i)) for i in range(N_CLASSES)
+    )
     total = " + ".join(f"a[{i + 1}]" for i in range(N_CLASSES))
     return f"""{name} AS (
   SELECT window_id, label, label AS actual, y, 'c' || CAST(guess AS VARCHAR) AS predicted, guess,
@@ -94,6 +99,42 @@ folded AS (
   WHERE r >= hi - q AND r < hi)"""
 
 
+def _holdout(source: str) -> str:
+    return f"""WITH {source}, sizes AS (SELECT label, count(*) AS n FROM large GROUP BY label),
+        target AS (SELECT sum(n)::BIGINT AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS test FROM sizes),
+        shares AS (SELECT label, n * test // total AS low, n * test % total AS rest, test FROM sizes, target),
+        quota AS (SELECT label, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, label)
+                  <= test - sum(low) OVER () THEN 1 ELSE 0 END AS q FROM shares),
+        ranked AS (SELECT window_id, label, row_number() OVER (PARTITION BY label
+                   ORDER BY md5('{SEED}:' || window_id), window_id) - 1 AS r FROM large)
+        SELECT window_id, label, r < q AS is_test FROM ranked JOIN quota USING (label)"""
+
+
+def _trained(model: str, table: str) -> str:
+    return f"""SELECT '{model}' AS model, part, n, true AS in_range FROM (
+        SELECT 'test' AS part, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n FROM {table}
+        UNION ALL SELECT 'train', count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) FROM {table})"""
+
+
+def _evaluated(model: str) -> str:
+    return f"""SELECT '{model}' AS model, CAST({SEED} AS BIGINT) AS seed, {FOLDS} AS cv_folds, CAST(f AS INTEGER) AS fold,
+        n > 0 AS stamped, n > 0 AS in_range FROM (SELECT count(*) AS n FROM embeddings), (SELECT unnest(range({FOLDS})) AS f)"""
+
+
+# The checks of a full audit over the stacked models.
+_MODELS = ("logreg", "rf", "rwkv_ts")
+AUDITED = [
+    *[("all", c) for c in ("manifest", "manifest files", "training schema")],
+    ("base", "training table"),
+    ("base", "metric ranges"),
+    *[("base", f"{what} {m}") for m in _MODELS for what in ("model", "metrics")],
+    ("oof", "split"),
+    ("oof", "split version"),
+    *[("oof", f"{what} {m}") for m in _MODELS for what in ("rows", "coverage", "version")],
+    *[("stack", c) for c in ("model stack", "metric ranges", "acceptance")],
+]
+
+
 def _bin(conf: str) -> str:
     edges = " + ".join(
         f"CAST({conf} > {i}::DOUBLE * 0.1::DOUBLE AS INTEGER)" for i in range(10)
@@ -224,6 +265,12 @@ ORACLE: dict[str, str] = {
     "vector_round_trip": f"WITH {WINDOWS} {TOTALS} windows",
     "label_codes": f"""WITH {LARGE} SELECT window_id, label,
         CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM large""",
+    "many_label_codes": f"""WITH {ORDER} SELECT window_id, label,
+        CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM large""",
+    "many_label_weights": f"""WITH {ORDER}, n AS (SELECT label, count(*) AS n FROM large GROUP BY label)
+        SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n""",
+    "many_label_folds": f"WITH {ORDER}, {_folds('large')} SELECT window_id, label, fold FROM folded",
+    "many_label_holdout": _holdout(ORDER),
     "label_index": f"""WITH {WINDOWS} SELECT window_id, label,
         CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS y FROM windows""",
     "label_decode": f"WITH {PRED} SELECT window_id, guess, predicted AS decoded FROM pred",
@@ -234,14 +281,7 @@ ORACLE: dict[str, str] = {
     "stratified_folds_by_rank": f"WITH {LARGE}, {_folds('large')} SELECT window_id, label, fold FROM folded",
     "fold_sizes": f"""WITH {LARGE}, {_folds('large')}
         SELECT label, fold, count(*) AS n FROM folded GROUP BY label, fold""",
-    "holdout_split": f"""WITH {LARGE}, sizes AS (SELECT label, count(*) AS n FROM large GROUP BY label),
-        target AS (SELECT sum(n)::BIGINT AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS test FROM sizes),
-        shares AS (SELECT label, n * test // total AS low, n * test % total AS rest, test FROM sizes, target),
-        quota AS (SELECT label, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, label)
-                  <= test - sum(low) OVER () THEN 1 ELSE 0 END AS q FROM shares),
-        ranked AS (SELECT window_id, label, row_number() OVER (PARTITION BY label
-                   ORDER BY md5('{SEED}:' || window_id), window_id) - 1 AS r FROM large)
-        SELECT window_id, label, r < q AS is_test FROM ranked JOIN quota USING (label)""",
+    "holdout_split": _holdout(LARGE),
     "train_valid_counts": f"""WITH {WINDOWS}, {_folds('windows')},
         f AS (SELECT fold, count(*) AS n FROM folded GROUP BY fold)
         SELECT fold, 'valid' AS side, n FROM f
@@ -303,9 +343,21 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS zero_rows FROM oof GROUP BY model""",
     "oof_missing": f"""WITH {DOC_OOF} SELECT window_id, label FROM folds
         WHERE window_id NOT IN (SELECT window_id FROM oof)""",
-    "oof_coverage": f"""WITH {DOC_OOF} SELECT count(oof.window_id) AS n_rows,
-        count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS zero_rows, count(*) FILTER (WHERE oof.window_id IS NULL) AS missing_rows
+    "oof_coverage": f"""WITH {DOC_OOF} SELECT 'labels' AS model, count(oof.window_id) AS n_rows,
+        count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS zero_rows, count(*) FILTER (WHERE oof.window_id IS NULL) AS missing_rows,
+        CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS duplicate_rows
         FROM folds LEFT JOIN oof USING (window_id)""",
+    "oof_coverage_faults": f"""WITH {DOC_OOF}, faulty AS (
+          SELECT 'doubled' AS model, CAST(2 * CAST(window_id AS BIGINT) AS VARCHAR) AS window_id, quality, toxic FROM oof
+          UNION ALL SELECT 'plain', window_id, quality, toxic FROM oof
+          UNION ALL SELECT 'repeated', window_id, quality, toxic FROM oof
+          UNION ALL SELECT 'repeated', window_id, quality, toxic FROM oof WHERE quality = 0),
+        names AS (SELECT DISTINCT model FROM faulty)
+        SELECT model, (SELECT count(*) FROM faulty x WHERE x.model = n.model) AS n_rows,
+          (SELECT count(*) FROM faulty x WHERE x.model = n.model AND quality = 0 AND toxic = 0) AS zero_rows,
+          (SELECT count(*) FROM folds WHERE window_id NOT IN (SELECT window_id FROM faulty x WHERE x.model = n.model)) AS missing_rows,
+          (SELECT count(*) FROM faulty x WHERE x.model = n.model AND window_id NOT IN (SELECT window_id FROM folds)) AS extra_rows,
+          (SELECT count(*) - count(DISTINCT window_id) FROM faulty x WHERE x.model = n.model) AS duplicate_rows FROM names n""",
     "stack_acceptance": f"""WITH {OOF}, {_bundle('oof')},
         best AS (SELECT max(f1) FILTER (model = 'm2') AS stack_f1, max(ece) FILTER (model = 'm2') AS stack_ece,
                  coalesce(max(f1) FILTER (model <> 'm2'), 0) AS best_base_f1 FROM bundle)
@@ -317,6 +369,11 @@ ORACLE: dict[str, str] = {
           UNION ALL SELECT c_name, 'recall', c_acctbal / 5000 FROM customer
           UNION ALL SELECT c_name, 'auc', c_acctbal / 8000 FROM customer WHERE c_mktsegment <> 'BUILDING')
         SELECT model, metric, value FROM scores WHERE value < 0 OR value > 1""",
+    "metric_ranges_custom": """WITH scores AS (
+          SELECT CAST(o_orderkey AS VARCHAR) AS model, 'macro_f1' AS metric, o_totalprice / 200000 AS value FROM orders
+          UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderpriority, o_totalprice / 300000 FROM orders
+          UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'lift', o_totalprice / 400000 FROM orders WHERE o_orderstatus = 'F')
+        SELECT model, metric, value FROM scores WHERE value < 0 OR value > 1""",
     "audit_verdict": f"""WITH {DOC_OOF}, checks AS (SELECT model,
           CASE WHEN count(*) FILTER (WHERE quality = 0 AND toxic = 0) > 0 THEN 'fail' ELSE 'ok' END AS status
           FROM oof GROUP BY model)
@@ -344,10 +401,39 @@ ORACLE: dict[str, str] = {
                CAST(c AS INTEGER) AS c,
                {_value(f'sqrt(-2 * ln({_uniform(0)})) * cos(2 * pi() * {_uniform(1)})')} FROM ids""",
     "split_reuse": f"WITH {WINDOWS}, {_folds('windows')} SELECT window_id, label, fold FROM folded",
-    "oof_stored_coverage": """SELECT unnest(['logreg', 'rf', 'xgb', 'rwkv_ts', 'cnn_transformer']) AS model,
-        n AS n_rows, CAST(0 AS BIGINT) AS zero_rows, CAST(0 AS BIGINT) AS missing_rows
+    "oof_stored_coverage": """SELECT unnest(['logreg', 'rf', 'rwkv_ts']) AS model,
+        n AS n_rows, CAST(0 AS BIGINT) AS zero_rows, CAST(0 AS BIGINT) AS missing_rows,
+        CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS duplicate_rows
         FROM (SELECT count(*) AS n FROM embeddings)""",
     "predicted_totals": """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_windows,
         count(*) AS n_normalised FROM embeddings""",
+    **{
+        f"oof_{query}": f"""WITH {WINDOWS}, {_folds('windows')}
+        SELECT window_id, fold, '{model}' AS model, true AS sound FROM folded"""
+        for query, model in {"logreg": "logreg", "rf": "rf", "gbt": "xgb", "seq_shift": "rwkv_ts", "seq_conv": "cnn_transformer"}.items()
+    },
+    "oof_large": f"WITH {LARGE}, {_folds('large')} SELECT window_id, fold, true AS sound FROM folded",
+    "oof_boosted_pairs": f"""WITH {LARGE}, two AS (SELECT * FROM large WHERE label IN ('A', 'R')), {_folds('two')}
+        SELECT window_id, fold, true AS sound FROM folded""",
+    "oof_fold_report": f"""WITH {WINDOWS}, {_folds('windows')}
+        SELECT fold, count(*) AS n, true AS in_range FROM folded GROUP BY fold""",
+    "split_renewed": f"WITH {WINDOWS}, {_folds('windows')} SELECT window_id, label, fold FROM folded",
+    "train_model": _trained("rf", "embeddings"),
+    "train_large": _trained("logreg", "lineitem"),
+    "evaluate_model": _evaluated("logreg"),
+    "evaluate_stored": _evaluated("rwkv_ts"),
+    "stack_train": _evaluated("stack"),
+    "run_log": """SELECT unnest(['first', 'second']) AS run_id, 'logreg' AS model, 'abc1234' AS git_sha, true AS shaped, n AS n_windows
+        FROM (SELECT count(*) AS n FROM embeddings)""",
+    **dict.fromkeys(
+        ("predict_model", "predictions_csv", "stack_predict"),
+        "SELECT CAST(vec_id AS VARCHAR) AS window_id, true AS known_class, true AS sound FROM embeddings",
+    ),
+    "audit_all": f"""SELECT unnest({[s for s, _ in AUDITED]}) AS section, unnest({[c for _, c in AUDITED]}) AS "check",
+        count(*) > 0 AS passed FROM embeddings""",
+    "artifact_manifest": """SELECT unnest(['whole', 'streamed']) AS way, n AS n_files, n AS n_paths, n AS n_hashes,
+        CAST(0 AS BIGINT) AS n_errors FROM (SELECT count(DISTINCT l_returnflag) AS n FROM lineitem)""",
+    "manifest_verify": """SELECT l_returnflag <> 'R' AS ok, count(DISTINCT l_returnflag) AS n_files FROM lineitem GROUP BY 1""",
+    "verify_one_file": "SELECT DISTINCT l_returnflag AS label, true AS own, false AS other FROM lineitem",
     "ingest": f"WITH {LARGE} SELECT label, count(*) AS n FROM large GROUP BY label",
 }

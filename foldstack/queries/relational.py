@@ -135,6 +135,27 @@ def stratified_folds_large(spark, sf):
     return splits.assign_folds(fx.large_windows(spark, sf)).select("window_id", "label", "fold")
 
 
+def many_label_codes(spark, sf):
+    coded = classes.label_codes(fx.order_windows(spark, sf))
+    return coded.select("window_id", "label", "code")
+
+
+def many_label_weights(spark, sf):
+    weights = classes.class_weights(fx.order_windows(spark, sf))
+    return weights.select("label", "n", round6(F.col("weight")).alias("weight"))
+
+
+def many_label_folds(spark, sf):
+    rows = fx.order_windows(spark, sf)
+    return splits.assign_folds(rows).select("window_id", "label", "fold")
+
+
+def many_label_holdout(spark, sf):
+    rows = fx.order_windows(spark, sf)
+    parts = splits.fit_holdout_split(rows).assign(rows, "part")
+    return parts.select("window_id", "label", (F.col("part") == 0).alias("is_test"))
+
+
 def stratified_folds_by_rank(spark, sf):
     return splits.assign_folds_by_rank(fx.large_windows(spark, sf))
 
@@ -307,7 +328,14 @@ def oof_missing(spark, sf):
 
 
 def oof_coverage(spark, sf):
-    return stacking.coverage(fx.document_folds(spark, sf), fx.document_oof(spark, sf))
+    rows = fx.document_oof(spark, sf).withColumn("model", F.lit("labels"))
+    return stacking.coverage(fx.document_folds(spark, sf), rows, ["labels"])
+
+
+def oof_coverage_faults(spark, sf):
+    """Coverage of tables with foreign and repeated rows, three models in one pass."""
+    names = ["doubled", "plain", "repeated"]
+    return stacking.coverage(fx.document_folds(spark, sf), fx.faulty_oof(spark, sf), names)
 
 
 def stack_acceptance(spark, sf):
@@ -330,6 +358,19 @@ def metric_ranges(spark, sf):
     return contract.metric_range_violations(scores)
 
 
+def metric_ranges_custom(spark, sf):
+    """Range rule over the engine's own metric names and a map of custom ones."""
+    price = F.col("o_totalprice")
+    scores = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("model"),
+        (price / 200000).alias("macro_f1"),
+        F.create_map(
+            F.col("o_orderpriority"), price / 300000, F.lit("lift"), F.when(F.col("o_orderstatus") == "F", price / 400000)
+        ).alias("custom_metrics"),
+    )
+    return contract.metric_range_violations(scores)
+
+
 def audit_verdict(spark, sf):
     checks = stacking.zero_rows(fx.document_oof(spark, sf)).select(
         F.when(F.col("zero_rows") > 0, FAIL).otherwise(OK).alias("status")
@@ -441,6 +482,10 @@ QUERIES: dict[str, Query] = {
         label_decode,
         label_index,
         class_weights,
+        many_label_codes,
+        many_label_weights,
+        many_label_folds,
+        many_label_holdout,
         stratified_folds,
         stratified_folds_large,
         stratified_folds_by_rank,
@@ -470,8 +515,10 @@ QUERIES: dict[str, Query] = {
         oof_zero_rows,
         oof_missing,
         oof_coverage,
+        oof_coverage_faults,
         stack_acceptance,
         metric_ranges,
+        metric_ranges_custom,
         audit_verdict,
         hash_verification,
         first_failures,

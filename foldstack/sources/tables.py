@@ -12,17 +12,20 @@ All tables live under one base URI::
     confusion                    confusion matrix of the last evaluated model (CSV)
     runs                         one row per evaluation
     manifest                     artifact hashes and header
+    versions/<what>              version of the training table that a stored table was made from
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldstack.operators.contract import WINDOW_SCHEMA
-from foldstack.operators.splits import Split
+from foldstack.operators.splits import RankedSplit, Split
 from foldstack.sources.scratch import exists
 
 FORMATS = ("csv", "parquet", "json")
@@ -119,6 +122,79 @@ def read_windows(spark: SparkSession, base: str) -> DataFrame:
 
 def write_windows(df: DataFrame, base: str) -> None:
     df.write.mode("overwrite").parquet(train_path(base))
+    stamp_table(df.sparkSession, base)
+
+
+def staging_path(base: str) -> str:
+    return f"{base}/processed/_staged-{uuid.uuid4().hex}"
+
+
+def promote(spark: SparkSession, staged: str, base: str) -> None:
+    """Make a staged table the training table."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(staged), jvm.Path(train_path(base))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    if not system.rename(source, target):
+        raise OSError(f"cannot move {staged} to {train_path(base)}")
+    stamp_table(spark, base)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _version_path(base: str, what: str) -> str:
+    return f"{base}/versions/{what}"
+
+
+def mark_version(spark: SparkSession, base: str, what: str, version: str) -> None:
+    """Note which version of the training table ``what`` was made from."""
+    row = spark.range(1).select(F.lit(version).alias("version"))
+    row.coalesce(1).write.mode("overwrite").json(_version_path(base, what))
+
+
+def marked_version(spark: SparkSession, base: str, what: str) -> str | None:
+    path = _version_path(base, what)
+    if not exists(spark, path):
+        return None
+    return spark.read.schema("version string").json(path).first()["version"]
+
+
+def stamp_table(spark: SparkSession, base: str) -> str:
+    """Note and return the landed table's version: its rows and an order-free sum over id and label."""
+    mark = F.sum(F.xxhash64("window_id", "label").cast("decimal(38,0)")).cast("string")
+    narrow = read_windows(spark, base).select("window_id", "label")
+    row = narrow.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), mark).alias("version")).first()
+    mark_version(spark, base, "train", row["version"])
+    return row["version"]
+
+
+def table_version(spark: SparkSession, base: str) -> str:
+    return marked_version(spark, base, "train") or stamp_table(spark, base)
+
+
+def split_key(seed: int, k: int) -> str:
+    return f"split/seed={seed}/k={k}"
+
+
+def oof_key(model: str, seed: int) -> str:
+    return f"oof/model={model}/seed={seed}"
+
+
+def require_version(spark: SparkSession, base: str, what: str) -> None:
+    """Raise if ``what`` was made from another version of the training table.
+
+    Tables stored by other means carry no mark and are left to the checks by id.
+    """
+    made_from = marked_version(spark, base, what)
+    if made_from is not None and made_from != table_version(spark, base):
+        raise StaleTable(f"{what} under {base} belongs to another version of the training table: make it again")
+
+
+class StaleTable(ValueError):
+    """A stored table was made from another version of the training table."""
 
 
 def _write_partition(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
@@ -130,26 +206,31 @@ def _write_partition(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
     )
 
 
-def save_split(split: Split, windows: DataFrame, base: str) -> None:
-    """Persist the boundaries and, for joins by id, the fold of every window."""
+def save_split(split: Split | RankedSplit, windows: DataFrame, base: str) -> None:
+    """Persist the fold of every window, for joins by id, and the boundaries of a split that has some."""
     spark = windows.sparkSession
     tags = [F.lit(split.seed).cast("long").alias("seed"), F.lit(split.parts).alias("k")]
     folds = split.assign(windows.select("window_id", "label"))
     _write_partition(folds.select("*", *tags), f"{base}/splits/folds", ("seed", "k"))
-    _write_partition(
-        split.table(spark).coalesce(1).select("*", *tags), f"{base}/splits/bounds", ("seed", "k")
-    )
+    if isinstance(split, Split):
+        _write_partition(
+            split.table(spark).coalesce(1).select("*", *tags), f"{base}/splits/bounds", ("seed", "k")
+        )
+    else:
+        discard(spark, f"{base}/splits/bounds/seed={split.seed}/k={split.parts}")
 
 
 def has_split(spark: SparkSession, base: str, seed: int, k: int) -> bool:
-    return exists(spark, f"{base}/splits/bounds/seed={seed}/k={k}")
+    return exists(spark, f"{base}/splits/folds/seed={seed}/k={k}")
 
 
-def load_split(spark: SparkSession, base: str, seed: int, k: int) -> Split:
-    """Boundaries of a stored split: one row per class."""
+def load_split(spark: SparkSession, base: str, seed: int, k: int) -> Split | RankedSplit:
+    """Boundaries of a stored split, one row per class, or its folds where it has no boundaries."""
     path = f"{base}/splits/bounds"
     if not has_split(spark, base, seed, k):
         raise FileNotFoundError(f"no split for seed={seed} k={k} under {path}")
+    if not exists(spark, f"{path}/seed={seed}/k={k}"):
+        return RankedSplit(seed, k, load_folds(spark, base, seed, k))
     rows = spark.read.parquet(path).where((F.col("seed") == seed) & (F.col("k") == k)).collect()
     return Split(seed, k, {r["label"]: list(r["bounds"]) for r in sorted(rows, key=lambda r: r["label"])})
 
@@ -210,7 +291,11 @@ def load_metrics(spark: SparkSession, base: str, names: list[str]) -> DataFrame:
 
 
 def save_confusion(matrix: DataFrame, base: str, name: str) -> None:
-    """One row per class; written for the model and as the latest matrix."""
+    """One row per class; written for the model and as the latest matrix.
+
+    Columns are ``pred_0 ..`` in class order, which is the order of the rows, so labels of any
+    text stay values.
+    """
     ordered = matrix.orderBy("actual").coalesce(1)
     for path in (f"{base}/confusion", f"{base}/models/{name}/confusion"):
         ordered.write.mode("overwrite").option("header", True).csv(path)
@@ -236,5 +321,7 @@ def runs_as_text(runs: DataFrame) -> DataFrame:
     )
 
 
-def write_predictions(pred: DataFrame, path: str) -> None:
-    pred.write.mode("overwrite").option("header", True).csv(path)
+def write_predictions(pred: DataFrame, path: str) -> DataFrame:
+    """Write as CSV and return the written table."""
+    pred.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return pred.sparkSession.read.schema(pred.schema).option("header", True).option("escape", '"').csv(path)

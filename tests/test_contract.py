@@ -110,3 +110,13 @@ def test_metric_ranges(spark):
     )
     bad = {(r["model"], r["metric"]) for r in contract.metric_range_violations(df).collect()}
     assert bad == {("m", "auc"), ("n", "auc")}
+
+
+def test_metric_ranges_of_maps_folds_and_own_names(spark):
+    df = spark.createDataFrame(
+        [("m", 1.2, {"lift": 3.0, "share": 0.5}, [(0, 0.5, -0.1)]), ("n", None, None, None)],
+        "model string, f1 double, custom_metrics map<string,double>, fold_details array<struct<fold: int, accuracy: double, recall: double>>",
+    )
+    bad = {(r["model"], r["metric"]) for r in contract.metric_range_violations(df).collect()}
+    assert bad == {("m", "f1"), ("m", "lift"), ("m", "fold 0 recall")}
+    assert contract.metric_range_violations(df.select("model")).count() == 0

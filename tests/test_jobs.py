@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import foldstack
-from foldstack.operators import splits
+from foldstack.operators import stacking, splits
 from foldstack.operators.contract import ContractError
 from foldstack.plans import audit as checks
 from foldstack.plans import jobs
@@ -40,7 +40,7 @@ def base(spark, windows, tmp_path_factory):
     jobs.ingest(spark, uri, windows)
     jobs.train(spark, uri, BASE_MODELS, **QUICK)
     cover = jobs.oof(spark, uri, BASE_MODELS, **QUICK).collect()
-    assert {tuple(r) for r in cover} == {(name, 120, 0, 0) for name in BASE_MODELS}
+    assert {tuple(r) for r in cover} == {(name, 120, 0, 0, 0, 0) for name in BASE_MODELS}
     jobs.evaluate(spark, uri, "logreg", **QUICK)
     jobs.evaluate(spark, uri, "rf", git_sha="abc1234", **QUICK)
     jobs.stack_train(spark, uri, **QUICK)
@@ -316,9 +316,90 @@ def test_audit_fails_on_gaps(spark, windows, tmp_path):
     )
     rows = {r["check"]: r for r in checks.audit(spark, base, "oof").collect()}
     assert rows["coverage rf"]["status"] == "fail"
-    assert rows["coverage rf"]["detail"] == "96 rows, 96 zero, 24 missing"
+    assert rows["coverage rf"]["detail"] == "96 rows, 96 zero, 24 missing, 0 extra, 0 duplicate"
 
 
 def test_audit_rejects_unknown_sections(spark, tmp_path):
     with pytest.raises(ValueError, match="base, oof, stack, all"):
         checks.audit(spark, str(tmp_path), "data")
+
+
+def test_stored_tables_follow_the_training_table(spark, windows, tmp_path):
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows.limit(60))
+    first = {r["window_id"] for r in jobs.get_or_create_split(spark, base).assign(tables.read_windows(spark, base)).collect()}
+    jobs.oof(spark, base, "logreg", **QUICK)
+    jobs.evaluate(spark, base, "logreg", from_oof=True)
+    jobs.ingest(spark, base, windows)
+    with pytest.raises(tables.StaleTable):
+        jobs.evaluate(spark, base, "logreg", from_oof=True)
+    with pytest.raises(tables.StaleTable):
+        jobs.stack_train(spark, base, models=["logreg"], **QUICK)
+    rows = {r["check"]: r["status"] for r in checks.audit(spark, base, "oof", models=["logreg"]).collect()}
+    assert rows["split version"] == rows["version logreg"] == rows["coverage logreg"] == "fail" or rows["version logreg"] == "fail"
+    cover = jobs.oof(spark, base, "logreg", **QUICK).first()
+    assert tuple(cover) == ("logreg", 120, 0, 0, 0, 0) and len(first) == 60
+    sizes = tables.load_folds(spark, base, splits.SEED, 5).groupBy("label", "fold").count().collect()
+    per_label = {}
+    for r in sizes:
+        per_label.setdefault(r["label"], []).append(r["count"])
+    assert all(max(x) - min(x) <= 1 for x in per_label.values())
+    assert jobs.evaluate(spark, base, "logreg", from_oof=True).first()["model"] == "logreg"
+
+
+def test_evaluation_from_stored_rows_stops_at_any_mismatch(spark, windows, tmp_path):
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows)
+    jobs.get_or_create_split(spark, base)
+    folds = tables.load_folds(spark, base, splits.SEED, 5)
+    rows = folds.select(
+        "window_id",
+        "fold",
+        F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("proba"),
+        F.lit("rf").alias("model"),
+        F.lit(splits.SEED).cast("long").alias("seed"),
+    )
+    foreign = rows.limit(1).withColumn("window_id", F.lit("stranger"))
+    for bad, told in ((rows.where("fold > 0"), "no out-of-fold row"), (rows.unionAll(foreign), "unknown window"), (rows.unionAll(rows.limit(1)), "several")):
+        tables.save_oof(bad, base)
+        with pytest.raises(Exception, match=told):
+            jobs.evaluate(spark, base, "rf", from_oof=True)
+    tables.save_oof(rows, base)
+    assert jobs.evaluate(spark, base, "rf", from_oof=True).count() == 1
+
+
+@pytest.mark.parametrize("name", [*BASE_MODELS, "stack"])
+def test_windows_of_another_width_stop_the_scoring(spark, base, windows, name):
+    for change in (F.concat("features", F.array(*[F.lit(0.0)] * 4)), F.slice("features", 1, 8), F.lit(None).cast("array<double>")):
+        bad = windows.where("window_id = 'w7'").withColumn("features", change)
+        with pytest.raises(Exception, match="window w7: 12 values expected"):
+            jobs.predict(spark, base, name, windows.limit(3).unionByName(bad)).collect()
+
+
+def test_predictions_come_back_from_the_written_table(spark, base, windows, tmp_path):
+    path = f"{tmp_path}/predictions.csv"
+    written = jobs.predict(spark, base, "logreg", windows, path)
+    assert written.inputFiles() and all(path in f for f in written.inputFiles())
+    fresh = jobs.predict(spark, base, "logreg", windows)
+    key = lambda df: sorted((r["window_id"], r["prediction"], round(r["prob_class_0"], 9)) for r in df.collect())
+    assert written.schema == fresh.schema and key(written) == key(fresh)
+
+
+def test_more_classes_than_a_boundary_table_holds(spark, windows, tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_BOUNDS", 3)
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows)
+    split = jobs.get_or_create_split(spark, base)
+    assert isinstance(split, splits.RankedSplit)
+    assert isinstance(jobs.get_or_create_split(spark, base), splits.RankedSplit)
+    ranked = {r["window_id"]: r["fold"] for r in split.assign(windows).collect()}
+    monkeypatch.undo()
+    assert ranked == {r["window_id"]: r["fold"] for r in splits.assign_folds(windows).collect()}
+
+
+def test_the_stack_layout_shares_one_wide_shuffle(spark, base):
+    oof = tables.load_oof(spark, base, list(BASE_MODELS), splits.SEED).repartition(3, "window_id")
+    folds = tables.load_folds(spark, base, splits.SEED, 5).repartition(3, "window_id")
+    joined = folds.join(stacking.stack_matrix(oof, BASE_MODELS), "window_id", "full").repartition(3, "window_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the split and the probabilities, once each

@@ -141,3 +141,12 @@ def test_metric_cells_come_from_one_scan(spark):
     pred = spark.createDataFrame([(0, [0.6, 0.4])], PRED)
     plan = metrics.metric_bundle(pred)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") == 1
+
+
+@pytest.mark.parametrize("labels", [["a", "A"], ["actual", "b"], ["predicted", "n"], ["we`ird", "a.b"], ["", "x"]])
+def test_any_text_may_be_a_label(spark, labels):
+    pred = spark.createDataFrame([(labels[0], labels[1]), (labels[0], labels[0])], "actual string, predicted string")
+    long = {(r["actual"], r["predicted"]): r["n"] for r in metrics.confusion_long(pred, labels).collect()}
+    assert long == {(labels[0], labels[0]): 1, (labels[0], labels[1]): 1, (labels[1], labels[0]): 0, (labels[1], labels[1]): 0}
+    wide = metrics.cells_wide(metrics.confusion_counts(pred), labels, names=["pred_0", "pred_1"])
+    assert {r["actual"]: (r["pred_0"], r["pred_1"]) for r in wide.collect()} == {labels[0]: (1, 1), labels[1]: (0, 0)}

@@ -126,3 +126,20 @@ def test_class_list_refuses_unbounded_labels(spark):
     assert classes.class_list(df) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="not a class column"):
         classes.class_list(df, limit=2)
+
+
+def test_ranks_and_finer_buckets_give_the_same_split(spark, monkeypatch):
+    rows = spark.range(700).select(
+        F.concat(F.lit("w"), "id").alias("window_id"),
+        F.when(F.col("id") % 10 < 7, "big").otherwise(F.concat(F.lit("c"), F.col("id") % 3)).alias("label"),
+    )
+    folds, holdout = splits.fit_folds(rows, 3, 4), splits.fit_holdout(rows, 3)
+    placed = [{tuple(r) for r in x.assign(rows).select("window_id", "fold").collect()} for x in (folds, holdout)]
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 2)
+    assert splits.fit_folds(rows, 3, 4, digits=1) == folds and splits.fit_holdout(rows, 3, digits=1) == holdout
+    monkeypatch.setattr(splits, "MAX_BOUNDS", 2)
+    for fitted, ranked in zip(placed, (splits.fit_split(rows, 3, 4), splits.fit_holdout_split(rows, 3))):
+        assert isinstance(ranked, splits.RankedSplit)
+        assert {tuple(r) for r in ranked.assign(rows).select("window_id", "fold").collect()} == fitted
+    with pytest.raises(splits.TooManyBounds):
+        splits.fit_folds(rows, 3, 4)
