@@ -29,16 +29,19 @@ LARGE_PARTITION = 1024**3
 # Fits run side by side only while the whole table is small; a large fit fills the cluster alone,
 # and every learner keeps its own copy of its rows.
 SIDE_BY_SIDE_BYTES = 1024**3
+HASHES = 1 << 40
 
 
 @dataclass(frozen=True)
 class TrainingFrame:
     """Rows ``(window_id, label, fold, y, <input>)`` plus the counts the models need.
 
-    ``counts[fold][code]`` is the number of rows; it holds one number per fold and class.
+    ``rows`` are learned from, ``every`` is scored; they differ only where ``fit_rows`` bounds the
+    sample.     ``counts[fold][code]`` is the number of rows; it holds one number per fold and class.
     """
 
     rows: DataFrame
+    every: DataFrame
     labels: list[str]
     counts: dict[int, dict[int, int]]
     n_features: int
@@ -92,6 +95,7 @@ def training_frame(
     partitions: int | None = None,
     folds: DataFrame | None = None,
     width: int | None = None,
+    fit_rows: int | None = None,
 ) -> Iterator[TrainingFrame]:
     """Lay the rows out once for all fits and release them afterwards.
 
@@ -103,11 +107,24 @@ def training_frame(
     Rows per fold and the input width are looked up first. Callers whose ``df`` is costly to
     compute pass a ``folds`` table with the same rows and the expected ``width`` instead; a row
     of another width, or without input, raises.
+
+    ``fit_rows`` bounds the rows learned from: of a larger table only about so many are laid out,
+    chosen by a hash of the id, so each class and fold keeps its share. Trees cost a pass over the
+    layout per level and round, and forests of unlimited depth grow with its rows, so very large
+    tables should set it. Everything is scored all the same, from the input and without a shuffle.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     labels, counts = _fold_counts(df if folds is None else folds)
     n_rows = sum(n for per_class in counts.values() for n in per_class.values())
+    sampled = None
+    if fit_rows is not None and n_rows > fit_rows:
+        bound = int(fit_rows / n_rows * HASHES)
+        sampled = F.pmod(F.xxhash64(F.lit("fit"), F.col("window_id")), F.lit(HASHES)) < bound
+        found, some = _fold_counts((df if folds is None else folds).where(sampled))
+        code = {label: i for i, label in enumerate(labels)}
+        counts = {f: {code[found[c]]: n for c, n in sizes.items()} for f, sizes in some.items()}
+        n_rows = sum(n for per_class in counts.values() for n in per_class.values())
     values = F.col(input_col).cast("array<double>")
     if width is None:
         width = df.select(F.size(values).alias("n")).first()["n"]
@@ -115,14 +132,15 @@ def training_frame(
         partitions = layout_partitions(n_rows * width * 8)
     ragged = F.raise_error(F.concat(F.lit("missing or ragged features in window "), F.col("window_id")))
     even = F.when(F.size(values) == width, values).otherwise(ragged.cast("array<double>"))
+    every = index_labels(df.select("window_id", "label", "fold", even.alias(input_col)), labels)
     laid_out = (
-        index_labels(df.select("window_id", "label", "fold", even.alias(input_col)), labels)
+        (every if sampled is None else every.where(sampled))
         .repartition(partitions, "window_id")
         .sortWithinPartitions("window_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        yield TrainingFrame(laid_out, labels, counts, width, input_col)
+        yield TrainingFrame(laid_out, laid_out if sampled is None else every, labels, counts, width, input_col)
     finally:
         laid_out.unpersist()
 
@@ -188,5 +206,5 @@ def cross_validate(
     with ThreadPool(threads) as pool:
         work = inheritable_thread_target(frame.rows.sparkSession)(fit)
         models = pool.map(work, folds)
-    scored = [score(m, validation(frame.rows, f)) for f, m in zip(folds, models)]
+    scored = [score(m, validation(frame.every, f)) for f, m in zip(folds, models)]
     return reduce(DataFrame.unionByName, scored)

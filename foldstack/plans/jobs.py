@@ -82,11 +82,13 @@ def train(
     name: str | Sequence[str] = "logreg",
     seed: int = SEED,
     size: str = "full",
+    fit_rows: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Fit one or several models on a stratified 80 % and save them.
 
-    Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
+    ``fit_rows``, here and in the other jobs that fit, bounds the rows learned from (see
+    :func:`foldstack.plans.fitting.training_frame`); both parts are scored whole. Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
     """
     names = [name] if isinstance(name, str) else list(name)
     for n in names:
@@ -94,12 +96,12 @@ def train(
     windows = tables.read_windows(spark, base)
     held_out = splits.fit_holdout_split(windows, seed).assign(windows)
     reports = []
-    with training_frame(held_out) as frame:
+    with training_frame(held_out, fit_rows=fit_rows) as frame:
         for n in names:
             model = fit_model(frame, n, seed, without=0, size=size, **overrides)
             tables.save_model(model, base, n)
             tables.mark_version(spark, base, f"model/{n}", tables.table_version(spark, base))
-            scored = model.transform(frame.rows).select(
+            scored = model.transform(frame.every).select(
                 F.lit(n).alias("model"),
                 F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"),
                 F.col("prediction").alias("predicted"),
@@ -166,6 +168,7 @@ def evaluate(
     size: str = "full",
     parallelism: int | None = None,
     from_oof: bool = False,
+    fit_rows: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Stratified k-fold evaluation; writes metrics, confusion matrices and a run row.
@@ -181,7 +184,7 @@ def evaluate(
     else:
         split = get_or_create_split(spark, base, seed, k)
         windows = split.assign(tables.read_windows(spark, base))
-        with training_frame(windows) as frame:
+        with training_frame(windows, fit_rows=fit_rows) as frame:
             pred = cross_validate(
                 frame,
                 lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
@@ -222,12 +225,13 @@ def generate_oof(
     seed: int = SEED,
     size: str = "full",
     parallelism: int | None = None,
+    fit_rows: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Store out-of-fold probabilities of each model; all models share one laid-out table."""
     for name in names:
         check_name(name)
-    with training_frame(split.assign(windows)) as frame:
+    with training_frame(split.assign(windows), fit_rows=fit_rows) as frame:
         for name in names:
             pred = cross_validate(
                 frame,
@@ -261,6 +265,7 @@ def oof(
     k: int = FOLDS,
     size: str = "full",
     parallelism: int | None = None,
+    fit_rows: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Generate and store the out-of-fold table of one or several models; returns the coverage.
@@ -271,7 +276,7 @@ def oof(
     names = [name] if isinstance(name, str) else list(name)
     split = get_or_create_split(spark, base, seed, k)
     windows = tables.read_windows(spark, base)
-    generate_oof(windows, split, names, base, seed, size, parallelism, **overrides)
+    generate_oof(windows, split, names, base, seed, size, parallelism, fit_rows, **overrides)
     folds = tables.load_folds(spark, base, seed, k)
     return stacking.coverage(folds, tables.load_oof(spark, base, names, seed), names)
 
@@ -286,6 +291,7 @@ def stack_train(
     git_sha: str = "unknown",
     size: str = "full",
     parallelism: int | None = None,
+    fit_rows: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Cross-validate and fit the stacker on stored out-of-fold tables."""
@@ -301,7 +307,7 @@ def stack_train(
     # A full join keeps windows without probabilities and probabilities without a window, so that
     # either stops the training instead of shrinking it.
     labelled = folds.repartition(partitions, "window_id").join(stack, "window_id", "full")
-    with training_frame(labelled, "stack", partitions, folds, width) as frame:
+    with training_frame(labelled, "stack", partitions, folds, width, fit_rows) as frame:
         pred = cross_validate(
             frame,
             lambda fold: fit_model(frame, stacker, seed, fold, size, parallelism, **overrides),

@@ -36,19 +36,19 @@ BASE_MODELS = ("logreg", "rf", "xgb", "rwkv_ts", "cnn_transformer")
 STACKER = "stack"
 FULL = {
     "logreg": {"max_iter": 1000},
-    "rf": {"trees": 1000, "depth": 30},
+    "rf": {"trees": 1000, "depth": 30, "leaf": 1},
     "xgb": {"rounds": 500, "depth": 6, "step": 0.05, "rows": 0.8, "columns": "0.8", "bins": 256},
     "rwkv_ts": {"hidden": 128, "max_iter": 100},
     "cnn_transformer": {"hidden": 128, "max_iter": 100},
-    "stack": {"trees": 1000, "depth": 30},
+    "stack": {"trees": 1000, "depth": 30, "leaf": 1},
 }
 QUICK = {
     "logreg": {"max_iter": 50},
-    "rf": {"trees": 20, "depth": 6},
+    "rf": {"trees": 20, "depth": 6, "leaf": 1},
     "xgb": {"rounds": 2, "depth": 2, "step": 0.3, "rows": 0.8, "columns": "0.8", "bins": 32},
     "rwkv_ts": {"hidden": 16, "max_iter": 20},
     "cnn_transformer": {"hidden": 16, "max_iter": 20},
-    "stack": {"trees": 20, "depth": 6},
+    "stack": {"trees": 20, "depth": 6, "leaf": 1},
 }
 # Node statistics collected per pass over the rows; more memory means fewer passes.
 TREE_MEMORY_MB = 1024
@@ -123,6 +123,7 @@ def forest(context: FitContext) -> Pipeline:
         RandomForestClassifier(
             numTrees=context.settings["trees"],
             maxDepth=context.settings["depth"],
+            minInstancesPerNode=context.settings["leaf"],
             featureSubsetStrategy="sqrt",
             maxMemoryInMB=TREE_MEMORY_MB,
             seed=context.seed,

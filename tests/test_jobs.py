@@ -403,3 +403,15 @@ def test_the_stack_layout_shares_one_wide_shuffle(spark, base):
     joined = folds.join(stacking.stack_matrix(oof, BASE_MODELS), "window_id", "full").repartition(3, "window_id")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # the split and the probabilities, once each
+
+
+def test_fit_rows_bounds_the_fit_and_not_the_scoring(spark, windows, tmp_path):
+    base = str(tmp_path)
+    jobs.ingest(spark, base, windows)
+    with training_frame(splits.assign_folds(windows), fit_rows=60) as frame:
+        fitted = frame.rows.count()
+        assert 30 < fitted < 90 and frame.every.count() == 120
+        assert sum(frame.class_sizes().values()) == fitted
+    report = {r["part"]: r["n"] for r in jobs.train(spark, base, "logreg", fit_rows=60, **QUICK).collect()}
+    assert report == {"test": 24, "train": 96}
+    assert tuple(jobs.oof(spark, base, "rf", fit_rows=60, leaf=2, **QUICK).first()) == ("rf", 120, 0, 0, 0, 0)

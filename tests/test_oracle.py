@@ -28,7 +28,12 @@ def _sorted_rows(frame):
     return columns, [tuple(map(repr, row)) for row in frame.itertuples(index=False)]
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+#: Model queries take their time; these stand for the others, which the same SQL forms check.
+FITTED = ("evaluate_model", "predictions_csv", "train_model")
+UNFITTED = ("artifact_manifest", "manifest_verify", "split_renewed", "split_reuse", "verify_one_file")
+
+
+@pytest.mark.parametrize("name", sorted((set(ORACLE) - set(MODELLING)) | set(FITTED) | set(UNFITTED)))
 def test_matches_sql(spark, sf, duck, name):
     ours = _sorted_rows(contract.queries()[name](spark, sf).toPandas())
     theirs = _sorted_rows(duck.sql(ORACLE[name]).df())
@@ -39,6 +44,6 @@ def test_matches_sql(spark, sf, duck, name):
 
 
 def test_registry_is_complete():
-    assert set(RELATIONAL) <= set(ORACLE)
+    assert set(RELATIONAL) | set(MODELLING) == set(ORACLE)
     assert set(RELATIONAL) | set(MODELLING) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
