@@ -168,6 +168,19 @@ def raise_problems(counts: dict[str, int | None], duplicates: bool) -> None:
         raise ContractError("; ".join(f"{name}: {n}" for name, n in problems.items()))
 
 
+def is_sound(rows: DataFrame) -> bool:
+    """Do conformed rows satisfy every rule, with one width and no id twice?"""
+    length = F.size("features")
+    bad = (
+        F.col("window_id").isNull()
+        | F.col("label").isNull()
+        | F.col("features").isNull()
+        | F.coalesce(F.exists("features", lambda v: v.isNull()), F.lit(False))
+    )
+    found = rows.agg(F.count_if(bad).alias("bad"), F.min(length).alias("low"), F.max(length).alias("high")).first()
+    return not found["bad"] and found["low"] == found["high"] and duplicate_ids(rows).isEmpty()
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Conformed table, or :class:`ContractError` naming what is wrong.
 

@@ -56,6 +56,47 @@ def with_labels(
     return stack.join(windows.select("window_id", *columns), "window_id")
 
 
+def labelled_stack(
+    oof: DataFrame, folds: DataFrame, models: Sequence[str], partitions: int
+) -> DataFrame:
+    """``(window_id, label, fold, stack)`` for training a stacker, from one shuffle of everything.
+
+    Split and probabilities are dealt by id into ``partitions`` together and each window is put
+    together where it lies, so a training layout in as many partitions needs no shuffle of its own.
+    A window of the split without exactly one row per model, or a row of an unknown window, raises.
+    """
+    models = list(models)
+    rows = oof.where(F.col("model").isin(models)).select("window_id", "model", "proba")
+    both = rows.unionByName(folds.select("window_id", "label", "fold"), allowMissingColumns=True)
+    grouped = (
+        both.repartition(partitions, "window_id")
+        .groupBy("window_id")
+        .agg(
+            F.first("label", ignorenulls=True).alias("label"),
+            F.first("fold", ignorenulls=True).alias("fold"),
+            F.count("fold").alias("_known"),
+            F.count("model").alias("_rows"),
+            F.min(F.size("proba")).alias("_narrow"),
+            F.max(F.size("proba")).alias("_wide"),
+            *[
+                F.first(F.when(F.col("model") == m, F.col("proba")), ignorenulls=True).alias(f"_p{i}")
+                for i, m in enumerate(models)
+            ],
+        )
+    )
+    stack = F.concat(*[F.col(f"_p{i}") for i in range(len(models))])
+    fault = (
+        F.when(F.col("_known") == 0, "out-of-fold row of an unknown window: ")
+        .when(F.col("_known") > 1, "window twice in the split: ")
+        .when(
+            (F.col("_rows") != len(models)) | stack.isNull() | (F.col("_narrow") != F.col("_wide")),
+            f"window without exactly one aligned row for each of {len(models)} models: ",
+        )
+    )
+    stop = F.raise_error(F.concat(fault, F.coalesce("window_id", F.lit("null")))).cast("array<double>")
+    return grouped.select("window_id", "label", "fold", F.when(fault.isNull(), stack).otherwise(stop).alias("stack"))
+
+
 def zero_rows(oof: DataFrame) -> DataFrame:
     """Per model: rows and how many of them were never filled."""
     return oof.groupBy("model").agg(

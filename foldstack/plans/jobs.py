@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstack.functions.arrays import argmax, utc_stamp
@@ -29,8 +29,9 @@ def ingest(
 ) -> DataFrame:
     """Validate and land the training table; returns its label distribution.
 
-    Without a source a synthetic table is landed. The source is read once: rows are staged while
-    the rules are counted, ids are checked in the staged table, and only a sound table is promoted.
+    Without a source a synthetic table is landed. The source is read once: rows are staged as
+    parsed, the contract is checked on the staged columns, and only a sound table is promoted. A
+    broken source is read again to tell what is wrong with it.
     """
     if source is None:
         raw = synthetic_windows(spark, seed=seed)
@@ -39,13 +40,12 @@ def ingest(
     else:
         raw = tables.read_dataset(spark, source, fmt)
     staged = tables.staging_path(base)
-    seen = Observation("contract")
     try:
-        rows = contract.parsed(raw).observe(seen, *contract.rule_measures())
-        contract.conformed(rows).write.parquet(staged)
-        counts = seen.get
+        contract.conformed(contract.parsed(raw)).write.parquet(staged)
         landed = spark.read.schema(contract.WINDOW_SCHEMA).parquet(staged)
-        contract.raise_problems(counts, not contract.duplicate_ids(landed).isEmpty())
+        if not contract.is_sound(landed):
+            contract.validate(raw)
+            raise contract.ContractError("the source changed while it was read")
         tables.promote(spark, staged, base)
     finally:
         tables.discard(spark, staged)
@@ -83,12 +83,15 @@ def train(
     seed: int = SEED,
     size: str = "full",
     fit_rows: int | None = None,
+    partitions: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Fit one or several models on a stratified 80 % and save them.
 
-    ``fit_rows``, here and in the other jobs that fit, bounds the rows learned from (see
-    :func:`foldstack.plans.fitting.training_frame`); both parts are scored whole. Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
+    ``fit_rows``, here and in the other jobs that fit, bounds the rows learned from, and
+    ``partitions`` is the number of pieces of the training layout, on which the trees' samples
+    depend; without it the table's size decides (see
+    :func:`foldstack.plans.fitting.training_frame`). Both parts are scored whole. Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
     """
     names = [name] if isinstance(name, str) else list(name)
     for n in names:
@@ -96,7 +99,7 @@ def train(
     windows = tables.read_windows(spark, base)
     held_out = splits.fit_holdout_split(windows, seed).assign(windows)
     reports = []
-    with training_frame(held_out, fit_rows=fit_rows) as frame:
+    with training_frame(held_out, partitions=partitions, fit_rows=fit_rows) as frame:
         for n in names:
             model = fit_model(frame, n, seed, without=0, size=size, **overrides)
             tables.save_model(model, base, n)
@@ -169,6 +172,7 @@ def evaluate(
     parallelism: int | None = None,
     from_oof: bool = False,
     fit_rows: int | None = None,
+    partitions: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Stratified k-fold evaluation; writes metrics, confusion matrices and a run row.
@@ -184,7 +188,7 @@ def evaluate(
     else:
         split = get_or_create_split(spark, base, seed, k)
         windows = split.assign(tables.read_windows(spark, base))
-        with training_frame(windows, fit_rows=fit_rows) as frame:
+        with training_frame(windows, partitions=partitions, fit_rows=fit_rows) as frame:
             pred = cross_validate(
                 frame,
                 lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
@@ -226,12 +230,13 @@ def generate_oof(
     size: str = "full",
     parallelism: int | None = None,
     fit_rows: int | None = None,
+    partitions: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Store out-of-fold probabilities of each model; all models share one laid-out table."""
     for name in names:
         check_name(name)
-    with training_frame(split.assign(windows), fit_rows=fit_rows) as frame:
+    with training_frame(split.assign(windows), partitions=partitions, fit_rows=fit_rows) as frame:
         for name in names:
             pred = cross_validate(
                 frame,
@@ -266,6 +271,7 @@ def oof(
     size: str = "full",
     parallelism: int | None = None,
     fit_rows: int | None = None,
+    partitions: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Generate and store the out-of-fold table of one or several models; returns the coverage.
@@ -276,7 +282,7 @@ def oof(
     names = [name] if isinstance(name, str) else list(name)
     split = get_or_create_split(spark, base, seed, k)
     windows = tables.read_windows(spark, base)
-    generate_oof(windows, split, names, base, seed, size, parallelism, fit_rows, **overrides)
+    generate_oof(windows, split, names, base, seed, size, parallelism, fit_rows, partitions, **overrides)
     folds = tables.load_folds(spark, base, seed, k)
     return stacking.coverage(folds, tables.load_oof(spark, base, names, seed), names)
 
@@ -292,6 +298,7 @@ def stack_train(
     size: str = "full",
     parallelism: int | None = None,
     fit_rows: int | None = None,
+    partitions: int | None = None,
     **overrides,
 ) -> DataFrame:
     """Cross-validate and fit the stacker on stored out-of-fold tables."""
@@ -300,13 +307,8 @@ def stack_train(
     base_oof = _current_oof(spark, base, models, seed)
     folds = _current_folds(spark, base, seed, k)
     width = len(models) * folds.select("label").distinct().count()
-    # Both sides are dealt by id into the partitions of the training layout, so grouping, join and
-    # layout share one shuffle of the probabilities.
-    partitions = layout_partitions(folds.count() * width * 8)
-    stack = stacking.stack_matrix(base_oof.repartition(partitions, "window_id"), models)
-    # A full join keeps windows without probabilities and probabilities without a window, so that
-    # either stops the training instead of shrinking it.
-    labelled = folds.repartition(partitions, "window_id").join(stack, "window_id", "full")
+    partitions = partitions or layout_partitions(folds.count() * width * 8)
+    labelled = stacking.labelled_stack(base_oof, folds, models, partitions)
     with training_frame(labelled, "stack", partitions, folds, width, fit_rows) as frame:
         pred = cross_validate(
             frame,

@@ -60,7 +60,7 @@ def _with_stack(spark: SparkSession, base: str, models: Sequence[str]) -> None:
 
 
 #: Base models under the registered stacks; the boosted one has its own queries.
-STACKED = ("logreg", "rf", "rwkv_ts")
+STACKED = ("logreg", "rf")
 
 
 def _sound(proba: Column, width: int) -> Column:
