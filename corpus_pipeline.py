@@ -5,8 +5,8 @@ as Parquet and read again as the next one's ``docs``. All but the last return th
 
 1. ``quality`` scores whole texts with the convolutional network; rejected documents go.
 2. ``exact`` keeps the row of the largest id of each set of equal texts.
-3. ``near`` keeps the row of the smallest id of each group linked by SimHash (four differing bits: copies with single
-   words changed are often three or four bits apart; unrelated texts are about 32).
+3. ``near`` keeps the row of the smallest id of each group of near copies: five-word Jaccard similarity of 0.8 or more
+   between texts whose SimHash fingerprints differ in at most 11 bits (near copies are up to 11 apart).
 4. ``mix`` brings sources nearer to their target weights: the kept tokens are shared out over the tree of domains,
    languages and sources, no document is read twice, and the document in which a leaf's budget ends keeps its first
    tokens.
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from foldstack.llm import exact, mixing, packing, quality, queries, simhash
 from foldstack.llm.common import store, table
 
-NEAR_BITS = 4
+#: Differing bits up to which two texts are compared; subtrees of fingerprints up to this size are compared directly.
+NEAR_BITS, NEAR_SUBTREE = 11, 1 << 18
 #: Share of the tokens that the mixture keeps, and its seed.
 MIX_SHARE, MIX_SEED = 0.95, 7
 
@@ -38,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, bits=NEAR_BITS)
+    return simhash.keep_first_alike(docs, NEAR_BITS, subtree=NEAR_SUBTREE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ on one of ``bits + 1`` blocks, so each is dealt to the subtrees of its blocks, e
 block. A subtree of too many fingerprints is not capped: its free bits are cut into blocks again, and so on; once
 sixteen bits are free it holds 65,536 at most. Inside a subtree node pairs descend together, differing bits add up, and
 a pair over budget is dropped. Of the links found only a spanning forest leaves the task.
+
+A budget wide enough for all near copies also joins texts that only resemble each other. ``keep_first_alike`` takes the
+groups joined so as candidates and links only pairs inside them whose word shingles are alike enough by Jaccard.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from .common import HIGHEST, as_null, narrow, null_as, store, whole
 from .components import connected
 
 SHINGLE, BITS, SEED = 3, 2, 42
+#: Words of a compared shingle, and the Jaccard similarity that makes two texts near copies.
+WORDS, SHARE = 5, 0.8
 #: Fingerprints in a subtree beyond which it is divided again.
 SUBTREE = 1 << 16
 #: Node pairs that descend together; more wait on a stack.
 FRONTIER = 1 << 18
-#: A trie of no more fingerprints is one leaf, whose members are compared directly.
-LEAF = 64
+#: A trie of no more fingerprints is one leaf, whose members are compared directly, so many pairs at a time.
+LEAF, PAIRS = 64, 1 << 18
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,13 +69,16 @@ def linked_pairs(values: np.ndarray, bits: int):
     """Index pairs of a sorted array of distinct uint64 within ``bits`` differing places, in blocks.
 
     A node is a range of the sorted array; both nodes of a pair are at the same depth. A prefix sum of each bit
-    tells where a range divides.
+    tells where a range divides. Each level adds a differing bit to half of the pairs, so a trie of fewer than
+    ``2 * bits`` levels drops few and its members are compared directly.
     """
     n = len(values)
-    if n <= LEAF:
-        left, right = np.triu_indices(n, 1)
-        near = np.bitwise_count(values[left] ^ values[right]) <= bits
-        yield left[near], right[near]
+    if n <= max(LEAF, 1 << 2 * bits):
+        step = max(1, PAIRS // max(n, 1))
+        for at in range(0, n, step):
+            left, right = np.nonzero(np.bitwise_count(values[at : at + step, None] ^ values[None, at:]) <= bits)
+            ahead = left < right
+            yield left[ahead] + at, right[ahead] + at
         return
     ones = np.zeros((64, n + 1), dtype=np.int32)
     for bit in range(64):
@@ -216,6 +224,94 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     return rows.join(stays, "key").dropDuplicates(["key"]).select("row.*")
 
 
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of so many words; of all words if there are fewer."""
+    found = _WORD.findall(text.encode("utf-8").translate(_LOWER))
+    if not found:
+        return np.zeros(0, "<u8")
+    pieces = zip(*(found[i:] for i in range(words))) if len(found) >= words else [found]
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in pieces], dtype="<u8"))
+
+
+def alike(one: np.ndarray, other: np.ndarray, share: float = SHARE) -> bool:
+    """Whether the Jaccard similarity of two shingle sets reaches the share; texts without words are equal."""
+    least, most = sorted((len(one), len(other)))
+    if most == 0:
+        return True
+    if least / most < share:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both / (least + most - both) >= share
+
+
+def alike_groups(fps: np.ndarray, sets: list[np.ndarray], bits: int, share: float = SHARE) -> np.ndarray:
+    """The smallest index linked to each text by pairs within ``bits`` places that are alike; linked ones meet once."""
+    label = np.arange(len(fps))
+    for i in range(len(fps) - 1):
+        near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits
+        for j in np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1:
+            if label[j] != label[i] and alike(sets[i], sets[j], share):
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+    return label
+
+
+def _later_copies(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
+    """``(mark)`` of the texts in ``members (root, id, mark, fp, text)`` that are alike to one of a smaller id."""
+
+    def cut(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), words).tobytes() for x in batch.column("text")]
+            yield pa.record_batch([*batch.columns[:4], pa.array(sets, pa.binary())], names=["root", "id", "mark", "fp", "sets"])
+
+    def run(batches):
+        def later(group):
+            fps = np.array([fp for _, fp, _ in group], dtype=np.int64).view(np.uint64)
+            label = alike_groups(fps, [np.frombuffer(x, "<u8") for _, _, x in group], bits, share)
+            return [mark for i, (mark, _, _) in enumerate(group) if label[i] != i]
+
+        root, group = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(n).to_pylist() for n in ("root", "mark", "fp", "sets"))):
+                if row[0] != root:
+                    out += later(group)
+                    root, group = row[0], []
+                if not group or group[-1][0] != row[1]:  # a repeated row
+                    group.append(row[1:])
+            yield pa.record_batch([pa.array(out, pa.int64())], names=["mark"])
+        yield pa.record_batch([pa.array(later(group), pa.int64())], names=["mark"])
+
+    rows = members.select("root", "id", "mark", "fp", "text").mapInArrow(cut, "root long, id long, mark long, fp long, sets binary")
+    return rows.repartition("root").sortWithinPartitions("root", "id", "mark").mapInArrow(run, "mark long")
+
+
+def keep_first_alike(
+    docs: DataFrame, bits: int, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, share: float = SHARE, subtree: int = SUBTREE
+) -> DataFrame:
+    """The input's rows and columns with one document, that of the smallest id, of each group of near copies.
+
+    Two texts are linked if their fingerprints differ in at most ``bits`` places and the Jaccard similarity of their
+    shingles of so many words is ``share`` or more. A missing text is empty; texts without words are near copies; a
+    missing id counts as the largest; rows that repeat a text are near copies whatever their ids, and different texts
+    under one id are told apart. An empty table gives none.
+
+    Candidates are the groups that the trie joins. Only texts in a group with another one are cut into shingles, and
+    a group is checked in one task, which holds its shingle hashes: eight bytes a word.
+    """
+    keyed = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text)).withColumn("mark", F.xxhash64("text"))
+    rows = fingerprints(docs, text, doc_id)
+    texts = store(rows.groupBy("mark").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "near-texts")
+    roots = connected(links(texts, bits, subtree)).select(F.col("node").alias("fp"), "root")
+    rooted = store(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-rooted")
+    shared = store(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "near-shared")
+    members = store(rooted.join(shared, "root"), "near-members")
+    later = store(_later_copies(keyed.join(members, ["id", "mark"]), bits, words, share), "near-later")
+    stays = store(texts.join(later, "mark", "left_anti").select(F.struct("id", "mark").alias("key")), "near-stays")
+    key = F.struct(null_as(doc_id, HIGHEST).alias("id"), F.xxhash64(whole(text)).alias("mark"))
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(stays, "key").dropDuplicates(["key"]).select("row.*")
+
+
 def report(docs: DataFrame) -> DataFrame:
     return near_classes(docs).select(
         as_null("id", HIGHEST).alias("doc_id"),

@@ -296,3 +296,45 @@ def test_passages_edge_cases(spark):
     long = {r.doc_id: r for r in rows}
     assert long[6].n_removed == long[6].n_bytes == len(LONG) and long[6].n_spans == 1 and long[5].n_removed == 0
     assert passages.report(empty(spark)).count() == 0
+
+
+# near copies that are more than a few bits apart
+
+
+def test_near_copies_of_many_bits(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    edit = lambda places: " ".join("changed" if i in places else w for i, w in enumerate(base))
+    # copies with one word changed (0.94), three (0.82) and nine (0.55), and an unrelated text
+    rows = [(1, edit({80})), (2, edit({20, 80, 140})), (3, edit(set(range(8, 160, 17)))), (4, " ".join(base)), (5, " ".join(reversed(base)))]
+    rows += [(6, None), (7, " \n"), (None, " ".join(base)), (8, "one two"), (8, "one three")]
+
+    def jaccard(a, b):
+        cut = lambda t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))}
+        return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+    apart = (brute_simhash(rows[0][1]) ^ brute_simhash(rows[1][1])).bit_count()
+    assert 4 < apart and jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1])
+    bits = max((brute_simhash(rows[0][1]) ^ brute_simhash(rows[i][1])).bit_count() for i in (1, 2, 3))
+    kept = simhash.keep_first_alike(docs(spark, rows), bits)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(rows[i] for i in (0, 2, 4, 5, 8, 9))
+
+
+def test_confirmed_links_against_brute_force(spark, sf):
+    given = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    rows = sorted((r.doc_id, r.text or "") for r in given.collect())
+    sets = [{tuple(t.translate(ASCII).split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    fps, root = [brute_simhash(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if (fps[i] ^ fps[j]).bit_count() <= 11 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert sorted(r.doc_id for r in simhash.keep_first_alike(given, 11).collect()) == sorted({rows[x][0] for x in root})
+
+
+def test_direct_pairs_equal_the_trie():
+    rng = np.random.default_rng(1)
+    values = np.unique(rng.integers(0, 1 << 20, 500, dtype=np.uint64))
+    pairs = {(int(a), int(b)) for x in simhash.linked_pairs(values, 5) for a, b in zip(*x)}
+    assert pairs == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).item().bit_count() <= 5}
