@@ -22,8 +22,8 @@ from .common import narrow, sample_ids, whole
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
-#: Tokens of a span at most, characters of context on either side of a region, digits that make one.
-LONGEST, CONTEXT, DIGITS = 16, 24, 7
+#: Tokens of a span at most and of context on either side of a region, digits that make one.
+LONGEST, DIGITS = 16, 7
 #: Training: carrier texts drawn from the corpus at most, made examples, passes, step, seed.
 CARRIERS, EXAMPLES, PASSES, STEP, SEED = 200, 600, 12, 0.3, 11
 
@@ -36,6 +36,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _GROUPS = re.compile(r"[0-9]+(?:[ ().\[\]/-]{1,3}[0-9]+)*")
+_OCTETS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])")
 _AT = re.compile(r"[\[(] ?at ?[\])]", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 
@@ -264,24 +265,45 @@ def train(carriers: list[str]) -> np.ndarray:
     return weights
 
 
+def _bounds(text: str, start: int, end: int) -> tuple[int, int]:
+    """A region from ``LONGEST`` whole tokens before a place to as many after it, or to the ends of its line."""
+    left = right = 0
+    while left < LONGEST and start > 0 and text[start - 1] != "\n":
+        start -= 1
+        if not text[start].isspace():
+            kind = _kind(text[start])
+            while kind and start > 0 and _kind(text[start - 1]) == kind:
+                start -= 1
+            left += 1
+    while right < LONGEST and end < len(text) and text[end] != "\n":
+        kind = _kind(text[end])
+        right += not text[end].isspace()
+        end += 1
+        while kind and end < len(text) and _kind(text[end]) == kind:
+            end += 1
+    return start, end
+
+
+def _kind(c: str) -> int:
+    """1 for a letter and 2 for a digit of ``_TOKEN``'s runs, 0 for a mark, which is a token of its own."""
+    return 1 if "a" <= c <= "z" or "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 0
+
+
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Stretches with enough digits in neighbouring groups, or a bracketed "at", outside the base spans."""
+    """Stretches with enough digits in neighbouring groups, four short groups between dots, or a bracketed "at",
+    outside the base spans and widened to ``LONGEST`` tokens on either side within the line."""
     found = []
     if _DIGIT.search(text):
-        for group in _GROUPS.finditer(text):
-            if sum(c.isdigit() for c in group.group()) >= DIGITS and not any(a <= group.start() and group.end() <= b for _, a, b in taken):
-                found.append(group.span())
-    if "at" in text or "AT" in text or "At" in text:
+        groups = [m.span() for m in _GROUPS.finditer(text) if sum(c.isdigit() for c in m.group()) >= DIGITS]
+        groups += [m.span() for m in _OCTETS.finditer(text)]
+        found += [(x, y) for x, y in groups if not any(a <= x and y <= b for _, a, b in taken)]
+    if "at" in text or "AT" in text or "At" in text or "aT" in text:
         found += [m.span() for m in _AT.finditer(text)]
     out: list[tuple[int, int]] = []
     for start, end in sorted(found):
-        start, end = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        while start > 0 and text[start].isalnum() and text[start - 1].isalnum() and found and end - start < 4 * CONTEXT:
-            start -= 1
-        while end < len(text) and text[end - 1].isalnum() and text[end].isalnum() and end - start < 6 * CONTEXT:
-            end += 1
+        start, end = _bounds(text, start, end)
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (min(start, out[-1][0]), max(end, out[-1][1]))
         else:
             out.append((start, end))
     return out

@@ -452,6 +452,19 @@ def test_field_adds_and_never_takes(weights):
     assert not any("2001" in text[a:b] or "12345678" in text[a:b] for _, a, b in every)
 
 
+def test_regions_hold_whole_spans(weights):
+    mail = "jane [at] mail [dot] example-company [dot] com"
+    long = "a.very.long.local.part.of.an.address1 [at] mail [dot] org"
+    for span in (mail, long, "10[.]0[.]0[.]1", "8[.]8[.]8[.]8", "8(.)8(.)8(.)8"):
+        text = f"some words before {span} and words after it\nnext line"
+        at = text.index(span)
+        assert any(a <= at and at + len(span) <= b for a, b in personal.regions(text, personal.base_spans(text))), span
+    for span in ("10[.]0[.]0[.]1", "8[.]8[.]8[.]8"):
+        text = f"the host {span} of the net"
+        assert ("ip", 9, 9 + len(span)) in personal.all_spans(text, weights)[1]
+    assert not personal.regions("versions 1.2.3 and words only", [])
+
+
 def test_personal_edge_cases(spark):
     rows = personal.report(edge(spark)).collect()
     assert len(rows) == len(EDGE)
