@@ -11,6 +11,7 @@ from foldstack.plans import audit as checks
 from foldstack.plans import jobs
 from foldstack.plans.fitting import cross_validate, fit_model, layout_partitions, training_frame
 from foldstack.plans.models import BASE_MODELS, FitContext, get_model, list_models
+from foldstack.queries import modelling
 from foldstack.sources import artifacts, tables
 from foldstack.sources.synthetic import normals
 
@@ -416,3 +417,25 @@ def test_fit_rows_bounds_the_fit_and_not_the_scoring(spark, windows, tmp_path):
     report = {r["part"]: r["n"] for r in jobs.train(spark, base, "logreg", fit_rows=60, **QUICK).collect()}
     assert report == {"test": 24, "train": 96}
     assert tuple(jobs.oof(spark, base, "rf", fit_rows=60, leaf=2, **QUICK).first()) == ("rf", 120, 0, 0, 0, 0)
+
+
+def test_registered_stacks_take_every_base_model(spark, sf, monkeypatch):
+    seen = []
+
+    def noted(step):
+        def run(*args, **rest):
+            seen.append((step, tuple(rest.get("models") or args[1:])))
+            raise StopIteration
+
+        return run
+
+    monkeypatch.setattr(modelling, "_landed", lambda *args: "base")
+    monkeypatch.setattr(modelling, "_with_oof", lambda *args: seen.append(("oof", tuple(args[2]))))
+    monkeypatch.setattr(modelling, "_with_stack", lambda *args: seen.append(("stack", tuple(args[2]))))
+    monkeypatch.setattr(modelling.jobs, "stack_train", noted("train"))
+    monkeypatch.setattr(modelling.jobs, "predict", noted("predict"))
+    for query, steps in ((modelling.stack_train, "oof train"), (modelling.stack_predict, "stack predict"), (modelling.predicted_totals, "stack predict")):
+        seen.clear()
+        with pytest.raises(StopIteration):
+            query(spark, sf)
+        assert seen == [(step, BASE_MODELS) for step in steps.split()]
