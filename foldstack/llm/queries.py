@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, passages, personal, quality, simhash, units, warc, winnowing
+from . import exact, hosts, lexical, mixing, packing, passages, periodic, personal, quality, simhash, units, warc, winnowing
 from .common import table
 
 DOMAINS = 4
@@ -84,6 +84,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_personal,
         op10_passages,
+        op11_periodic_runs,
+        op12_url_filter,
+        op13_lexical_search,
     )
 }
 
@@ -104,4 +119,7 @@ ORACLE = {
     "op1_mixture": mixing.ORACLE,
     "op4_line_dedup": units.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
+    "op12_url_filter": hosts.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
