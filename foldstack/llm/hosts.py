@@ -77,10 +77,9 @@ def _strength(groups: DataFrame) -> Column:
     """Prior strength of a level of ``(n, bad, prior)``: moments of a beta-binomial around each group's own prior."""
     spread = F.col("prior") * (1 - F.col("prior"))
     residual = F.sum(F.when(spread > 0, (F.col("bad") - F.col("n") * F.col("prior")) ** 2 / spread).otherwise(0.0))
-    rho = (residual - F.sum("n")) / F.sum(F.col("n") * (F.col("n") - 1))
+    rho = F.try_divide(residual - F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1)))
     bounded = F.greatest(F.lit(RHO_LEAST), F.least(F.lit(RHO_MOST), F.coalesce(rho, F.lit(RHO_MOST))))
-    row = groups.agg((1 / bounded - 1).alias("strength")).first()
-    return F.lit(float(row["strength"]))
+    return F.lit(groups.agg((1 / bounded - 1).alias("strength")).first()["strength"])
 
 
 def _posterior(groups: DataFrame) -> DataFrame:
