@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +40,20 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over a partition's batches, handing unused memory back at its end: workers outlive their tasks."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory without it
+        if trim is not None:
+            trim(0)
+
+    return step
+
+
 def arrow_map(frame: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``step`` to each Arrow batch of each partition."""
 
@@ -47,7 +63,7 @@ def arrow_map(frame: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch
             if out is not None:
                 yield out
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(released(run), schema)
 
 
 def sample_ids(ids: DataFrame, n: int, seed: int) -> DataFrame:

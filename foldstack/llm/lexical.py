@@ -2,13 +2,13 @@
 
 Index: documents are gathered in blocks of similar numbers of distinct terms. A block is a matrix of bits, one row
 per place of a Bloom signature and one column per document; a term sets ``HASHES`` rows in its document's column, and
-again, under other rows, for each number of occurrences in ``LEVELS`` that it reaches. A block also lists its own terms
-with their document counts, so exact statistics of any query terms are a sum over blocks.
+again, under other rows, for each number of occurrences in ``LEVELS`` that it reaches. Beside the blocks the index
+lists how many documents hold each term, counted per task, so exact statistics of any query terms are a sum.
 
 Search: the rows of a query term, taken together bit by bit, tell which documents may hold it and how often at most;
 false bits only add. Sums of these slices, weighted by the terms, give every document an upper bound of its score. The
-documents of the highest bounds are scored exactly first, which gives each query a score that its last rank reaches at
-least. Every document whose bound reaches it is then scored exactly from its whole text; no other can be ranked.
+documents of the highest bounds are scored exactly first, which gives each query a score and an id that its last rank
+reaches at least. Every document whose bound does is then scored exactly from its whole text; no other can be ranked.
 """
 
 from __future__ import annotations
@@ -24,21 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_uri
-from .common import HIGHEST, as_null, narrow, null_as, store, whole
+from .common import HIGHEST, as_null, narrow, null_as, released, store, whole
 
 #: Bits of a signature for each distinct term of the block's largest document, and rows that a term sets.
 BITS, HASHES = 16, 3
 #: Occurrences from which a term sets further rows, and the most occurrences below the next level.
-LEVELS, TOPS = (1, 2, 4, 8), (1, 3, 7, None)
+LEVELS = (1, 2, 3, 4, 6, 9, 14)
+TOPS = (*(n - 1 for n in LEVELS[1:]), None)
 #: A block is full at so many documents or distinct terms summed over them; a task's open blocks hold four times that.
-BLOCK_DOCS, BLOCK_TERMS = 2048, 1 << 20
+BLOCK_DOCS, BLOCK_TERMS = 2048, 1 << 19
 #: Queries looked up in one scan of the index; more are taken in further scans.
 QUERIES = 256
 #: Documents of the highest bounds per query that set the score to reach, per task and in all.
 SEEDS = 40
 RANKS = 20
 #: Distinct terms whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
+#: Distinct terms whose documents a task counts before it writes the counts.
+VOCABULARY = 200_000
 
 #: Scale, length normalisation in per cent and saturation of the score.
 SCALE, BASE, SLOPE, SATURATION = 1_000_000_000, 75, 25, 12
@@ -85,7 +88,6 @@ class _Open:
 
     def __init__(self):
         self.ids, self.marks, self.sizes, self.hashes, self.counts = [], [], [], [], []
-        self.vocabulary: Counter = Counter()
         self.entries = 0
 
     def add(self, key: int, mark: int, counts: Counter, known: _Hashes) -> None:
@@ -95,7 +97,6 @@ class _Open:
         tfs = np.fromiter(counts.values(), np.int64, len(counts))
         self.counts.append(tfs)
         self.sizes.append(int(tfs.sum()))
-        self.vocabulary.update(counts.keys())
         self.entries += len(counts)
 
     def full(self) -> bool:
@@ -113,30 +114,34 @@ class _Open:
             for row in _rows(hashes[some], level, width):
                 bits[row.astype(np.int64), column[some]] = True
         sizes = np.array(self.sizes, np.int64)
-        return pa.record_batch(
-            [
-                pa.array([np.array(x, np.int64).tobytes()], pa.binary())
-                for x in (self.ids, self.marks, sizes)
-            ]
-            + [
-                pa.array([width], pa.int32()),
-                pa.array([np.packbits(bits, axis=1, bitorder="little").tobytes()], pa.binary()),
-                pa.array([list(self.vocabulary)], pa.list_(pa.binary())),
-                pa.array([list(self.vocabulary.values())], pa.list_(pa.int64())),
-                pa.array([int((sizes > 0).sum())], pa.int64()),
-                pa.array([int(sizes.sum())], pa.int64()),
-            ],
-            names=_NAMES,
-        )
-
-
-_NAMES = ["ids", "marks", "sizes", "width", "bits", "terms", "dfs", "n_docs", "n_terms"]
+        packed = np.packbits(bits, axis=1, bitorder="little").tobytes()
+        parts = (np.array(x, np.int64).tobytes() for x in (self.ids, self.marks, sizes))
+        return _batch(*parts, width, packed, n_docs=n, n_terms=int(sizes.sum()))
+
+
+_KINDS = {
+    "ids": pa.binary(),
+    "marks": pa.binary(),
+    "sizes": pa.binary(),
+    "width": pa.int32(),
+    "bits": pa.binary(),
+    "terms": pa.list_(pa.binary()),
+    "dfs": pa.list_(pa.int64()),
+    "n_docs": pa.int64(),
+    "n_terms": pa.int64(),
+}
 _SCHEMA = (
     "ids binary, marks binary, sizes binary, width int, bits binary, terms array<binary>, dfs array<long>, "
     "n_docs long, n_terms long"
 )
 
 
+def _batch(*block, **others) -> pa.RecordBatch:
+    """One row of the index: a block, or document counts of terms."""
+    row = {**dict(zip(_KINDS, block)), **others}
+    return pa.record_batch([pa.array([row.get(n)], k) for n, k in _KINDS.items()], names=list(_KINDS))
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text)).withColumn("mark", F.xxhash64("text"))
 
@@ -148,13 +153,17 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
 
     def run(batches):
-        known, blocks = _Hashes(), {}
+        known, blocks, vocabulary = _Hashes(), {}, Counter()
         for batch in batches:
             keys, marks = batch.column("id").to_pylist(), batch.column("mark").to_pylist()
             for key, mark, value in zip(keys, marks, batch.column("text")):
                 counts = Counter(terms_of(value.as_py()))
                 if not counts:
                     continue
+                vocabulary.update(counts.keys())
+                if len(vocabulary) >= VOCABULARY:
+                    yield _batch(terms=list(vocabulary), dfs=list(vocabulary.values()))
+                    vocabulary.clear()
                 size = len(counts).bit_length()
                 block = blocks.setdefault(size, _Open())
                 block.add(key, mark, counts, known)
@@ -164,8 +173,10 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     yield blocks.pop(max(blocks, key=lambda s: blocks[s].entries)).batch()
         for block in blocks.values():
             yield block.batch()
+        if vocabulary:
+            yield _batch(terms=list(vocabulary), dfs=list(vocabulary.values()))
 
-    return store(_keyed(docs, text, doc_id).mapInArrow(run, _SCHEMA), "lexical-index")
+    return store(_keyed(docs, text, doc_id).mapInArrow(released(run), _SCHEMA), "lexical-index")
 
 
 class _Plan(NamedTuple):
@@ -184,7 +195,7 @@ def _plan(index: DataFrame, texts: list[str]) -> _Plan:
     size = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = size[0] or 0, size[1] or 0
     wanted = index.sparkSession.createDataFrame([(bytearray(t),) for t in terms], "term binary")
-    found = index.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"))))
+    found = index.filter("terms is not null").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"))))
     found = found.join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("df").alias("df"))
     df = {bytes(r["term"]): r["df"] for r in found.collect()}  # at most the terms of one block of queries
     terms = [t for t in terms if t in df]
@@ -240,7 +251,7 @@ def _pairs(query: np.ndarray, ids: np.ndarray, marks: np.ndarray, high: np.ndarr
 
 
 def _signatures(index: DataFrame) -> DataFrame:
-    return index.select("ids", "marks", "sizes", "width", "bits")
+    return index.filter("width is not null").select("ids", "marks", "sizes", "width", "bits")
 
 
 def _seeds(index: DataFrame, plan) -> DataFrame:
@@ -261,12 +272,12 @@ def _seeds(index: DataFrame, plan) -> DataFrame:
 
 
 def _candidates(index: DataFrame, plan, reach) -> DataFrame:
-    """Every pair whose bound reaches the score that the query's last rank has at least."""
+    """Every pair whose bound reaches the score, and at that score the id, that the query's last rank has at least."""
 
     def run(batches):
-        asked, least = plan.value, reach.value
+        asked, (least, last) = plan.value, reach.value
         for high, ids, marks in _blocks(batches, asked):
-            query, place = np.nonzero(high >= least[:, None])
+            query, place = np.nonzero((high > least[:, None]) | (high == least[:, None]) & (ids <= last[:, None]))
             yield _pairs(query, ids[place], marks[place], high[query, place])
 
     return _signatures(index).mapInArrow(run, _PAIRS)
@@ -335,12 +346,10 @@ def search(
         plan = spark.sparkContext.broadcast(made)
         order = Window.partitionBy("query").orderBy(F.desc("high"), F.asc("id"))
         seeds = _seeds(index, plan).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SEEDS)
-        last = _ranked(_scored(rows, seeds, plan), ranks).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        least = np.ones(len(some), np.int64)
-        for r in last.collect():  # one row per query of the block
-            if r["n"] >= ranks:
-                least[r["query"]] = r["least"]
-        pairs = _candidates(index, plan, spark.sparkContext.broadcast(least))
+        least, last = np.ones(len(some), np.int64), np.full(len(some), HIGHEST)
+        for r in _ranked(_scored(rows, seeds, plan), ranks).filter(F.col("rank") == ranks).collect():  # one row per query
+            least[r["query"]], last[r["query"]] = r["score"], r["id"]
+        pairs = _candidates(index, plan, spark.sparkContext.broadcast((least, last)))
         ranked = _ranked(_scored(rows, pairs, plan), ranks)
         names = spark.createDataFrame([(i, r["item"]) for i, r in enumerate(some)], "query int, item_id long")
         named = ranked.join(F.broadcast(names), "query")  # one row per query of the block
