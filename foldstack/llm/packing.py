@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, store, whole
+from .common import narrow, released, store, whole
 
 TOKENS = 4096
 END = 1
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "
                 at = upto
 
     rows = narrow(docs, doc_id=doc_id, text=whole(text))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:

@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import narrow, sample_ids, store, whole
+from .common import narrow, released, sample_ids, store, whole
 
 EMBEDDED, WIDTH, STRIDE, FILTERS, POOL = 8, 8, 4, 24, 64
 #: Training sample: labelled documents per class and longest text, in order of a hash of the id.
@@ -160,22 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     return fitted[0]["model"] if fitted else pack(train([], []))
 
 
-def scored(docs: DataFrame, model: bytes) -> DataFrame:
-    """``(row, score)``: each input row as a struct, with the score of its whole text (a missing text is empty)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        ready = unpack(shipped.value)
-        for batch in batches:
-            scores = [score_text(ready, x.as_py()) for x in batch.column("text")]
-            yield pa.record_batch([batch.column("row"), pa.array(scores, pa.float64())], names=["row", "score"])
-
-    rows = docs.select(F.struct("*").alias("row"), whole("text").alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
-
-
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` per row; repeated rows have one score each, an empty table gives none."""
     narrowed = docs.select("doc_id", "text")
     shipped = docs.sparkSession.sparkContext.broadcast(fit(narrowed, labels))
 
@@ -185,7 +170,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = [score_text(ready, x.as_py()) for x in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    rows = narrow(narrowed, doc_id="doc_id", text=whole("text")).mapInArrow(run, "doc_id long, score double")
+    rows = narrow(narrowed, doc_id="doc_id", text=whole("text")).mapInArrow(released(run), "doc_id long, score double")
     return rows.select(
         "doc_id",
         F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"),
@@ -195,5 +180,18 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input's rows and columns whose text scores 0.5 or more."""
-    return scored(docs, fit(docs, labels)).filter("score >= 0.5").select("row.*")
+    """The input's rows and columns whose text scores 0.5 or more.
+
+    A missing text is scored as the empty one; rows that repeat stay or go together; an empty table gives none, and
+    other columns pass through whatever their names. Rows cross to Python once and only those that stay come back.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        ready = unpack(shipped.value)
+        for batch in batches:
+            texts = batch.column("row").field("text")
+            yield batch.filter(pa.array([score_text(ready, x.as_py() or "") >= 0.5 for x in texts], pa.bool_()))
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(released(run), rows.schema).select("row.*")
