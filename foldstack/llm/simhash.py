@@ -7,7 +7,8 @@ sixteen bits are free it holds 65,536 at most. Inside a subtree node pairs desce
 a pair over budget is dropped. Of the links found only a spanning forest leaves the task.
 
 A budget wide enough for all near copies also joins texts that only resemble each other. ``keep_first_alike`` takes the
-groups joined so as candidates and links only pairs inside them whose word shingles are alike enough by Jaccard.
+groups joined so as candidates and links only pairs inside them whose word shingles are alike enough by Jaccard; a
+group of any size is confirmed in parts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIGHEST, as_null, narrow, null_as, store, whole
+from .common import HIGHEST, as_null, narrow, null_as, released, store, whole
 from .components import connected
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -30,8 +31,10 @@ WORDS, SHARE = 5, 0.8
 SUBTREE = 1 << 16
 #: Node pairs that descend together; more wait on a stack.
 FRONTIER = 1 << 18
-#: A trie of no more fingerprints is one leaf, whose members are compared directly, so many pairs at a time.
+#: A leaf of a trie holds no more fingerprints; its members are compared directly, so many pairs at a time.
 LEAF, PAIRS = 64, 1 << 18
+#: Texts whose shingles one task compares with as many others.
+BLOCK = 256
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,33 +56,44 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, mark, fp)`` per row: ``mark`` hashes the text, ``fp`` is the fingerprint as a signed long."""
+def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """``(id, mark, fp)`` of ``rows (id, text, mark)``."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([simhash(x.as_py(), shingle) for x in batch.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("id"), batch.column("mark"), pa.array(fps)], names=["id", "mark", "fp"])
 
+    return rows.mapInArrow(released(run), f"id long, mark {rows.schema['mark'].dataType.simpleString()}, fp long")
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """``(id, mark, fp)`` per row: ``mark`` hashes the text, ``fp`` is the fingerprint as a signed long."""
     rows = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text)).withColumn("mark", F.xxhash64("text"))
-    return rows.mapInArrow(run, "id long, mark long, fp long")
+    return _fingerprints(rows, shingle)
+
+
+def _leaf_pairs(values: np.ndarray, pairs: np.ndarray, bits: int):
+    """Members of leaves of a trie that are within ``bits`` places, so many leaf pairs at a time."""
+    span, step = np.arange(LEAF), max(1, PAIRS // LEAF**2)
+    for at in range(0, len(pairs), step):
+        a0, a1, b0, b1, _ = (x[:, None] for x in pairs[at : at + step].T)
+        left, right = a0 + span, b0 + span
+        ours, theirs = (values[np.minimum(x, len(values) - 1)] for x in (left, right))
+        near = np.bitwise_count(ours[:, :, None] ^ theirs[:, None, :]) <= bits
+        near &= (left < a1)[:, :, None] & (right < b1)[:, None, :] & (left[:, :, None] < right[:, None, :])
+        k, i, j = np.nonzero(near)
+        if len(k):
+            yield left[k, i], right[k, j]
 
 
 def linked_pairs(values: np.ndarray, bits: int):
     """Index pairs of a sorted array of distinct uint64 within ``bits`` differing places, in blocks.
 
-    A node is a range of the sorted array; both nodes of a pair are at the same depth. A prefix sum of each bit
-    tells where a range divides. Each level adds a differing bit to half of the pairs, so a trie of fewer than
-    ``2 * bits`` levels drops few and its members are compared directly.
+    A node is a range of the sorted array, a leaf one of at most ``LEAF`` values; both nodes of a pair are at the same
+    depth. A prefix sum of each bit tells where a range divides.
     """
     n = len(values)
-    if n <= max(LEAF, 1 << 2 * bits):
-        step = max(1, PAIRS // max(n, 1))
-        for at in range(0, n, step):
-            left, right = np.nonzero(np.bitwise_count(values[at : at + step, None] ^ values[None, at:]) <= bits)
-            ahead = left < right
-            yield left[ahead] + at, right[ahead] + at
-        return
     ones = np.zeros((64, n + 1), dtype=np.int32)
     for bit in range(64):
         np.cumsum((values >> np.uint64(63 - bit)) & np.uint64(1), out=ones[bit, 1:])
@@ -87,10 +101,10 @@ def linked_pairs(values: np.ndarray, bits: int):
     stack = [(0, np.array([[0, n, 0, n, 0]], dtype=np.int32))]
     while stack:
         at, pairs = stack.pop()
-        if at == len(depths):
-            pairs = pairs[pairs[:, 0] != pairs[:, 2]]
-            if len(pairs):
-                yield pairs[:, 0], pairs[:, 2]
+        leaves = (pairs[:, 1] - pairs[:, 0] <= LEAF) & (pairs[:, 3] - pairs[:, 2] <= LEAF)
+        yield from _leaf_pairs(values, pairs[leaves], bits)
+        pairs = pairs[~leaves]
+        if not len(pairs):
             continue
         if len(pairs) > FRONTIER:
             stack += [(at, pairs[i : i + FRONTIER]) for i in range(0, len(pairs), FRONTIER)]
@@ -104,7 +118,6 @@ def linked_pairs(values: np.ndarray, bits: int):
         children.append(np.stack((a, a1, b0, b, d + 1), axis=1)[~same])  # a self pair meets this one already
         children = np.concatenate(children)
         alive = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3]) & (children[:, 4] <= bits)
-        alive &= (children[:, 0] != children[:, 2]) | (children[:, 1] - children[:, 0] > 1)  # a leaf with itself
         children = children[alive]
         if len(children):
             stack.append((at + 1, children))
@@ -244,46 +257,51 @@ def alike(one: np.ndarray, other: np.ndarray, share: float = SHARE) -> bool:
     return both / (least + most - both) >= share
 
 
-def alike_groups(fps: np.ndarray, sets: list[np.ndarray], bits: int, share: float = SHARE) -> np.ndarray:
-    """The smallest index linked to each text by pairs within ``bits`` places that are alike; linked ones meet once."""
-    label = np.arange(len(fps))
+def alike_links(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, bits: int, share: float = SHARE) -> list[tuple[int, int]]:
+    """Index pairs that join all texts linked within ``bits`` places and alike; both sides of a pair meet once.
+
+    With two sides only pairs across them count. Texts that links join already are not compared again.
+    """
+    label, out, across = np.arange(len(fps)), [], len(np.unique(sides)) > 1
     for i in range(len(fps) - 1):
         near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits
+        if across:
+            near &= sides[i + 1 :] != sides[i]
         for j in np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1:
             if label[j] != label[i] and alike(sets[i], sets[j], share):
-                a, b = sorted((label[i], label[j]))
-                label[label == b] = a
-    return label
+                label[label == label[j]] = label[i]
+                out.append((i, int(j)))
+    return out
 
 
-def _later_copies(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
-    """``(mark)`` of the texts in ``members (root, id, mark, fp, text)`` that are alike to one of a smaller id."""
+def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
+    """``(src, dst)``: marks of texts in ``members (root, n, mark, fp, text)`` whose likeness is confirmed.
 
-    def cut(batches):
-        for batch in batches:
-            sets = [shingles(x.as_py(), words).tobytes() for x in batch.column("text")]
-            yield pa.record_batch([*batch.columns[:4], pa.array(sets, pa.binary())], names=["root", "id", "mark", "fp", "sets"])
-
-    def run(batches):
-        def later(group):
-            fps = np.array([fp for _, fp, _ in group], dtype=np.int64).view(np.uint64)
-            label = alike_groups(fps, [np.frombuffer(x, "<u8") for _, _, x in group], bits, share)
-            return [mark for i, (mark, _, _) in enumerate(group) if label[i] != i]
+    A group of candidates is cut into parts of about ``BLOCK`` texts by a hash; every two parts are compared in a task
+    of their own, so a task holds two parts' shingles, eight bytes a word, whatever the size of the group.
+    """
 
-        root, group = None, []
+    def cut(batches):
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(n).to_pylist() for n in ("root", "mark", "fp", "sets"))):
-                if row[0] != root:
-                    out += later(group)
-                    root, group = row[0], []
-                if not group or group[-1][0] != row[1]:  # a repeated row
-                    group.append(row[1:])
-            yield pa.record_batch([pa.array(out, pa.int64())], names=["mark"])
-        yield pa.record_batch([pa.array(later(group), pa.int64())], names=["mark"])
-
-    rows = members.select("root", "id", "mark", "fp", "text").mapInArrow(cut, "root long, id long, mark long, fp long, sets binary")
-    return rows.repartition("root").sortWithinPartitions("root", "id", "mark").mapInArrow(run, "mark long")
+            sets = pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary())
+            yield pa.record_batch([*(batch.column(n) for n in names), sets], names=[*names, "sets"])
+
+    def compare(key, table):
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("sets")]
+        found = alike_links(fps, sets, table.column("part").to_numpy(), bits, share)
+        marks = table.column("mark")
+        one, other = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
+        return pa.table([marks.take(one), marks.take(other)], names=["src", "dst"])
+
+    names = ["root", "mark", "fp", "part", "parts"]
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("mark"), "parts"))
+    rows = rows.select(*names, "text").mapInArrow(released(cut), "root long, mark binary, fp long, part int, parts int, sets binary")
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    met = met.select("root", low, high, "mark", "fp", "part", "sets")
+    return met.groupBy("root", "low", "high").applyInArrow(compare, "src binary, dst binary")
 
 
 def keep_first_alike(
@@ -297,19 +315,25 @@ def keep_first_alike(
     under one id are told apart. An empty table gives none.
 
     Candidates are the groups that the trie joins. Only texts in a group with another one are cut into shingles, and
-    a group is checked in one task, which holds its shingle hashes: eight bytes a word.
+    pairs are confirmed part by part; a text is known by its SHA-256.
     """
-    keyed = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text)).withColumn("mark", F.xxhash64("text"))
-    rows = fingerprints(docs, text, doc_id)
+    mark = F.unhex(F.sha2(whole(text).cast("binary"), 256))
+    keyed = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text), mark=mark)
+    rows = _fingerprints(keyed, SHINGLE)
     texts = store(rows.groupBy("mark").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "near-texts")
     roots = connected(links(texts, bits, subtree)).select(F.col("node").alias("fp"), "root")
     rooted = store(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-rooted")
-    shared = store(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "near-shared")
-    members = store(rooted.join(shared, "root"), "near-members")
-    later = store(_later_copies(keyed.join(members, ["id", "mark"]), bits, words, share), "near-later")
-    stays = store(texts.join(later, "mark", "left_anti").select(F.struct("id", "mark").alias("key")), "near-stays")
-    key = F.struct(null_as(doc_id, HIGHEST).alias("id"), F.xxhash64(whole(text)).alias("mark"))
-    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(stays, "key").dropDuplicates(["key"]).select("row.*")
+    shared = store(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
+    members = store(rooted.join(shared, "root").select("id", "mark", "fp", "root", "n"), "near-members")
+    wanted = keyed.join(members, ["id", "mark"]).select("root", "n", "mark", "fp", "text").dropDuplicates(["mark"])
+    pairs = store(_alike_pairs(wanted, bits, words, share), "near-pairs")
+    alike_to = connected(pairs).select(F.col("node").alias("mark"), F.col("root").alias("group"))
+    grouped = store(texts.select("id", "mark").join(alike_to, "mark", "left"), "near-grouped")
+    key = F.struct("id", "mark").alias("key")
+    first = grouped.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "mark")).alias("key")).select("key")
+    stays = store(grouped.filter("group is null").select(key).unionByName(first), "near-stays")
+    row_key = F.struct(null_as(doc_id, HIGHEST).alias("id"), mark.alias("mark"))
+    return docs.select(F.struct("*").alias("row"), row_key.alias("key")).join(stays, "key").dropDuplicates(["key"]).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
