@@ -1,12 +1,18 @@
-"""Repeated lines: units are normalised and hashed, digests grouped over all documents, the earliest place kept.
+"""Repeated lines and sentences: units are normalised and hashed, digests grouped over all documents, the earliest kept.
 
-A digest's earliest place is a map-side combined minimum, so a line that stands in every document is one row per
-task before the shuffle. Only digests that occur more than once are joined back to their places.
+A unit is a sentence of a line, or the line where it has one: it ends after a full stop, question or exclamation mark
+before a blank, after their full-width forms, or at a line's end, and holds the blanks that follow, so the units of a
+text are the text. A digest's earliest place is a map-side combined minimum, so a unit that stands in every document
+is one row per task before the shuffle; only digests that occur more than once are joined back to their places.
+
+Short phrases repeat by chance or as headings. Units that repeat an earlier one go where they form a stretch of
+``STRETCH`` characters or more with the repeats next to them; the README states the share of repeats that stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import HIGHEST, arrow_map, as_null, narrow, null_as, store, whole
 
-#: Units of fewer words (headings, single words, blank lines) are left alone.
-MIN_WORDS = 5
+#: Characters, in normal form, that a stretch of repeated units has at least to be removed.
+STRETCH = 120
 
-_FORM = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(map(ord, "\t\r\v\f"), " ")
-DOC = ["id", "sha256"]
+_END = re.compile("[.!?]+[ \t\r\v\f\n]+|[。！？][ \t\r\v\f\n]*|\n[ \t\r\v\f\n]*")
+_FORM = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(map(ord, "\t\r\v\f\n"), " ")
+DOC = ["id", "mark"]
 
 
 def normal_form(unit: str) -> str:
@@ -26,115 +33,135 @@ def normal_form(unit: str) -> str:
     return " ".join(x for x in unit.translate(_FORM).split(" ") if x)
 
 
-def split_units(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """``(unit, start, end, digest)`` of each line of enough words; offsets are code points of the original."""
-    out, start = [], 0
-    for number, line in enumerate(text.split("\n")):
-        form = normal_form(line)
-        if form and form.count(" ") + 1 >= min_words:
-            out.append((number, start, start + len(line), hashlib.blake2b(form.encode(), digest_size=16).digest()))
-        start += len(line) + 1
-    return out
+def split_units(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of each unit in code points; together they are the whole text."""
+    ends = [m.end() for m in _END.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    return list(zip([0, *ends], ends))
 
 
 def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text))
-    return rows.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.withColumn("mark", F.xxhash64("text"))
 
 
-def unit_places(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, sha256, unit, start, end, digest)``; ``sha256`` tells apart texts that share an id."""
+def unit_places(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(id, mark, unit, start, end, size, digest)`` of units that are not blank.
+
+    ``mark`` tells apart texts that share an id, ``size`` is the length of the normal form.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for i, value in enumerate(batch.column("text")):
-            rows.extend((i, *unit) for unit in split_units(value.as_py(), min_words))
-        at, unit, start, end, digest = zip(*rows) if rows else ((), (), (), (), ())
+            whole_text = value.as_py()
+            for number, (start, end) in enumerate(split_units(whole_text)):
+                form = normal_form(whole_text[start:end])
+                if form:
+                    rows.append((i, number, start, end, len(form), hashlib.blake2b(form.encode(), digest_size=16).digest()))
+        at, *numbers, digest = zip(*rows) if rows else ((),) * 6
         at = pa.array(at, pa.int32())
-        return pa.record_batch(
-            [
-                batch.column("id").take(at),
-                batch.column("sha256").take(at),
-                *(pa.array(x, pa.int32()) for x in (unit, start, end)),
-                pa.array(digest, pa.binary()),
-            ],
-            names=["id", "sha256", "unit", "start", "end", "digest"],
-        )
+        columns = [batch.column("id").take(at), batch.column("mark").take(at), *(pa.array(x, pa.int32()) for x in numbers)]
+        return pa.record_batch([*columns, pa.array(digest, pa.binary())], names=["id", "mark", "unit", "start", "end", "size", "digest"])
 
-    schema = "id long, sha256 string, unit int, start int, end int, digest binary"
+    schema = "id long, mark long, unit int, start int, end int, size int, digest binary"
     return arrow_map(_documents(docs, text, doc_id), step, schema)
 
 
-def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, sha256, removed)``: per document that loses lines, an array of ``(unit, start, end)`` in order.
+def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(id, mark, repeats)``: per document with repeats of earlier units, ``(unit, start, end, size)`` in order.
 
-    Lines rank by (id, text digest, line number); the first of equal digests stays. A missing id ranks last, a
-    missing text has no lines, and rows that repeat an id and a text count as one document.
+    Units rank by (id, text hash, number); the first of equal digests stays. A missing id ranks last, a missing text
+    has no units, and rows that repeat an id and a text count as one document.
     """
-    places = store(unit_places(docs, text, doc_id, min_words).distinct(), "line-places")
-    rank = F.struct("id", "sha256", "unit")
-    first = store(
-        places.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"),
-        "line-first",
-    )
+    places = store(unit_places(docs, text, doc_id), "unit-places")
+    rank = F.struct("id", "mark", "unit")
+    first = places.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    first = store(first.filter("n > 1").select("digest", "first"), "unit-first")
     later = places.join(first, "digest").filter(rank != F.col("first"))
-    return later.groupBy(DOC).agg(F.sort_array(F.collect_list(F.struct("unit", "start", "end"))).alias("removed"))
+    return later.groupBy(DOC).agg(F.sort_array(F.collect_set(F.struct("unit", "start", "end", "size"))).alias("repeats"))
+
+
+def stretches(repeats: list[dict], least: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of the repeats whose stretch of adjacent ones is long enough."""
+    out, run, size = [], [], 0
+    for repeat in [*repeats, None]:
+        if run and (repeat is None or repeat["unit"] != run[-1]["unit"] + 1):
+            if size >= least:
+                out.extend((r["start"], r["end"]) for r in run)
+            run, size = [], 0
+        if repeat is not None:
+            run.append(repeat)
+            size += repeat["size"]
+    return out
 
 
-def _kept(text: str, gone: set[int]) -> str:
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
+def _kept(text: str, gone: list[tuple[int, int]]) -> str:
+    at, out = 0, []
+    for start, end in gone:
+        out.append(text[at:start])
+        at = end
+    return "".join([*out, text[at:]])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, kept_text, n_lines, removed)`` per row; a document whose lines all go has an empty text."""
+def dedup_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = STRETCH) -> DataFrame:
+    """``(id, kept_text, n_units, removed)`` per row; a document whose units all go has an empty text."""
     rows = _documents(docs, text, doc_id)
-    gone = removals(docs, text, doc_id, min_words)
+    gone = removals(docs, text, doc_id)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, sizes = [], []
-        for value, numbers in zip(batch.column("text").to_pylist(), batch.column("numbers").to_pylist()):
-            texts.append(_kept(value, set(numbers or ())))
-            sizes.append(value.count("\n") + 1)
+        texts, sizes, spans = [], [], []
+        for value, repeats in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist()):
+            found = stretches(repeats or [], least)
+            texts.append(_kept(value, found))
+            sizes.append(len(split_units(value)))
+            spans.append(",".join(f"{a}:{b}" for a, b in found))
         return pa.record_batch(
-            [batch.column("id"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), batch.column("spans")],
-            names=["id", "kept_text", "n_lines", "spans"],
+            [batch.column("id"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(spans, pa.string())],
+            names=["id", "kept_text", "n_units", "spans"],
         )
 
-    spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"]))
-    joined = rows.join(gone, DOC, "left").select(
-        "id", "text", F.col("removed.unit").alias("numbers"), F.coalesce(F.array_join(spans, ","), F.lit("")).alias("spans")
-    )
-    return arrow_map(joined, step, "id long, kept_text string, n_lines long, spans string")
+    joined = rows.join(gone, DOC, "left").select("id", "text", "repeats")
+    return arrow_map(joined, step, "id long, kept_text string, n_units long, spans string")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select(
+    return dedup_units(docs).select(
         as_null("id", HIGHEST).alias("doc_id"),
-        "n_lines",
+        "n_units",
         F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_removed"),
         F.col("spans").alias("removed_spans"),
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, unit - 1 AS unit, line FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS unit FROM documents)
+ORACLE = rf"""
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''),
+           '([.!?]+[ \t\r\v\f\n]+|[。！？][ \t\r\v\f\n]*|\n[ \t\r\v\f\n]*)', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents
+), units AS (
+  SELECT doc_id, unit, piece FROM (
+    SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS unit FROM cut) WHERE piece <> ''
 ), placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY unit
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[ \t\r\v\f]+', ' ', 'g'), ' ') AS form
-  FROM lines
+         trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[ \t\r\v\f\n]+', ' ', 'g'), ' ') AS form
+  FROM units
 ), ranked AS (
-  SELECT *, length(form) - length(replace(form, ' ', '')) + 1 >= 5 AND form <> '' AND
-         row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) > 1 AS gone
-  FROM placed
+  SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, unit) > 1 AS later FROM placed
+), islands AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY unit) AS island FROM ranked
+), judged AS (
+  SELECT *, later AND sum(length(form)) OVER (PARTITION BY doc_id, later, island) >= {STRETCH} AS gone FROM islands
+), found AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+         string_agg(start || ':' || (start + length(piece)), ',' ORDER BY unit) FILTER (gone) AS spans,
+         string_agg(piece, '' ORDER BY unit) FILTER (NOT gone) AS kept
+  FROM judged GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN found USING (doc_id)
 """

@@ -171,30 +171,71 @@ def test_simhash_edge_cases(spark):
 # lines
 
 
-def test_lines_against_brute_force(spark):
-    rng = random.Random(5)
-    pool = [" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "eps"]) for _ in range(rng.randrange(3, 7))) for _ in range(30)]
-    rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", "  ", "\t"]) for _ in range(rng.randrange(6)))) for i in range(80)]
+BLANK = " \t\r\v\f\n"
+
+
+def brute_units(text):
+    """Units by a scan of characters."""
+    out, at, i = [], 0, 0
+    while i < len(text):
+        stop = text[i] in "\n\u3002\uff01\uff1f" or text[i] in ".!?" and i + 1 < len(text) and text[i + 1] in BLANK
+        i += 1
+        if stop:
+            while i < len(text) and text[i] in BLANK:
+                i += 1
+            out.append((at, i))
+            at = i
+    return out + ([(at, len(text))] if at < len(text) else [])
+
+
+def brute_dedup(rows, least):
     seen, expected = set(), {}
     for i, text in rows:
-        kept, spans, at = [], [], 0
-        for line in text.split("\n"):
-            form = " ".join(line.lower().split())
-            if len(form.split()) >= units.MIN_WORDS and form in seen:
-                spans.append(f"{at}:{at + len(line)}")
-            else:
-                seen.add(form)
-                kept.append(line)
-            at += len(line) + 1
-        expected[i] = (text.count("\n") + 1, len(spans), ",".join(spans), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+        cut, later = brute_units(text), []
+        for a, b in cut:
+            form = " ".join(text[a:b].lower().split())
+            later.append((a, b, len(form), form in seen and form != ""))
+            seen.add(form)
+        gone, k = [], 0
+        while k < len(later):
+            m = k
+            while m < len(later) and later[m][3]:
+                m += 1
+            if sum(x[2] for x in later[k:m]) >= least and m > k:
+                gone += [(a, b) for a, b, _, _ in later[k:m]]
+            k = m + 1
+        kept = "".join(text[a:b] for a, b in cut if (a, b) not in gone)
+        spans = ",".join(f"{a}:{b}" for a, b in gone)
+        expected[i] = (len(cut), len(gone), spans, hashlib.sha256(kept.encode()).hexdigest())
+    return expected
+
+
+def test_units_are_the_text():
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice("ab.!? \n\t\u3002") for _ in range(rng.randrange(40)))
+        assert units.split_units(text) == brute_units(text)
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["alpha", "Beta", "gamma", "delta", "eps", "3.5", "\u65e5\u672c\u8a9e\u3002", "www.example.org/" + "x" * 130]
+    pool = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 12))) + rng.choice([".", "!?", ""]) for _ in range(40)]
+    rows = []
+    for i in range(120):
+        some = [rng.choice(pool) + rng.choice(["\n", " ", "\n\n ", "\t"]) for _ in range(rng.randrange(9))]
+        rows.append((i, "".join(some) + (" ".join(f"own{i}" for _ in range(rng.randrange(3))))))
+    expected = brute_dedup(rows, units.STRETCH)
     assert {i: tuple(r)[1:] for i, r in by_id(units.report(docs(spark, rows))).items()} == expected
+    assert 20 < sum(e[1] > 0 for e in expected.values()) < 115
 
 
 def test_lines_edge_cases(spark):
     rows = units.report(edge(spark)).collect()
     assert len(rows) == len(EDGE)
     lost = {r.doc_id: r.n_removed for r in rows}
-    assert lost[2] == 1 and lost[6] == 1 and lost[1] == 0 and lost[5] == 0 and lost[3] == 0
+    assert len(SENTENCE) < units.STRETCH and lost[2] == 0  # a repeat that is too short stays
+    assert lost[6] == 1 and lost[1] == 0 and lost[5] == 0 and lost[3] == 0
     assert units.report(empty(spark)).count() == 0
 
 
@@ -338,3 +379,24 @@ def test_direct_pairs_equal_the_trie():
     values = np.unique(rng.integers(0, 1 << 20, 500, dtype=np.uint64))
     pairs = {(int(a), int(b)) for x in simhash.linked_pairs(values, 5) for a, b in zip(*x)}
     assert pairs == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).item().bit_count() <= 5}
+
+
+def test_large_groups_are_confirmed_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    # one group of candidates: unlike texts under a wide budget, with chains of near copies among them
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    for i in range(60, 120):
+        words = rows[rng.randrange(i)][1].split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    for block in (7, 1000):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        kept = simhash.keep_first_alike(docs(spark, rows), 45, share=0.7)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
