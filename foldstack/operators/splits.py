@@ -31,6 +31,8 @@ FOLDS = 5
 BUCKET_DIGITS = 3
 #: Boundary keys (classes times cuts) that may be fetched and broadcast, some 100 bytes each.
 MAX_BOUNDS = 200_000
+#: Rows that a sample keeps of every class in every fold, if there are so many.
+SAMPLE_FLOOR = 2
 #: Rows of a bucket that are ranked in one task; larger ones are cut by more digits first.
 BUCKET_ROWS = 500_000
 
@@ -233,6 +235,53 @@ def fit_holdout(
     return _fit(df, seed, 2, digits, starts)
 
 
+def sample_quotas(sizes: dict[str, int], rows: int, floor: int = SAMPLE_FLOOR) -> dict[str, int]:
+    """Rows to take of each stratum: its share of ``rows`` by largest remainder, but ``min(n, floor)`` at least."""
+    total = sum(sizes.values())
+    exact = {c: n * min(rows, total) for c, n in sizes.items()}
+    quota = {c: e // total for c, e in exact.items()}
+    by_remainder = sorted(sizes, key=lambda c: (-(exact[c] % total), c))
+    for c in by_remainder[: min(rows, total) - sum(quota.values())]:
+        quota[c] += 1
+    return {c: max(q, min(sizes[c], floor)) for c, q in quota.items()}
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Rows of each (fold, class): the first so many in order of the seeded hash of the id."""
+
+    split: Split
+    quotas: dict[tuple[int, str], int]
+
+    def take(self, df: DataFrame) -> DataFrame:
+        """The sampled rows of ``df (window_id, label, fold, ..)``, a narrow filter."""
+        marked = df.withColumn("_label", F.col("label")).withColumn("label", _stratum())
+        kept = self.split.assign(marked, "_part").where("_part = 0")
+        return kept.withColumn("label", F.col("_label")).select(*df.columns)
+
+
+def _stratum() -> Column:
+    return F.concat(F.col("fold").cast("string"), F.lit(":"), F.col("label"))
+
+
+def fit_sample(df: DataFrame, rows: int, seed: int = SEED, floor: int = SAMPLE_FLOOR) -> Sample:
+    """An exact stratified sample of ``df (window_id, label, fold)`` by the boundary search of the splits.
+
+    About ``rows`` rows, each fold and class with its share to within one row, and no class and fold with fewer than
+    ``min(n, floor)``: at most ``floor`` more rows for each of them.
+    """
+    chosen: dict[str, int] = {}
+
+    def starts(sizes: dict[str, int]) -> dict[str, list[int]]:
+        chosen.update(sample_quotas(sizes, rows, floor))
+        return {c: [q] for c, q in chosen.items()}
+
+    # Folds are ranges of one seeded order; the sample draws from another.
+    split = _fit(df.select("window_id", _stratum().alias("label")), -1 - seed, 2, BUCKET_DIGITS, starts)
+    parted = {c: c.split(":", 1) for c in chosen}
+    return Sample(split, {(int(fold), label): chosen[c] for c, (fold, label) in parted.items()})
+
+
 def assign_folds(df: DataFrame, seed: int = SEED, k: int = FOLDS) -> DataFrame:
     """``df`` with its fold number, for any number of classes."""
     return fit_split(df, seed, k).assign(df)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstack.operators.binning import bin_edges
 from foldstack.operators.classes import MAX_CLASSES, index_labels
-from foldstack.operators.splits import SEED, training, validation
-from foldstack.plans.models import WEIGHTED, FitContext, get_model, settings_for
+from foldstack.operators.splits import SEED, fit_sample, training, validation
+from foldstack.plans.models import FitContext, get_model, settings_for
 from foldstack.sources.scratch import checkpoint_dir
 
 
@@ -29,7 +31,6 @@ LARGE_PARTITION = 1024**3
 # Fits run side by side only while the whole table is small; a large fit fills the cluster alone,
 # and every learner keeps its own copy of its rows.
 SIDE_BY_SIDE_BYTES = 1024**3
-HASHES = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class TrainingFrame:
     """Rows ``(window_id, label, fold, y, <input>)`` plus the counts the models need.
 
     ``rows`` are learned from, ``every`` is scored; they differ only where ``fit_rows`` bounds the
-    sample.     ``counts[fold][code]`` is the number of rows; it holds one number per fold and class.
+    sample. ``counts[fold][code]`` is the number of rows; it holds one number per fold and class.
     """
 
     rows: DataFrame
@@ -46,6 +47,13 @@ class TrainingFrame:
     counts: dict[int, dict[int, int]]
     n_features: int
     input_col: str
+    _edges: dict[int, list[np.ndarray]] = field(default_factory=dict)
+
+    def edges(self, bins: int) -> list[np.ndarray]:
+        """Bin edges of the features, found once for all models, folds and rounds."""
+        if bins not in self._edges:
+            self._edges[bins] = bin_edges(self.rows, self.input_col, bins)
+        return self._edges[bins]
 
     def class_sizes(self, without: int | None = None) -> dict[int, int]:
         sizes: dict[int, int] = {}
@@ -99,19 +107,20 @@ def training_frame(
 ) -> Iterator[TrainingFrame]:
     """Lay the rows out once for all fits and release them afterwards.
 
-    Tree learners sample per partition, so rows are hashed by id into a number of partitions that
-    depends on the table alone and sorted inside them: the same table gives the same models on
-    any cluster. That one shuffle serves all k fits, each of which passes over the rows many
-    times. The layout is kept in memory and on disk; lost blocks are rebuilt from the input.
+    Rows are hashed by id into a number of partitions that depends on the table alone and sorted
+    inside them, so sums of floating-point losses meet in the same order on any cluster. That one
+    shuffle serves all k fits, each of which passes over the rows many times. The layout is kept in
+    memory and on disk; lost blocks are rebuilt from the input.
 
     Rows per fold and the input width are looked up first. Callers whose ``df`` is costly to
     compute pass a ``folds`` table with the same rows and the expected ``width`` instead; a row
     of another width, or without input, raises.
 
-    ``fit_rows`` bounds the rows learned from: of a larger table only about so many are laid out,
-    chosen by a hash of the id, so each class and fold keeps its share. Trees cost a pass over the
-    layout per level and round, and forests of unlimited depth grow with its rows, so very large
-    tables should set it. Everything is scored all the same, from the input and without a shuffle.
+    ``fit_rows`` bounds the rows learned from: of a larger table only about so many are laid out, an
+    exact stratified sample in which each class and fold keeps its share and none is lost (see
+    :func:`foldstack.operators.splits.fit_sample`). Trees cost a pass over the layout per level and
+    round, and forests of unlimited depth grow with its rows, so very large tables should set it.
+    Everything is scored all the same, from the input and without a shuffle.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -119,12 +128,12 @@ def training_frame(
     n_rows = sum(n for per_class in counts.values() for n in per_class.values())
     sampled = None
     if fit_rows is not None and n_rows > fit_rows:
-        bound = int(fit_rows / n_rows * HASHES)
-        sampled = F.pmod(F.xxhash64(F.lit("fit"), F.col("window_id")), F.lit(HASHES)) < bound
-        found, some = _fold_counts((df if folds is None else folds).where(sampled))
+        sampled = fit_sample(df if folds is None else folds, fit_rows)
         code = {label: i for i, label in enumerate(labels)}
-        counts = {f: {code[found[c]]: n for c, n in sizes.items()} for f, sizes in some.items()}
-        n_rows = sum(n for per_class in counts.values() for n in per_class.values())
+        counts = {}
+        for (fold, label), n in sampled.quotas.items():
+            counts.setdefault(fold, {})[code[label]] = n
+        n_rows = sum(sampled.quotas.values())
     values = F.col(input_col).cast("array<double>")
     if width is None:
         width = df.select(F.size(values).alias("n")).first()["n"]
@@ -134,7 +143,7 @@ def training_frame(
     even = F.when(F.size(values) == width, values).otherwise(ragged.cast("array<double>"))
     every = index_labels(df.select("window_id", "label", "fold", even.alias(input_col)), labels)
     laid_out = (
-        (every if sampled is None else every.where(sampled))
+        (every if sampled is None else sampled.take(every))
         .repartition(partitions, "window_id")
         .sortWithinPartitions("window_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -145,11 +154,46 @@ def training_frame(
         laid_out.unpersist()
 
 
-def _balanced(sizes: dict[int, int], n_classes: int) -> Column:
-    """``N / (C * n_class)`` by class code, over the classes present."""
-    total, present = sum(sizes.values()), len(sizes)
-    weights = [total / (present * sizes[c]) if sizes.get(c) else 0.0 for c in range(n_classes)]
-    return F.get(F.array(*[F.lit(w) for w in weights]), F.col("y").cast("int"))
+def fit_folds(
+    frame: TrainingFrame,
+    name: str,
+    folds: Sequence[int | None],
+    seed: int = SEED,
+    size: str = "full",
+    parallelism: int | None = None,
+    **overrides,
+) -> list[PipelineModel]:
+    """One model per entry of ``folds``, fitted on every row outside that fold, or on all rows for None.
+
+    Learners that can (``fit_many``) fit all of them in the same passes over features binned once; the others are
+    fitted one by one, small ones side by side.
+    """
+
+    def built(without: int | None) -> Pipeline:
+        sizes = frame.class_sizes(without)
+        context = FitContext(
+            labels=frame.labels,
+            n_rows=sum(sizes.values()),
+            n_features=frame.n_features,
+            seed=seed,
+            input_col=frame.input_col,
+            settings=settings_for(name, size, **overrides),
+        )
+        return get_model(name, context)
+
+    def fit(without: int | None) -> PipelineModel:
+        return built(without).fit(frame.rows if without is None else training(frame.rows, without))
+
+    vector, learner, output = built(None).getStages()
+    if hasattr(learner, "fit_many"):
+        n_rows = sum(frame.class_sizes().values())
+        found = learner.fit_many(frame.rows, frame.input_col, folds, n_rows, frame.edges(learner.bins))
+        return [PipelineModel([vector, model, output]) for model in found]
+    threads = min(frame.parallelism(parallelism), len(folds))
+    if threads > 1:
+        frame.rows.count()  # fill the cache once, before the fits race for it
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(frame.rows.sparkSession)(fit), folds)
 
 
 def fit_model(
@@ -162,23 +206,7 @@ def fit_model(
     **overrides,
 ) -> PipelineModel:
     """Fit on every row outside fold ``without``, or on all rows."""
-    sizes = frame.class_sizes(without)
-    rows = frame.rows if without is None else training(frame.rows, without)
-    weight_col = None
-    if name in WEIGHTED:
-        weight_col = "_weight"
-        rows = rows.withColumn(weight_col, _balanced(sizes, len(frame.labels)))
-    context = FitContext(
-        labels=frame.labels,
-        n_rows=sum(sizes.values()),
-        n_features=frame.n_features,
-        seed=seed,
-        input_col=frame.input_col,
-        weight_col=weight_col,
-        parallelism=frame.parallelism(parallelism),
-        settings=settings_for(name, size, **overrides),
-    )
-    return get_model(name, context).fit(rows)
+    return fit_folds(frame, name, [without], seed, size, parallelism, **overrides)[0]
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -194,17 +222,10 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    frame: TrainingFrame,
-    fit: Callable[[int], PipelineModel],
-    parallelism: int | None = None,
+    frame: TrainingFrame, name: str, seed: int = SEED, size: str = "full", parallelism: int | None = None, **overrides
 ) -> DataFrame:
-    """Score each fold with a model that never saw it; small fits run side by side."""
+    """Score each fold with a model that never saw it."""
     folds = sorted(frame.counts)
-    threads = min(frame.parallelism(parallelism), len(folds))
-    if threads > 1:
-        frame.rows.count()  # fill the cache once, before the fits race for it
-    with ThreadPool(threads) as pool:
-        work = inheritable_thread_target(frame.rows.sparkSession)(fit)
-        models = pool.map(work, folds)
+    models = fit_folds(frame, name, folds, seed, size, parallelism, **overrides)
     scored = [score(m, validation(frame.every, f)) for f, m in zip(folds, models)]
     return reduce(DataFrame.unionByName, scored)

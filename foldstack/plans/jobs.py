@@ -46,9 +46,10 @@ def ingest(
         if not contract.is_sound(landed):
             contract.validate(raw)
             raise contract.ContractError("the source changed while it was read")
-        tables.promote(spark, staged, base)
-    finally:
+    except BaseException:
         tables.discard(spark, staged)
+        raise
+    tables.promote(spark, staged, base)
     return label_distribution(tables.read_windows(spark, base))
 
 
@@ -56,12 +57,10 @@ def get_or_create_split(
     spark: SparkSession, base: str, seed: int = SEED, k: int = FOLDS
 ) -> Split | RankedSplit:
     """The stored split for (seed, k), made on first use and anew for another version of the table."""
-    version, what = tables.table_version(spark, base), tables.split_key(seed, k)
-    if tables.has_split(spark, base, seed, k) and tables.marked_version(spark, base, what) == version:
+    windows, version = tables.windows_and_version(spark, base)
+    if tables.marked_version(spark, base, tables.split_key(seed, k)) == version:
         return tables.load_split(spark, base, seed, k)
-    windows = tables.read_windows(spark, base)
-    tables.save_split(splits.fit_split(windows, seed, k), windows, base)
-    tables.mark_version(spark, base, what, version)
+    tables.save_split(splits.fit_split(windows, seed, k), windows, base, version)
     return tables.load_split(spark, base, seed, k)
 
 
@@ -89,21 +88,19 @@ def train(
     """Fit one or several models on a stratified 80 % and save them.
 
     ``fit_rows``, here and in the other jobs that fit, bounds the rows learned from, and
-    ``partitions`` is the number of pieces of the training layout, on which the trees' samples
-    depend; without it the table's size decides (see
-    :func:`foldstack.plans.fitting.training_frame`). Both parts are scored whole. Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
+    ``partitions`` is the number of pieces of the training layout; without it the table's size
+    decides (see :func:`foldstack.plans.fitting.training_frame`). Both parts are scored whole. Returns ``(model, part, accuracy, n)`` for both parts; all models share one laid-out table.
     """
     names = [name] if isinstance(name, str) else list(name)
     for n in names:
         check_name(n)
-    windows = tables.read_windows(spark, base)
+    windows, version = tables.windows_and_version(spark, base)
     held_out = splits.fit_holdout_split(windows, seed).assign(windows)
     reports = []
     with training_frame(held_out, partitions=partitions, fit_rows=fit_rows) as frame:
         for n in names:
             model = fit_model(frame, n, seed, without=0, size=size, **overrides)
-            tables.save_model(model, base, n)
-            tables.mark_version(spark, base, f"model/{n}", tables.table_version(spark, base))
+            tables.save_model(model, base, n, version)
             scored = model.transform(frame.every).select(
                 F.lit(n).alias("model"),
                 F.when(F.col("fold") == 0, "test").otherwise("train").alias("part"),
@@ -189,11 +186,7 @@ def evaluate(
         split = get_or_create_split(spark, base, seed, k)
         windows = split.assign(tables.read_windows(spark, base))
         with training_frame(windows, partitions=partitions, fit_rows=fit_rows) as frame:
-            pred = cross_validate(
-                frame,
-                lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
-                parallelism,
-            )
+            pred = cross_validate(frame, name, seed, size, parallelism, **overrides)
             _save_evaluation(pred, base, name, seed, k)
     saved = tables.load_metrics(spark, base, [name])
     run = saved.select(
@@ -231,18 +224,18 @@ def generate_oof(
     parallelism: int | None = None,
     fit_rows: int | None = None,
     partitions: int | None = None,
+    version: str | None = None,
     **overrides,
 ) -> DataFrame:
-    """Store out-of-fold probabilities of each model; all models share one laid-out table."""
+    """Store out-of-fold probabilities of each model; all models share one laid-out table.
+
+    ``version`` is that of the training table the windows were read from.
+    """
     for name in names:
         check_name(name)
     with training_frame(split.assign(windows), partitions=partitions, fit_rows=fit_rows) as frame:
         for name in names:
-            pred = cross_validate(
-                frame,
-                lambda fold: fit_model(frame, name, seed, fold, size, parallelism, **overrides),
-                parallelism,
-            )
+            pred = cross_validate(frame, name, seed, size, parallelism, **overrides)
             tables.save_oof(
                 pred.select(
                     "window_id",
@@ -252,12 +245,7 @@ def generate_oof(
                     F.lit(seed).cast("long").alias("seed"),
                 ),
                 base,
-            )
-            tables.mark_version(
-                windows.sparkSession,
-                base,
-                tables.oof_key(name, seed),
-                tables.table_version(windows.sparkSession, base),
+                version,
             )
     return tables.load_oof(windows.sparkSession, base, list(names), seed)
 
@@ -281,8 +269,8 @@ def oof(
     """
     names = [name] if isinstance(name, str) else list(name)
     split = get_or_create_split(spark, base, seed, k)
-    windows = tables.read_windows(spark, base)
-    generate_oof(windows, split, names, base, seed, size, parallelism, fit_rows, partitions, **overrides)
+    windows, version = tables.windows_and_version(spark, base)
+    generate_oof(windows, split, names, base, seed, size, parallelism, fit_rows, partitions, version, **overrides)
     folds = tables.load_folds(spark, base, seed, k)
     return stacking.coverage(folds, tables.load_oof(spark, base, names, seed), names)
 
@@ -310,11 +298,7 @@ def stack_train(
     partitions = partitions or layout_partitions(folds.count() * width * 8)
     labelled = stacking.labelled_stack(base_oof, folds, models, partitions)
     with training_frame(labelled, "stack", partitions, folds, width, fit_rows) as frame:
-        pred = cross_validate(
-            frame,
-            lambda fold: fit_model(frame, stacker, seed, fold, size, parallelism, **overrides),
-            parallelism,
-        )
+        pred = cross_validate(frame, stacker, seed, size, parallelism, **overrides)
         pred = pred.persist(StorageLevel.MEMORY_AND_DISK)  # scored once, read by both aggregates
         try:
             pooled = metrics.metric_bundle(pred).first()

@@ -13,45 +13,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from math import isqrt
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 
 from foldstack.operators.splits import SEED
-from foldstack.plans.stages import (
-    CONVOLVED,
-    FLAT,
-    MIXED,
-    BoostedClasses,
-    ClassOutput,
-    WindowVector,
-)
+from foldstack.plans.boosting import BoostedClasses, Boosting
+from foldstack.plans.forest import ForestClasses, Growing
+from foldstack.plans.stages import CONVOLVED, FLAT, MIXED, ClassOutput, WindowVector
 
 # Model names in stacking order and their full-size settings.
 BASE_MODELS = ("logreg", "rf", "xgb", "rwkv_ts", "cnn_transformer")
 STACKER = "stack"
 FULL = {
     "logreg": {"max_iter": 1000},
-    "rf": {"trees": 1000, "depth": 30, "leaf": 1},
-    "xgb": {"rounds": 500, "depth": 6, "step": 0.05, "rows": 0.8, "columns": "0.8", "bins": 256},
+    "rf": {"trees": 1000, "depth": None, "leaf": 1, "bins": 256},
+    "xgb": {"rounds": 500, "depth": 6, "step": 0.05, "rows": 0.8, "columns": 0.8, "bins": 256},
     "rwkv_ts": {"hidden": 128, "max_iter": 100},
     "cnn_transformer": {"hidden": 128, "max_iter": 100},
-    "stack": {"trees": 1000, "depth": 30, "leaf": 1},
+    "stack": {"trees": 1000, "depth": None, "leaf": 1, "bins": 256},
 }
 QUICK = {
     "logreg": {"max_iter": 50},
-    "rf": {"trees": 20, "depth": 6, "leaf": 1},
-    "xgb": {"rounds": 2, "depth": 2, "step": 0.3, "rows": 0.8, "columns": "0.8", "bins": 32},
+    "rf": {"trees": 20, "depth": 6, "leaf": 1, "bins": 64},
+    "xgb": {"rounds": 2, "depth": 2, "step": 0.3, "rows": 0.8, "columns": 0.8, "bins": 32},
     "rwkv_ts": {"hidden": 16, "max_iter": 20},
     "cnn_transformer": {"hidden": 16, "max_iter": 20},
-    "stack": {"trees": 20, "depth": 6, "leaf": 1},
+    "stack": {"trees": 20, "depth": 6, "leaf": 1, "bins": 64},
 }
-# Node statistics collected per pass over the rows; more memory means fewer passes.
-TREE_MEMORY_MB = 1024
 # Gradients of many partitions are combined in more steps before they reach the driver.
 DEEP_AGGREGATION_ROWS = 100_000_000
 SIZES = {"full": FULL, "quick": QUICK}
@@ -67,12 +57,10 @@ class FitContext:
     n_features: int
     seed: int = SEED
     input_col: str = "features"
-    weight_col: str | None = None
-    parallelism: int = 4
     settings: dict = field(default_factory=dict)
 
 
-def _wrap(context: FitContext, kind: str, classifier, extra: list[str] = ()) -> Pipeline:
+def _wrap(context: FitContext, kind: str, classifier) -> Pipeline:
     return Pipeline(
         stages=[
             WindowVector(
@@ -82,7 +70,7 @@ def _wrap(context: FitContext, kind: str, classifier, extra: list[str] = ()) ->
             ClassOutput(
                 labels=context.labels,
                 probabilityCol="_probability",
-                dropCols=[*SCRATCH, *extra],
+                dropCols=list(SCRATCH),
             ),
         ]
     )
@@ -115,40 +103,17 @@ def logreg(context: FitContext) -> Pipeline:
 
 
 def forest(context: FitContext) -> Pipeline:
-    """Random forest with balanced class weights."""
-    weights = {"weightCol": context.weight_col} if context.weight_col else {}
-    return _wrap(
-        context,
-        FLAT,
-        RandomForestClassifier(
-            numTrees=context.settings["trees"],
-            maxDepth=context.settings["depth"],
-            minInstancesPerNode=context.settings["leaf"],
-            featureSubsetStrategy="sqrt",
-            maxMemoryInMB=TREE_MEMORY_MB,
-            seed=context.seed,
-            **weights,
-            **_COLUMNS,
-        ),
-    )
+    """Random forest under a keyed bootstrap, classes balanced in each tree, over the root of the columns per node."""
+    s = context.settings
+    settings = Growing(s["trees"], max(1, isqrt(context.n_features)), s["depth"], s["leaf"], context.seed)
+    return _wrap(context, FLAT, ForestClasses(len(context.labels), s["bins"], settings))
 
 
 def boosted(context: FitContext) -> Pipeline:
-    """Gradient-boosted trees with row and column sampling."""
+    """Gradient-boosted trees over all classes with row and column sampling and an L2 penalty."""
     s = context.settings
-    booster = BoostedClasses(
-        len(context.labels),
-        context.parallelism,
-        maxIter=s["rounds"],
-        maxDepth=s["depth"],
-        stepSize=s["step"],
-        subsamplingRate=s["rows"],
-        featureSubsetStrategy=s["columns"],
-        maxBins=s["bins"],
-        maxMemoryInMB=TREE_MEMORY_MB,
-        seed=context.seed,
-    )
-    return _wrap(context, FLAT, booster, booster.columns())
+    settings = Boosting(s["rounds"], s["depth"], s["step"], s["rows"], s["columns"], seed=context.seed)
+    return _wrap(context, FLAT, BoostedClasses(len(context.labels), s["bins"], settings))
 
 
 def _perceptron(context: FitContext, kind: str, width: int) -> Pipeline:
@@ -184,7 +149,6 @@ REGISTRY: dict[str, Callable[[FitContext], Pipeline]] = {
     "cnn_transformer": convolved_sequence,
     "stack": forest,
 }
-WEIGHTED = ("rf", "stack")
 
 
 def list_models() -> list[str]:

@@ -6,11 +6,8 @@ and saves with the standard ML writers.
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier
+from pyspark import keyword_only
+from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -18,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstack.functions import sequence
-from foldstack.functions.arrays import argmax, normalise
+from foldstack.functions.arrays import argmax
 
 FLAT, MIXED, CONVOLVED = "flat", "mixed", "convolved"
 
@@ -88,59 +85,3 @@ class ClassOutput(Transformer, DefaultParamsReadable, DefaultParamsWritable):
             .withColumn("prediction", F.get(names, argmax(F.col("proba"))))
             .drop(*self.getOrDefault(self.dropCols))
         )
-
-
-class ClassShares(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """One-vs-rest probabilities scaled to sum to one; a single binary model is taken as it is."""
-
-    inputCols = Param(Params._dummy(), "inputCols", "binary vectors", TypeConverters.toListString)
-    outputCol = Param(Params._dummy(), "outputCol", "array column", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, inputCols=(), outputCol="_probability"):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        inputs = self.getOrDefault(self.inputCols)
-        output = self.getOrDefault(self.outputCol)
-        if len(inputs) == 1:
-            return dataset.withColumn(output, vector_to_array(F.col(inputs[0])))
-        positive = F.array(*[F.get(vector_to_array(F.col(c)), F.lit(1)) for c in inputs])
-        return dataset.withColumn(output, normalise(positive))
-
-
-class BoostedClasses(Estimator):
-    """Gradient-boosted trees: one model for two classes, else one per class against the rest.
-
-    Spark's boosted classifier is binary; the fitted result is a plain pipeline of the boosters
-    followed by :class:`ClassShares`.
-    """
-
-    def __init__(self, n_classes: int, parallelism: int, **settings):
-        super().__init__()
-        self.targets = [1] if n_classes == 2 else list(range(n_classes))
-        self.parallelism = parallelism
-        self.settings = settings
-
-    def columns(self) -> list[str]:
-        """Every column the boosters leave behind."""
-        return [f"_{x}{c}" for x in "prd" for c in self.targets]
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        def fit_class(c: int):
-            booster = GBTClassifier(
-                featuresCol="_vector",
-                labelCol="_is_class",
-                predictionCol=f"_d{c}",
-                **self.settings,
-            )
-            booster.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_r{c}")
-            target = (F.col("y") == F.lit(float(c))).cast("double")
-            return booster.fit(dataset.select("_vector", target.alias("_is_class")))
-
-        with ThreadPool(max(1, min(self.parallelism, len(self.targets)))) as pool:
-            work = inheritable_thread_target(dataset.sparkSession)(fit_class)
-            models = pool.map(work, self.targets)
-        shares = ClassShares(inputCols=[f"_p{c}" for c in self.targets], outputCol="_probability")
-        return PipelineModel([*models, shares])

@@ -1,7 +1,8 @@
 """Queries that fit models or fingerprint files.
 
-Each query builds what it reports under a base URI of its own. SQL checks everything about a
-result that does not depend on the fitted numbers: ids, folds, counts, widths, sums and ranges.
+Each query builds what it reports under a base URI of its own; every model runs at its default
+settings. SQL checks everything about a result that does not depend on the fitted numbers: ids,
+folds, counts, widths, sums and ranges.
 """
 
 from __future__ import annotations
@@ -22,21 +23,6 @@ from foldstack.sources import artifacts, scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Settings of the registered fits. Logistic regression and the sequence models run at their
-#: defaults. Spark grows trees one level at a time over all rows, so a thousand trees of depth 30,
-#: or five hundred rounds for each of ten classes, take minutes to an hour however small the table;
-#: trees and rounds are therefore named arguments here, at the depth of the defaults' order.
-TREES = {"trees": 100, "depth": 12}
-ROUNDS = {"rounds": 5, "depth": 4}
-SETTINGS: dict[str, dict[str, int]] = {
-    "logreg": {},
-    "rf": TREES,
-    "xgb": ROUNDS,
-    "rwkv_ts": {},
-    "cnn_transformer": {},
-    STACKER: TREES,
-}
-
 
 def _landed(spark: SparkSession, sf: str, windows: DataFrame | None = None) -> str:
     """A base URI of the query's own, holding the embeddings (or other windows) as training table."""
@@ -47,7 +33,7 @@ def _landed(spark: SparkSession, sf: str, windows: DataFrame | None = None) -> s
 
 def _with_oof(spark: SparkSession, base: str, names: Sequence[str]) -> DataFrame:
     """Out-of-fold rows of the models under ``base``; returns their coverage."""
-    reports = [jobs.oof(spark, base, n, **SETTINGS[n]) for n in names]
+    reports = [jobs.oof(spark, base, n) for n in names]
     return reduce(DataFrame.unionByName, reports)
 
 
@@ -55,12 +41,8 @@ def _with_stack(spark: SparkSession, base: str, models: Sequence[str]) -> None:
     """Base models, their out-of-fold rows and the stacker under ``base``."""
     _with_oof(spark, base, models)
     for name in models:
-        jobs.train(spark, base, name, **SETTINGS[name])
-    jobs.stack_train(spark, base, models=models, **SETTINGS[STACKER])
-
-
-#: Base models whose coverage and audit are reported: the SQL twins of the two queries name them. Stacks are of all.
-STACKED = ("logreg", "rf")
+        jobs.train(spark, base, name)
+    jobs.stack_train(spark, base, models=models)
 
 
 def _sound(proba: Column, width: int) -> Column:
@@ -103,7 +85,7 @@ def cross_validated_report(spark: SparkSession, sf: str) -> DataFrame:
     windows = tables.read_windows(spark, base)
     split = jobs.get_or_create_split(spark, base)
     with jobs.training_frame(split.assign(windows)) as frame:
-        pred = jobs.cross_validate(frame, lambda fold: jobs.fit_model(frame, "logreg", SEED, fold))
+        pred = jobs.cross_validate(frame, "logreg", SEED)
         path = scratch.scratch_uri(spark, "cells")
         metrics.confusion_counts(pred, ["fold"]).write.parquet(path)
     report = metrics.report_by_fold(spark.read.parquet(path), "macro")
@@ -121,15 +103,15 @@ def oof_fold_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def oof_stored_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage of the stored out-of-fold rows of several base models."""
+    """Coverage of the stored out-of-fold rows of all base models."""
     base = _landed(spark, sf)
-    _with_oof(spark, base, STACKED)
+    _with_oof(spark, base, BASE_MODELS)
     folds = tables.load_folds(spark, base, SEED, FOLDS)
-    return stacking.coverage(folds, tables.load_oof(spark, base, list(STACKED), SEED), STACKED)
+    return stacking.coverage(folds, tables.load_oof(spark, base, list(BASE_MODELS), SEED), BASE_MODELS)
 
 
 def train_model(spark: SparkSession, sf: str) -> DataFrame:
-    report = jobs.train(spark, _landed(spark, sf), "rf", **SETTINGS["rf"])
+    report = jobs.train(spark, _landed(spark, sf), "rf")
     return report.select("model", "part", "n", _unit("accuracy").alias("in_range"))
 
 
@@ -192,7 +174,7 @@ def split_renewed(spark: SparkSession, sf: str) -> DataFrame:
 def stack_train(spark: SparkSession, sf: str) -> DataFrame:
     base = _landed(spark, sf)
     _with_oof(spark, base, BASE_MODELS)
-    return _evaluation(jobs.stack_train(spark, base, models=BASE_MODELS, **SETTINGS[STACKER]))
+    return _evaluation(jobs.stack_train(spark, base, models=BASE_MODELS))
 
 
 def _predictions(result: DataFrame) -> DataFrame:
@@ -234,10 +216,10 @@ def predicted_totals(spark: SparkSession, sf: str) -> DataFrame:
 def audit_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every check over a base where all jobs ran; whether the stack is accepted depends on the fits."""
     base = _landed(spark, sf)
-    _with_stack(spark, base, STACKED)
-    for name in STACKED:
+    _with_stack(spark, base, BASE_MODELS)
+    for name in BASE_MODELS:
         jobs.evaluate(spark, base, name, from_oof=True)
-    found = checks.audit(spark, base, "all", models=STACKED)
+    found = checks.audit(spark, base, "all", models=BASE_MODELS)
     return found.select("section", "check", (F.col("status") != "fail").alias("passed"))
 
 

@@ -121,8 +121,8 @@ def _evaluated(model: str) -> str:
         n > 0 AS stamped, n > 0 AS in_range FROM (SELECT count(*) AS n FROM embeddings), (SELECT unnest(range({FOLDS})) AS f)"""
 
 
-# The checks of a full audit over the stacked models.
-_MODELS = ("logreg", "rf")
+# The checks of a full audit over the base models.
+_MODELS = ("logreg", "rf", "xgb", "rwkv_ts", "cnn_transformer")
 AUDITED = [
     *[("all", c) for c in ("manifest", "manifest files", "training schema")],
     ("base", "training table"),
@@ -401,7 +401,7 @@ ORACLE: dict[str, str] = {
                CAST(c AS INTEGER) AS c,
                {_value(f'sqrt(-2 * ln({_uniform(0)})) * cos(2 * pi() * {_uniform(1)})')} FROM ids""",
     "split_reuse": f"WITH {WINDOWS}, {_folds('windows')} SELECT window_id, label, fold FROM folded",
-    "oof_stored_coverage": """SELECT unnest(['logreg', 'rf']) AS model,
+    "oof_stored_coverage": f"""SELECT unnest({list(_MODELS)}) AS model,
         n AS n_rows, CAST(0 AS BIGINT) AS zero_rows, CAST(0 AS BIGINT) AS missing_rows,
         CAST(0 AS BIGINT) AS extra_rows, CAST(0 AS BIGINT) AS duplicate_rows
         FROM (SELECT count(*) AS n FROM embeddings)""",

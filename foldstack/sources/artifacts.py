@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldstack.functions.arrays import sha256, utc_stamp
+from foldstack.sources import snapshots
 from foldstack.sources.scratch import exists
 
 # The streaming reader travels with the job, so executors need not have this package installed.
@@ -95,7 +96,7 @@ def artifact_hashes(
 ) -> DataFrame:
     """``(rel_path, sha256, error)`` of each matching file below ``root``.
 
-    Left out are the root's own manifest folder and files named ``manifest.json``.
+    Left out are the root's own manifest folders and files named ``manifest.json``.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -104,7 +105,8 @@ def artifact_hashes(
     )
     top = _qualified(spark, root)
     below = F.expr(f"substring(path, {len(top) + 2})")
-    own = F.col("rel_path").startswith(f"{MANIFEST}/") | F.col("rel_path").rlike(r"(^|/)manifest\.json$")
+    folders = F.col("rel_path").rlike(f"^(snapshots/)?{MANIFEST}/")
+    own = folders | F.col("rel_path").rlike(r"(^|/)manifest\.json$")
     listed = reader.load(root).withColumn("rel_path", below).where(~own)
     small = listed.where(F.col("length") <= whole_bytes).select(
         "rel_path", sha256("content").alias("sha256"), F.lit(None).cast("string").alias("error")
@@ -137,16 +139,20 @@ def unreadable(entries: DataFrame) -> DataFrame:
 
 
 def write_manifest(header: DataFrame, entries: DataFrame, root: str) -> None:
-    header.write.mode("overwrite").json(f"{root}/{MANIFEST}/header")
-    entries.select("rel_path", "sha256").write.mode("overwrite").json(f"{root}/{MANIFEST}/artifacts")
+    def write(folder: str) -> None:
+        header.write.json(f"{folder}/header")
+        entries.select("rel_path", "sha256").write.json(f"{folder}/artifacts")
+
+    snapshots.publish(header.sparkSession, root, MANIFEST, write)
 
 
 def read_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
-    if not exists(spark, f"{root}/{MANIFEST}"):
+    found = snapshots.current(spark, root, MANIFEST)
+    if found is None:
         return None
     return (
-        spark.read.schema(HEADER_SCHEMA).json(f"{root}/{MANIFEST}/header"),
-        spark.read.schema(ENTRY_SCHEMA).json(f"{root}/{MANIFEST}/artifacts"),
+        spark.read.schema(HEADER_SCHEMA).json(f"{found.path}/header"),
+        spark.read.schema(ENTRY_SCHEMA).json(f"{found.path}/artifacts"),
     )
 
 

@@ -1,23 +1,25 @@
 """Readers and writers for every table the jobs exchange.
 
-All tables live under one base URI::
-
-    processed/train              windows (parquet)
-    splits/bounds                split boundaries, partitioned by seed and k
-    splits/folds                 fold of each window, partitioned by seed and k
-    oof                          out-of-fold probabilities, partitioned by model and seed
-    models/<name>/model          fitted pipeline
-    models/<name>/metrics        metrics record (JSON)
+All tables live under one base URI. Those that are replaced as a whole are snapshots behind a pointer (see
+:mod:`foldstack.sources.snapshots`), under these names::
+
+    train                        windows (parquet)
+    split/seed=<s>/k=<k>         fold of each window, and the split's boundaries (parquet)
+    oof/model=<m>/seed=<s>       out-of-fold probabilities (parquet)
+    model/<name>                 fitted pipeline
+    metrics/<name>               metrics record (JSON)
+    manifest                     artifact hashes and header
+
+and beside them::
+
     models/<name>/confusion      confusion matrix (CSV)
     confusion                    confusion matrix of the last evaluated model (CSV)
     runs                         one row per evaluation
-    manifest                     artifact hashes and header
-    versions/<what>              version of the training table that a stored table was made from
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from foldstack.operators.contract import WINDOW_SCHEMA
 from foldstack.operators.splits import RankedSplit, Split
+from foldstack.sources import snapshots
 from foldstack.sources.scratch import exists
 
 FORMATS = ("csv", "parquet", "json")
@@ -76,16 +79,27 @@ RUNS_SCHEMA = T.StructType(
 )
 
 
-def train_path(base: str) -> str:
-    return f"{base}/processed/train"
+TRAIN = "train"
+
+
+def split_key(seed: int, k: int) -> str:
+    return f"split/seed={seed}/k={k}"
+
+
+def oof_key(model: str, seed: int) -> str:
+    return f"oof/model={model}/seed={seed}"
 
 
-def model_path(base: str, name: str) -> str:
-    return f"{base}/models/{name}/model"
+def model_key(name: str) -> str:
+    return f"model/{name}"
 
 
-def metrics_path(base: str, name: str) -> str:
-    return f"{base}/models/{name}/metrics"
+def metrics_key(name: str) -> str:
+    return f"metrics/{name}"
+
+
+def has(spark: SparkSession, base: str, what: str) -> bool:
+    return snapshots.current(spark, base, what) is not None
 
 
 def read_dataset(
@@ -113,74 +127,49 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def windows_and_version(spark: SparkSession, base: str) -> tuple[DataFrame, str]:
+    """The training table and its version, of one and the same snapshot."""
+    found = snapshots.current(spark, base, TRAIN)
+    if found is None:
+        raise FileNotFoundError(f"no training table under {base}: run ingest first")
+    return spark.read.schema(WINDOW_SCHEMA).parquet(found.path), found.version
+
+
 def read_windows(spark: SparkSession, base: str) -> DataFrame:
-    path = train_path(base)
-    if not exists(spark, path):
-        raise FileNotFoundError(f"no training table at {path}: run ingest first")
-    return spark.read.schema(WINDOW_SCHEMA).parquet(path)
+    return windows_and_version(spark, base)[0]
 
 
 def write_windows(df: DataFrame, base: str) -> None:
-    df.write.mode("overwrite").parquet(train_path(base))
-    stamp_table(df.sparkSession, base)
+    staged = staging_path(base)
+    df.write.parquet(staged)
+    promote(df.sparkSession, staged, base)
 
 
 def staging_path(base: str) -> str:
-    return f"{base}/processed/_staged-{uuid.uuid4().hex}"
+    return snapshots.new_folder(base, TRAIN)
 
 
 def promote(spark: SparkSession, staged: str, base: str) -> None:
-    """Make a staged table the training table."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    source, target = jvm.Path(staged), jvm.Path(train_path(base))
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(target, True)
-    if not system.rename(source, target):
-        raise OSError(f"cannot move {staged} to {train_path(base)}")
-    stamp_table(spark, base)
+    """Make a staged table the training table; table and version change together."""
+    mark = F.sum(F.xxhash64("window_id", "label").cast("decimal(38,0)")).cast("string")
+    narrow = spark.read.schema(WINDOW_SCHEMA).parquet(staged).select("window_id", "label")
+    # Its version: the rows and an order-free sum over id and label.
+    row = narrow.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), mark).alias("version")).first()
+    snapshots.point(spark, base, TRAIN, staged, row["version"])
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _version_path(base: str, what: str) -> str:
-    return f"{base}/versions/{what}"
-
-
-def mark_version(spark: SparkSession, base: str, what: str, version: str) -> None:
-    """Note which version of the training table ``what`` was made from."""
-    row = spark.range(1).select(F.lit(version).alias("version"))
-    row.coalesce(1).write.mode("overwrite").json(_version_path(base, what))
+    snapshots.remove(spark, path)
 
 
 def marked_version(spark: SparkSession, base: str, what: str) -> str | None:
-    path = _version_path(base, what)
-    if not exists(spark, path):
-        return None
-    return spark.read.schema("version string").json(path).first()["version"]
-
-
-def stamp_table(spark: SparkSession, base: str) -> str:
-    """Note and return the landed table's version: its rows and an order-free sum over id and label."""
-    mark = F.sum(F.xxhash64("window_id", "label").cast("decimal(38,0)")).cast("string")
-    narrow = read_windows(spark, base).select("window_id", "label")
-    row = narrow.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), mark).alias("version")).first()
-    mark_version(spark, base, "train", row["version"])
-    return row["version"]
+    """Which version of the training table ``what`` was made from."""
+    found = snapshots.current(spark, base, what)
+    return None if found is None else found.version
 
 
 def table_version(spark: SparkSession, base: str) -> str:
-    return marked_version(spark, base, "train") or stamp_table(spark, base)
-
-
-def split_key(seed: int, k: int) -> str:
-    return f"split/seed={seed}/k={k}"
-
-
-def oof_key(model: str, seed: int) -> str:
-    return f"oof/model={model}/seed={seed}"
+    return windows_and_version(spark, base)[1]
 
 
 def require_version(spark: SparkSession, base: str, what: str) -> None:
@@ -197,80 +186,87 @@ class StaleTable(ValueError):
     """A stored table was made from another version of the training table."""
 
 
-def _write_partition(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
-
-
-def save_split(split: Split | RankedSplit, windows: DataFrame, base: str) -> None:
+def save_split(split: Split | RankedSplit, windows: DataFrame, base: str, version: str | None = None) -> None:
     """Persist the fold of every window, for joins by id, and the boundaries of a split that has some."""
     spark = windows.sparkSession
-    tags = [F.lit(split.seed).cast("long").alias("seed"), F.lit(split.parts).alias("k")]
-    folds = split.assign(windows.select("window_id", "label"))
-    _write_partition(folds.select("*", *tags), f"{base}/splits/folds", ("seed", "k"))
-    if isinstance(split, Split):
-        _write_partition(
-            split.table(spark).coalesce(1).select("*", *tags), f"{base}/splits/bounds", ("seed", "k")
-        )
-    else:
-        discard(spark, f"{base}/splits/bounds/seed={split.seed}/k={split.parts}")
+
+    def write(folder: str) -> None:
+        split.assign(windows.select("window_id", "label")).write.parquet(f"{folder}/folds")
+        if isinstance(split, Split):
+            split.table(spark).coalesce(1).write.parquet(f"{folder}/bounds")
+
+    snapshots.publish(spark, base, split_key(split.seed, split.parts), write, version)
 
 
 def has_split(spark: SparkSession, base: str, seed: int, k: int) -> bool:
-    return exists(spark, f"{base}/splits/folds/seed={seed}/k={k}")
+    return has(spark, base, split_key(seed, k))
+
+
+def _split_folder(spark: SparkSession, base: str, seed: int, k: int) -> str:
+    found = snapshots.current(spark, base, split_key(seed, k))
+    if found is None:
+        raise FileNotFoundError(f"no folds for seed={seed} k={k} under {base}")
+    return found.path
 
 
 def load_split(spark: SparkSession, base: str, seed: int, k: int) -> Split | RankedSplit:
     """Boundaries of a stored split, one row per class, or its folds where it has no boundaries."""
-    path = f"{base}/splits/bounds"
-    if not has_split(spark, base, seed, k):
-        raise FileNotFoundError(f"no split for seed={seed} k={k} under {path}")
-    if not exists(spark, f"{path}/seed={seed}/k={k}"):
-        return RankedSplit(seed, k, load_folds(spark, base, seed, k))
-    rows = spark.read.parquet(path).where((F.col("seed") == seed) & (F.col("k") == k)).collect()
+    folder = _split_folder(spark, base, seed, k)
+    if not exists(spark, f"{folder}/bounds"):
+        return RankedSplit(seed, k, _folds_in(spark, folder))
+    rows = spark.read.parquet(f"{folder}/bounds").collect()
     return Split(seed, k, {r["label"]: list(r["bounds"]) for r in sorted(rows, key=lambda r: r["label"])})
 
 
+def _folds_in(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/folds").select("window_id", "label", "fold")
+
+
 def load_folds(spark: SparkSession, base: str, seed: int, k: int) -> DataFrame:
-    if not exists(spark, f"{base}/splits/folds/seed={seed}/k={k}"):
-        raise FileNotFoundError(f"no folds for seed={seed} k={k} under {base}/splits/folds")
-    return (
-        spark.read.parquet(f"{base}/splits/folds")
-        .where((F.col("seed") == seed) & (F.col("k") == k))
-        .select("window_id", "label", "fold")
-    )
+    return _folds_in(spark, _split_folder(spark, base, seed, k))
+
+
+def save_oof(oof: DataFrame, base: str, version: str | None = None) -> None:
+    """Write out-of-fold rows; only the (model, seed) pairs present are replaced, each at once."""
+    spark, folder = oof.sparkSession, snapshots.new_folder(base, "oof")
+    oof.select(*OOF_SCHEMA.fieldNames()).write.partitionBy("model", "seed").parquet(folder)
+    written = spark.read.schema(OOF_SCHEMA).parquet(folder)
+    for r in written.select("model", "seed").distinct().collect():  # one row per model and seed
+        part = f"{folder}/model={escaped(r['model'])}/seed={r['seed']}"
+        snapshots.point(spark, base, oof_key(r["model"], r["seed"]), part, version)
 
 
-def save_oof(oof: DataFrame, base: str) -> None:
-    """Write out-of-fold rows; only the (model, seed) partitions present are replaced."""
-    _write_partition(oof.select(*OOF_SCHEMA.fieldNames()), f"{base}/oof", ("model", "seed"))
+def escaped(value: str) -> str:
+    """A model's name as a partition folder is called."""
+    return "".join(c if c.isalnum() or c in "_-. ,@" else f"%{ord(c):02X}" for c in value)
 
 
 def has_oof(spark: SparkSession, base: str, model: str, seed: int) -> bool:
-    return exists(spark, f"{base}/oof/model={model}/seed={seed}")
+    return has(spark, base, oof_key(model, seed))
 
 
 def load_oof(spark: SparkSession, base: str, models: list[str], seed: int) -> DataFrame:
+    """Rows of these models; of others nothing is read."""
+    parts, inner = [], T.StructType([f for f in OOF_SCHEMA if f.name not in ("model", "seed")])
     for model in models:
-        if not has_oof(spark, base, model, seed):
-            raise FileNotFoundError(f"no out-of-fold rows for model={model} seed={seed} under {base}/oof")
-    table = spark.read.schema(OOF_SCHEMA).parquet(f"{base}/oof")
-    return table.where(F.col("model").isin(models) & (F.col("seed") == seed))
+        found = snapshots.current(spark, base, oof_key(model, seed))
+        if found is None:
+            raise FileNotFoundError(f"no out-of-fold rows for model={model} seed={seed} under {base}")
+        rows = spark.read.schema(inner).parquet(found.path)
+        parts.append(rows.withColumn("model", F.lit(model)).withColumn("seed", F.lit(seed).cast("long")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def save_model(model: PipelineModel, base: str, name: str) -> None:
-    model.write().overwrite().save(model_path(base, name))
+def save_model(model: PipelineModel, base: str, name: str, version: str | None = None) -> None:
+    spark = SparkSession.active()
+    snapshots.publish(spark, base, model_key(name), lambda folder: model.write().save(folder), version)
 
 
 def load_model(spark: SparkSession, base: str, name: str) -> PipelineModel:
-    path = model_path(base, name)
-    if not exists(spark, path):
-        raise FileNotFoundError(f"no model at {path}: run train for {name} first")
-    return PipelineModel.load(path)
+    found = snapshots.current(spark, base, model_key(name))
+    if found is None:
+        raise FileNotFoundError(f"no model {name} under {base}: run train for {name} first")
+    return PipelineModel.load(found.path)
 
 
 def save_metrics(record: DataFrame, base: str, name: str) -> None:
@@ -279,15 +275,17 @@ def save_metrics(record: DataFrame, base: str, name: str) -> None:
         (F.col(f.name) if f.name in record.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in METRICS_SCHEMA
     ]
-    record.select(*filled).coalesce(1).write.mode("overwrite").json(metrics_path(base, name))
+    row = record.select(*filled).coalesce(1)
+    snapshots.publish(record.sparkSession, base, metrics_key(name), lambda folder: row.write.json(folder))
 
 
 def load_metrics(spark: SparkSession, base: str, names: list[str]) -> DataFrame:
     """Metrics records of those models that have one."""
-    found = [metrics_path(base, n) for n in names if exists(spark, metrics_path(base, n))]
-    if not found:
+    found = [snapshots.current(spark, base, metrics_key(n)) for n in names]
+    paths = [f.path for f in found if f is not None]
+    if not paths:
         return spark.createDataFrame([], METRICS_SCHEMA)
-    return spark.read.schema(METRICS_SCHEMA).json(found)
+    return spark.read.schema(METRICS_SCHEMA).json(paths)
 
 
 def save_confusion(matrix: DataFrame, base: str, name: str) -> None:

@@ -143,3 +143,21 @@ def test_ranks_and_finer_buckets_give_the_same_split(spark, monkeypatch):
         assert {tuple(r) for r in ranked.assign(rows).select("window_id", "fold").collect()} == fitted
     with pytest.raises(splits.TooManyBounds):
         splits.fit_folds(rows, 3, 4)
+
+
+def test_sample_keeps_every_class_and_its_share(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("w"), "id").alias("window_id"),
+        F.when(F.col("id") < 10, "rare").when(F.col("id") == 10, "single").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("label"),
+    )
+    folded = splits.assign_folds(rows)
+    sample = splits.fit_sample(folded, 200)
+    taken = sample.take(folded.repartition(5))
+    found = {(r["fold"], r["label"]): r["n"] for r in taken.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    assert found == sample.quotas and taken.columns == folded.columns
+    size = {(r["fold"], r["label"]): r["n"] for r in folded.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    assert sum(n for (_, c), n in found.items() if c == "rare") == 10 and sum(n for (_, c), n in found.items() if c == "single") == 1
+    for key, n in size.items():
+        assert found[key] == max(min(n, splits.SAMPLE_FLOOR), found[key]) and abs(found[key] - n * 200 / 4000) < 1 or n <= splits.SAMPLE_FLOOR
+    again = sorted(r["window_id"] for r in splits.fit_sample(folded, 200).take(folded).collect())
+    assert again == sorted(r["window_id"] for r in taken.collect())
