@@ -11,6 +11,7 @@ residuals only.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -39,6 +40,25 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 _BYTES = {b: 290 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 323}
 
 
+#: Normaliser and splitting rule of the vocabularies whose words can be coded one by one.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds; ``None`` is no limit of its own. Weights are those of the score."""
@@ -53,8 +73,14 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], dtype=np.int64)
 
 
+#: Production packing: the token limit binds, documents and attention cost weigh in the choice.
+PRODUCTION = Capacity(weights=(1.0, 0.3, 0.5))
+
+
 class Encoder:
-    """Ids of texts, found once per distinct word: the vocabulary never joins over white space.
+    """Ids of texts, found once per distinct word where the vocabulary never joins over white space.
+
+    That is so for the normaliser and splitting rule above; with any other, whole texts go through the tokenizer.
 
     Arrow splits and numbers the words of a batch. A plain word is cut by the vocabulary's own rule (``_PIECE``, after
     lower-casing) and its pieces go straight to the merge model; any other word goes through the whole tokenizer.
@@ -64,6 +90,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _SPLIT
         self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -90,6 +118,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin and end."""
+        if not self.by_words:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            bounds = np.cumsum([0, *map(len, found)])
+            return np.fromiter((i for ids in found for i in ids), "<u4", int(bounds[-1])), bounds
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         known = self._words(coded.dictionary.to_pylist())
@@ -218,5 +250,9 @@ def pack(rows: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP) -
 
 
 def report(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """A missing text is empty and holds its end id alone."""
-    return pack(pieces(docs, vocabulary))
+    """Pieces of all documents with their places, under the production capacities.
+
+    A missing text is empty and holds its end id alone; a very long one is cut into pieces; a missing id is an id of
+    its own; repeated rows are packed one by one; an empty table gives none, and other columns do not matter.
+    """
+    return pack(pieces(docs, vocabulary), PRODUCTION)

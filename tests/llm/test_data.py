@@ -114,6 +114,35 @@ def test_quality_reads_the_end_of_long_texts():
     assert 0 <= quality.score_text(model, "") <= 1
 
 
+def brute_score(model, text):
+    """The network by plain loops over chunks, filters and bytes."""
+    data = text.encode()
+    count = max(1, -(-max(len(data) - quality.WIDTH, 0) // quality.STRIDE) + 1)
+    count = -(-count // quality.POOL) * quality.POOL
+    byte = lambda i: data[i] + 1 if i < len(data) else 0
+    pooled = []
+    for first in range(0, count, quality.POOL):
+        best = [-float("inf")] * quality.FILTERS
+        for chunk in range(first, first + quality.POOL):
+            embedded = np.concatenate([model["embed"][byte(chunk * quality.STRIDE + k)] for k in range(quality.WIDTH)]).astype(float)
+            for f in range(quality.FILTERS):
+                best[f] = max(best[f], float(embedded @ model["filters"][:, f].astype(float)))
+        pooled.append([max(0.0, b + float(bias)) for b, bias in zip(best, model["bias"])])
+    features = [sum(c) / len(pooled) for c in zip(*pooled)] + [max(c) for c in zip(*pooled)]
+    z = sum(a * float(b) for a, b in zip(features, model["out"])) + float(model["out_bias"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_score_against_brute_force():
+    model = quality._start(np.random.default_rng(4))
+    model["bias"] += 0.1
+    edge_of = quality.POOL * quality.STRIDE
+    sizes = [0, 1, quality.WIDTH - 1, quality.WIDTH, quality.WIDTH + 1, edge_of - 1, edge_of, edge_of + quality.WIDTH, 3 * edge_of + 5]
+    rng = random.Random(1)
+    for text in ["é日本" * 30, *("".join(rng.choice("abc \n.") for _ in range(n)) for n in sizes)]:
+        assert quality.score_text(model, text) == pytest.approx(brute_score(model, text), abs=1e-4)
+
+
 def test_quality_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     model = {k: v.astype(np.float64) for k, v in quality._start(rng).items()}
@@ -307,6 +336,23 @@ def test_encoder_equals_the_tokenizer():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_takes_other_vocabularies_whole():
+    encoder = packing.Encoder(queries.vocabulary("byte_bpe_50k.json"))
+    texts = ["", " two  blanks", "I'll DON'T", "new\n\nline 日本 é", "x" * 300]
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert not encoder.by_words and packing.Encoder(_vocabulary()).by_words
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_production_weights_act():
+    assert all(w > 0 for w in packing.PRODUCTION.weights)
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 2500, 600)
+    alone, acting = packing.best_fit(lengths, packing.Capacity()), packing.best_fit(lengths, packing.PRODUCTION)
+    assert (alone[0] != acting[0]).any()
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     rng = np.random.default_rng(3)
