@@ -257,17 +257,20 @@ def alike(one: np.ndarray, other: np.ndarray, share: float = SHARE) -> bool:
     return both / (least + most - both) >= share
 
 
-def alike_links(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, bits: int, share: float = SHARE) -> list[tuple[int, int]]:
-    """Index pairs that join all texts linked within ``bits`` places and alike; both sides of a pair meet once.
+def alike_links(
+    fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, label: np.ndarray, bits: int, share: float = SHARE
+) -> list[tuple[int, int]]:
+    """Index pairs that join all texts linked within ``bits`` places and alike.
 
-    With two sides only pairs across them count. Texts that links join already are not compared again.
+    Texts of one ``label`` are joined already; labels grow together in place, and joined texts are not compared. With
+    two sides only pairs across them count.
     """
-    label, out, across = np.arange(len(fps)), [], len(np.unique(sides)) > 1
+    out, across = [], len(np.unique(sides)) > 1
     for i in range(len(fps) - 1):
-        near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits
+        near = (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits) & (label[i + 1 :] != label[i])
         if across:
             near &= sides[i + 1 :] != sides[i]
-        for j in np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1:
+        for j in np.flatnonzero(near) + i + 1:
             if label[j] != label[i] and alike(sets[i], sets[j], share):
                 label[label == label[j]] = label[i]
                 out.append((i, int(j)))
@@ -277,8 +280,10 @@ def alike_links(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, bits
 def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
     """``(src, dst)``: marks of texts in ``members (root, n, mark, fp, text)`` whose likeness is confirmed.
 
-    A group of candidates is cut into parts of about ``BLOCK`` texts by a hash; every two parts are compared in a task
-    of their own, so a task holds two parts' shingles, eight bytes a word, whatever the size of the group.
+    A group of candidates is cut into parts of about ``BLOCK`` texts by a hash. Each part is joined first; then every
+    two parts are compared in a task of their own, which starts from what they joined and links only what is apart.
+    So a task holds two parts' shingles, eight bytes a word, whatever the size of the group, and a cluster of near
+    copies gives one link for two parts.
     """
 
     def cut(batches):
@@ -286,10 +291,20 @@ def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> Dat
             sets = pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.record_batch([*(batch.column(n) for n in names), sets], names=[*names, "sets"])
 
-    def compare(key, table):
-        fps = table.column("fp").to_numpy().view(np.uint64)
+    def read(table):
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("sets")]
-        found = alike_links(fps, sets, table.column("part").to_numpy(), bits, share)
+        return table.column("fp").to_numpy().view(np.uint64), sets
+
+    def within(key, table):
+        fps, sets = read(table)
+        label = np.arange(len(fps))
+        alike_links(fps, sets, np.zeros(len(fps)), label, bits, share)
+        return table.append_column("head", table.column("mark").take(pa.array(label)))
+
+    def compare(key, table):
+        fps, sets = read(table)
+        label = np.unique(table.column("head").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        found = alike_links(fps, sets, table.column("part").to_numpy(), label, bits, share)
         marks = table.column("mark")
         one, other = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
         return pa.table([marks.take(one), marks.take(other)], names=["src", "dst"])
@@ -297,11 +312,14 @@ def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> Dat
     names = ["root", "mark", "fp", "part", "parts"]
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = members.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("mark"), "parts"))
-    rows = rows.select(*names, "text").mapInArrow(released(cut), "root long, mark binary, fp long, part int, parts int, sets binary")
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    schema = "root long, mark binary, fp long, part int, parts int, sets binary"
+    rows = rows.select(*names, "text").mapInArrow(released(cut), schema)
+    joined = store(rows.groupBy("root", "part").applyInArrow(within, schema + ", head binary"), "near-joined")
+    met = joined.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
     low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    met = met.select("root", low, high, "mark", "fp", "part", "sets")
-    return met.groupBy("root", "low", "high").applyInArrow(compare, "src binary, dst binary")
+    met = met.select("root", low, high, "mark", "fp", "part", "sets", "head")
+    across = met.groupBy("root", "low", "high").applyInArrow(compare, "src binary, dst binary")
+    return across.unionByName(joined.filter("mark <> head").select(F.col("mark").alias("src"), F.col("head").alias("dst")))
 
 
 def keep_first_alike(
