@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from foldstack.functions.arrays import argmax, utc_stamp
 from foldstack.operators import contract, metrics, splits, stacking
-from foldstack.operators.classes import class_list, label_distribution
+from foldstack.operators.classes import class_list, index_labels, label_distribution
 from foldstack.operators.splits import FOLDS, SEED, RankedSplit, Split
 from foldstack.plans.fitting import cross_validate, fit_model, layout_partitions, training_frame
+from foldstack.plans.forest import ForestTrees
 from foldstack.plans.models import BASE_MODELS, STACKER, check_name
 from foldstack.sources import artifacts, tables
 from foldstack.sources.synthetic import synthetic_windows
@@ -113,6 +114,28 @@ def train(
     return spark.createDataFrame(result)
 
 
+def out_of_bag(spark: SparkSession, base: str, name: str = "rf", seed: int = SEED) -> DataFrame:
+    """``(window_id, label, prediction, trees, proba)`` of the rows that :func:`train` fitted a forest on.
+
+    Each row is voted on by the trees that did not draw it, in one pass without a shuffle; a row that
+    every tree drew has zero trees and no prediction. Of a forest fitted with ``fit_rows`` the rows
+    it never saw are voted on by all trees that would not have drawn them.
+    """
+    check_name(name)
+    tables.require_version(spark, base, tables.model_key(name))
+    model = tables.load_model(spark, base, name)
+    learner, labels = model.stages[1], model.stages[-1].getOrDefault("labels")
+    if not isinstance(learner, ForestTrees):
+        raise ValueError(f"{name} is no forest: only forests have rows out of their bags")
+    windows = tables.read_windows(spark, base)
+    learned = splits.fit_holdout_split(windows, seed).assign(windows).where("fold = 1")
+    voted = learner.out_of_bag(index_labels(learned, labels))
+    names = F.array(*[F.lit(x) for x in labels])
+    return voted.select(
+        "window_id", F.get(names, F.col("y")).alias("label"), F.get(names, argmax(F.col("proba"))).alias("prediction"), "trees", "proba"
+    )
+
+
 def _cross_validated(cells: DataFrame, average: str, name: str, seed: int, k: int) -> DataFrame:
     """Metrics record of a cross-validation: fold means, each fold counting once, and details."""
     names = ("accuracy", "precision", "recall", "f1")

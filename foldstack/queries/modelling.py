@@ -45,10 +45,10 @@ def _with_stack(spark: SparkSession, base: str, models: Sequence[str]) -> None:
     jobs.stack_train(spark, base, models=models)
 
 
-def _sound(proba: Column, width: int) -> Column:
+def _sound(proba: Column, width: int, within: float = 1e-9) -> Column:
     """A probability row: so many values, none negative, summing to one."""
     total = F.aggregate(proba, F.lit(0.0), lambda a, v: a + v)
-    return (F.size(proba) == width) & (F.abs(total - 1) < 1e-9) & ~F.exists(proba, lambda v: v < 0)
+    return (F.size(proba) == width) & (F.abs(total - 1) < within) & ~F.exists(proba, lambda v: v < 0)
 
 
 def _oof(name: str) -> Query:
@@ -115,6 +115,20 @@ def train_model(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("model", "part", "n", _unit("accuracy").alias("in_range"))
 
 
+def forest_out_of_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows a forest learned from, those that some tree did not draw, and sound votes among them."""
+    base = _landed(spark, sf)
+    jobs.train(spark, base, "rf")
+    rows = jobs.out_of_bag(spark, base, "rf")
+    known = F.col("label").isin(fx.CLASSES) & F.col("prediction").isin(fx.CLASSES)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("window_id").alias("n_windows"),
+        F.count_if(F.col("trees") > 0).alias("n_voted"),
+        F.count_if(known & _sound(F.col("proba"), fx.N_CLASSES, 1e-6)).alias("n_sound"),
+    )
+
+
 def train_large(spark: SparkSession, sf: str) -> DataFrame:
     """Logistic regression at its defaults on 80 % of the line items."""
     report = jobs.train(spark, _landed(spark, sf, fx.large_windows(spark, sf)), "logreg")
@@ -284,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "split_reuse": split_reuse,
     "split_renewed": split_renewed,
     "train_model": train_model,
+    "forest_out_of_bag": forest_out_of_bag,
     "train_large": train_large,
     "evaluate_model": evaluate_model,
     "evaluate_stored": evaluate_stored,

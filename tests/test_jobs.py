@@ -277,6 +277,14 @@ def test_predictions_are_narrow_and_complete(spark, base, windows, name, tmp_pat
         assert r["prediction"] == LABELS[probs.index(max(probs))]
 
 
+def test_out_of_bag_votes_of_a_stored_forest(spark, base):
+    rows = jobs.out_of_bag(spark, base, "rf").collect()
+    assert len(rows) == 96 and all((r["proba"] is None) == (r["trees"] == 0) == (r["prediction"] is None) for r in rows)
+    assert sum(r["prediction"] == r["label"] for r in rows) > 70
+    with pytest.raises(ValueError, match="no forest"):
+        jobs.out_of_bag(spark, base, "logreg")
+
+
 def test_scoring_accepts_the_wide_form_without_ids(spark, base, windows):
     wide = windows.select(*[F.col("features")[i].alias(f"x{i}") for i in range(12)])
     pred = jobs.predict(spark, base, "logreg", wide)
