@@ -270,6 +270,22 @@ def manifest_verify(spark: SparkSession, sf: str) -> DataFrame:
     return artifacts.verify_manifest(spark, root).groupBy("ok").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def manifest_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest tree of a file per label, one file written anew: whole files by ranges, and which have changed."""
+    root, size = _files_by_label(spark, sf), 4096
+    header, entries = artifacts.create_manifest(spark, root)
+    artifacts.write_manifest(header, entries, root, artifacts.range_digests(spark, root, range_bytes=size))
+    other = fx.large_windows(spark, sf).where("label = 'R'").select("window_id").coalesce(1)
+    other.write.mode("overwrite").parquet(f"{root}/windows/label=R")
+    checked = artifacts.verify_ranges(spark, root, size)
+    label = F.regexp_extract("rel_path", "label=(.)", 1).alias("label")
+    return checked.groupBy(label).agg(
+        (F.count(F.lit(1)) > 1).alias("several"),
+        (F.max(F.col("start") + F.col("length")) == F.sum("length")).alias("gapless"),
+        (~F.every("ok")).alias("changed"),
+    )
+
+
 def verify_one_file(spark: SparkSession, sf: str) -> DataFrame:
     """Each file against its own hash and against another one."""
     root = _files_by_label(spark, sf)
@@ -311,5 +327,6 @@ QUERIES: dict[str, Query] = {
     "audit_all": audit_all,
     "artifact_manifest": artifact_manifest,
     "manifest_verify": manifest_verify,
+    "manifest_ranges": manifest_ranges,
     "verify_one_file": verify_one_file,
 }

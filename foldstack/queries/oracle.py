@@ -436,6 +436,8 @@ ORACLE: dict[str, str] = {
     "artifact_manifest": """SELECT unnest(['whole', 'streamed']) AS way, n AS n_files, n AS n_paths, n AS n_hashes,
         CAST(0 AS BIGINT) AS n_errors FROM (SELECT count(DISTINCT l_returnflag) AS n FROM lineitem)""",
     "manifest_verify": """SELECT l_returnflag <> 'R' AS ok, count(DISTINCT l_returnflag) AS n_files FROM lineitem GROUP BY 1""",
+    "manifest_ranges": """SELECT DISTINCT l_returnflag AS label, true AS several, true AS gapless,
+        l_returnflag = 'R' AS changed FROM lineitem""",
     "verify_one_file": "SELECT DISTINCT l_returnflag AS label, true AS own, false AS other FROM lineitem",
     "ingest": f"WITH {LARGE} SELECT label, count(*) AS n FROM large GROUP BY label",
 }

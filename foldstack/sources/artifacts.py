@@ -3,6 +3,10 @@
 Files are hashed in parallel, each by one task. Small ones are read as a column; larger ones are
 streamed in fixed-size pieces, so a file of any size needs the memory of one piece. A file that
 cannot be read has no hash and its error in a column of its own, and never verifies.
+
+A SHA-256 of a whole file is one stream. Beside it a manifest may hold a digest tree: each file is cut
+into ranges that many tasks hash at once, and a file's tree digest is that of its range digests in
+order. Ranges verify in parallel whatever the size of a file, and name what has changed.
 """
 
 from __future__ import annotations
@@ -31,10 +35,20 @@ PATTERNS = ("*.parquet", "*.json", "*.csv", "part-*")
 #: Larger files are streamed, in pieces of this many bytes.
 WHOLE_BYTES = 32 * 1024**2
 PIECE_BYTES = 4 * 1024**2
+#: Bytes of a range of the digest tree.
+RANGE_BYTES = 64 * 1024**2
 
 ENTRY_SCHEMA = T.StructType(
     [T.StructField("rel_path", T.StringType()), T.StructField("sha256", T.StringType())]
 )
+RANGE_SCHEMA = T.StructType(
+    [
+        T.StructField("rel_path", T.StringType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("sha256", T.StringType()),
+    ]
+)
 HEADER_SCHEMA = T.StructType(
     [
         T.StructField("created_at", T.StringType()),
@@ -52,11 +66,27 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return system.makeQualified(path).toString().rstrip("/")
 
 
-def _stream_sha256(uri: str) -> str:
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
-        system, path = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    else:
-        system, path = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def _range_sha256(uri: str, start: int, length: int) -> str:
+    system, path = _opened(uri)
+    digest, left = hashlib.sha256(), length
+    with system.open_input_file(path) as file:
+        file.seek(start)
+        while left and (piece := file.read(min(left, PIECE_BYTES))):
+            digest.update(piece)
+            left -= len(piece)
+    if left:
+        raise OSError(f"{left} bytes are missing from {start}")
+    return digest.hexdigest()
+
+
+def _stream_sha256(uri: str) -> str:
+    system, path = _opened(uri)
     digest = hashlib.sha256()
     with system.open_input_stream(path, compression=None, buffer_size=PIECE_BYTES) as stream:
         while piece := stream.read(PIECE_BYTES):
@@ -88,6 +118,63 @@ def _streamed(paths: DataFrame) -> DataFrame:
     )
 
 
+def _listed(spark: SparkSession, root: str, patterns: Sequence[str]) -> DataFrame:
+    """Matching files below the root; their content is read only where it is asked for."""
+    reader = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "{" + ",".join(patterns) + "}")
+    )
+    top = _qualified(spark, root)
+    below = F.expr(f"substring(path, {len(top) + 2})")
+    folders = F.col("rel_path").rlike(f"^(snapshots/)?{MANIFEST}/")
+    own = folders | F.col("rel_path").rlike(r"(^|/)manifest\.json$")
+    return reader.load(root).withColumn("rel_path", below).where(~own)
+
+
+def range_digests(
+    spark: SparkSession, root: str, patterns: Sequence[str] = PATTERNS, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """``(rel_path, start, length, sha256, error)`` of each range of each matching file below ``root``.
+
+    Ranges of all files are dealt evenly to tasks, so one large file is hashed by many. A range that
+    cannot be read has an error instead of a digest; Spark lists no empty files, so they have none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            hashes, errors = [], []
+            for uri, start, length in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "length"))):
+                try:
+                    hashes.append(_range_sha256(uri, start, length))
+                    errors.append(None)
+                except (OSError, ValueError) as problem:
+                    hashes.append(None)
+                    errors.append(f"{type(problem).__name__}: {problem}"[:500])
+            yield pa.record_batch(
+                [*(batch.column(n) for n in ("rel_path", "start", "length")), pa.array(hashes, pa.string()), pa.array(errors, pa.string())],
+                names=["rel_path", "start", "length", "sha256", "error"],
+            )
+
+    numbers = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / range_bytes) - 1)
+    listed = _listed(spark, root, patterns).where("length > 0")
+    cut = listed.select("rel_path", "path", F.col("length").alias("size"), F.explode(numbers).alias("number"))
+    start = F.col("number") * range_bytes
+    cut = cut.select("rel_path", "path", start.alias("start"), F.least(F.lit(range_bytes), F.col("size") - start).cast("long").alias("length"))
+    dealt = cut.repartition(max(2, spark.sparkContext.defaultParallelism), "rel_path", "start")
+    return dealt.mapInArrow(run, "rel_path string, start long, length long, sha256 string, error string")
+
+
+def tree_digests(ranges: DataFrame) -> DataFrame:
+    """``(rel_path, n_ranges, n_bytes, sha256)``: the digest of a file's range digests in order; null if one is missing."""
+    ordered = F.sort_array(F.collect_list(F.struct("start", F.coalesce("sha256", F.lit("")).alias("sha256"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["sha256"]), "")
+    whole = F.when(F.count_if(F.col("sha256").isNull()) == 0, F.sha2(joined.cast("binary"), 256))
+    return ranges.groupBy("rel_path").agg(
+        F.count(F.lit(1)).alias("n_ranges"), F.sum("length").alias("n_bytes"), whole.alias("sha256")
+    )
+
+
 def artifact_hashes(
     spark: SparkSession,
     root: str,
@@ -98,16 +185,7 @@ def artifact_hashes(
 
     Left out are the root's own manifest folders and files named ``manifest.json``.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "{" + ",".join(patterns) + "}")
-    )
-    top = _qualified(spark, root)
-    below = F.expr(f"substring(path, {len(top) + 2})")
-    folders = F.col("rel_path").rlike(f"^(snapshots/)?{MANIFEST}/")
-    own = folders | F.col("rel_path").rlike(r"(^|/)manifest\.json$")
-    listed = reader.load(root).withColumn("rel_path", below).where(~own)
+    listed = _listed(spark, root, patterns)
     small = listed.where(F.col("length") <= whole_bytes).select(
         "rel_path", sha256("content").alias("sha256"), F.lit(None).cast("string").alias("error")
     )
@@ -138,8 +216,12 @@ def unreadable(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("sha256").isNull()).select("rel_path", "error")
 
 
-def write_manifest(header: DataFrame, entries: DataFrame, root: str) -> None:
+def write_manifest(header: DataFrame, entries: DataFrame, root: str, ranges: DataFrame | None = None) -> None:
+    """Store a manifest, with the digest tree's ranges if there are some."""
+
     def write(folder: str) -> None:
+        if ranges is not None:
+            ranges.select(*RANGE_SCHEMA.fieldNames()).write.json(f"{folder}/ranges")
         header.write.json(f"{folder}/header")
         entries.select("rel_path", "sha256").write.json(f"{folder}/artifacts")
 
@@ -172,6 +254,24 @@ def verify_manifest(spark: SparkSession, root: str) -> DataFrame:
     return compare_hashes(stored[1], artifact_hashes(spark, root))
 
 
+def verify_ranges(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(rel_path, start, length, ok)``: listed ranges, and ranges that listed files have gained, against the files.
+
+    A changed, missing or unreadable range fails, as does one beyond the end that a file had; files
+    that the manifest does not list are ignored. Without stored ranges there are no rows.
+    """
+    found = snapshots.current(spark, root, MANIFEST)
+    if found is None or not exists(spark, f"{found.path}/ranges"):
+        return spark.createDataFrame([], "rel_path string, start long, length long, ok boolean")
+    stored = spark.read.schema(RANGE_SCHEMA).json(f"{found.path}/ranges")
+    listed = stored.select("rel_path").distinct()
+    now = range_digests(spark, root, range_bytes=range_bytes).join(listed, "rel_path", "left_semi")
+    now = now.select("rel_path", "start", F.col("length").alias("_length"), F.col("sha256").alias("_sha256"))
+    same = (F.col("sha256") == F.col("_sha256")) & (F.col("length") == F.col("_length"))
+    joined = stored.join(now, ["rel_path", "start"], "full")
+    return joined.select("rel_path", "start", F.coalesce("length", "_length").alias("length"), F.coalesce(same, F.lit(False)).alias("ok"))
+
+
 def verify_file(spark: SparkSession, root: str, rel_path: str, expected: str) -> bool:
     """Does one file have the expected hash? A missing file does not."""
     if not exists(spark, f"{root}/{rel_path}"):

@@ -30,7 +30,7 @@ def _sorted_rows(frame):
 
 #: Model queries take their time; these stand for the others, which the same SQL forms check.
 FITTED = ("evaluate_model", "predictions_csv", "train_model")
-UNFITTED = ("artifact_manifest", "manifest_verify", "split_renewed", "split_reuse", "verify_one_file")
+UNFITTED = ("artifact_manifest", "manifest_ranges", "manifest_verify", "split_renewed", "split_reuse", "verify_one_file")
 
 
 @pytest.mark.parametrize("name", sorted((set(ORACLE) - set(MODELLING)) | set(FITTED) | set(UNFITTED)))

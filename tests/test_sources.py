@@ -259,3 +259,32 @@ def test_readers_keep_the_snapshot_they_hold(spark, windows, tmp_path):
     assert held.count() == 4 and tables.read_windows(spark, base).count() == 6
     tables.write_windows(windows.limit(8), base)  # the first one goes now
     assert len(list((tmp_path / "snapshots" / "train").iterdir())) == 2
+
+
+def test_ranges_of_a_file_are_hashed_and_checked_apart(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    data = bytes(i * 7 % 251 for i in range(10_000))
+    (root / "large.csv").write_bytes(data)
+    (root / "empty.csv").write_bytes(b"")
+    (root / "even.csv").write_bytes(data[:2000])
+    (root / "gone.csv").write_bytes(data[:10])
+    ranges = artifacts.range_digests(spark, str(root), range_bytes=1000)
+    found = {(r["rel_path"], r["start"]): (r["length"], r["sha256"]) for r in ranges.collect()}
+    wanted = {("large.csv", i): (1000, hashlib.sha256(data[i : i + 1000]).hexdigest()) for i in range(0, 10_000, 1000)}
+    wanted |= {("even.csv", i): (1000, hashlib.sha256(data[i : i + 1000]).hexdigest()) for i in (0, 1000)}
+    wanted["gone.csv", 0] = (10, hashlib.sha256(data[:10]).hexdigest())
+    assert found == wanted  # Spark lists no empty files
+    trees = {r["rel_path"]: r for r in artifacts.tree_digests(ranges).collect()}
+    joined = "".join(wanted["large.csv", i][1] for i in range(0, 10_000, 1000))
+    assert trees["large.csv"]["sha256"] == hashlib.sha256(joined.encode()).hexdigest() and trees["large.csv"]["n_bytes"] == 10_000
+    assert artifacts.verify_ranges(spark, str(root), 1000).isEmpty()
+    header, entries = artifacts.create_manifest(spark, str(root))
+    artifacts.write_manifest(header, entries, str(root), ranges)
+    assert artifacts.verify_ranges(spark, str(root), 1000).where("not ok").isEmpty()
+    (root / "large.csv").write_bytes(data[:3500] + b"!" + data[3501:] + b"more")
+    (root / "even.csv").write_bytes(data[:1500])
+    (root / "gone.csv").unlink()
+    (root / "other.csv").write_bytes(b"not listed")
+    failed = {(r["rel_path"], r["start"]) for r in artifacts.verify_ranges(spark, str(root), 1000).where("not ok").collect()}
+    assert failed == {("large.csv", 3000), ("large.csv", 10_000), ("even.csv", 1000), ("gone.csv", 0)}
