@@ -118,11 +118,11 @@ class _Rows:
         rows = np.flatnonzero((where >= 0) & self.taken)
         cells = self.bins[rows[:, None], columns] + np.arange(len(columns)) * n_bins
         cells = (cells + (where[rows] * (len(columns) * n_bins))[:, None]).ravel()
-        shape = (len(active), len(columns), n_bins)
-        out = [
-            np.bincount(cells, np.repeat(x[rows, tree], len(columns)), int(np.prod(shape))).reshape(shape) for x in (self.g, self.h)
-        ]
-        return np.stack(out).astype(np.int64)  # whole numbers below 2^53
+        shape = (2, len(active), len(columns), n_bins)
+        out = np.empty((2, int(np.prod(shape[1:]))))
+        for at, x in enumerate((self.g, self.h)):
+            out[at] = np.bincount(cells, np.repeat(x[rows, tree], len(columns)), out.shape[1])
+        return out.reshape(shape)  # whole numbers below 2^53
 
     def descend(self, trees: Trees, level: int) -> None:
         """Move rows at a level's split nodes to their children."""
@@ -166,7 +166,8 @@ def plant(trees: Trees, tree: int, active: np.ndarray, splits: list[tuple], colu
             trees.feature[tree, node], trees.bin[tree, node] = columns[column], bin_
             trees.value[tree, 2 * node + 1] = value(g, h)
             trees.value[tree, 2 * node + 2] = value(all_g - g, all_h - h)
-            below += [2 * node + 1, 2 * node + 2]
+            # A node that cannot give both children their least share of Hessians stays a leaf.
+            below += [2 * node + 1 + side for side, x in enumerate((h, all_h - h)) if x >= 2 * settings.least]
     return np.array(below, np.int64)
 
 
@@ -219,7 +220,7 @@ def _fit_parts(
                         for tree in range(n_trees):
                             nodes = active[model][tree]
                             if len(nodes):
-                                found = rows.sums(tree, nodes, n_bins)
+                                found = rows.sums(tree, nodes, n_bins).astype(np.int64)
                                 for i in range(len(nodes)):
                                     yield (model, tree, i), found[:, i : i + 1]
 
