@@ -418,7 +418,8 @@ ORACLE: dict[str, str] = {
     "oof_fold_report": f"""WITH {WINDOWS}, {_folds('windows')}
         SELECT fold, count(*) AS n, true AS in_range FROM folded GROUP BY fold""",
     "split_renewed": f"WITH {WINDOWS}, {_folds('windows')} SELECT window_id, label, fold FROM folded",
-    "train_model": _trained("rf", "embeddings"),
+    "train_model": f"""SELECT unnest(['logreg', 'rf', 'xgb']) AS model, part, n, in_range, true AS learned
+        FROM ({_trained("any", "embeddings")})""",
     "forest_out_of_bag": """SELECT n AS n_rows, n AS n_windows, n AS n_voted, n AS n_sound
         FROM (SELECT count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS n FROM embeddings)""",
     "train_large": _trained("logreg", "lineitem"),
