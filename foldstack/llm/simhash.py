@@ -277,8 +277,8 @@ def alike_links(
     return out
 
 
-def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
-    """``(src, dst)``: marks of texts in ``members (root, n, mark, fp, text)`` whose likeness is confirmed.
+def _alike_texts(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
+    """``(mark, group)`` of texts in ``members (root, n, mark, fp, text)``: one group for all whose likeness is confirmed.
 
     A group of candidates is cut into parts of about ``BLOCK`` texts by a hash. Each part is joined first; then every
     two parts are compared in a task of their own, which starts from what they joined and links only what is apart.
@@ -305,9 +305,9 @@ def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> Dat
         fps, sets = read(table)
         label = np.unique(table.column("head").to_numpy(zero_copy_only=False), return_inverse=True)[1]
         found = alike_links(fps, sets, table.column("part").to_numpy(), label, bits, share)
-        marks = table.column("mark")
+        heads = table.column("head")
         one, other = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
-        return pa.table([marks.take(one), marks.take(other)], names=["src", "dst"])
+        return pa.table([heads.take(one), heads.take(other)], names=["src", "dst"])
 
     names = ["root", "mark", "fp", "part", "parts"]
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -319,7 +319,8 @@ def _alike_pairs(members: DataFrame, bits: int, words: int, share: float) -> Dat
     low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
     met = met.select("root", low, high, "mark", "fp", "part", "sets", "head")
     across = met.groupBy("root", "low", "high").applyInArrow(compare, "src binary, dst binary")
-    return across.unionByName(joined.filter("mark <> head").select(F.col("mark").alias("src"), F.col("head").alias("dst")))
+    roots = connected(across).select(F.col("node").alias("head"), "root")  # of parts' heads alone
+    return joined.select("mark", "head").join(roots, "head", "left").select("mark", F.coalesce("root", "head").alias("group"))
 
 
 def keep_first_alike(
@@ -344,8 +345,7 @@ def keep_first_alike(
     shared = store(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
     members = store(rooted.join(shared, "root").select("id", "mark", "fp", "root", "n"), "near-members")
     wanted = keyed.join(members, ["id", "mark"]).select("root", "n", "mark", "fp", "text").dropDuplicates(["mark"])
-    pairs = store(_alike_pairs(wanted, bits, words, share), "near-pairs")
-    alike_to = connected(pairs).select(F.col("node").alias("mark"), F.col("root").alias("group"))
+    alike_to = _alike_texts(wanted, bits, words, share)
     grouped = store(texts.select("id", "mark").join(alike_to, "mark", "left"), "near-grouped")
     key = F.struct("id", "mark").alias("key")
     first = grouped.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "mark")).alias("key")).select("key")
