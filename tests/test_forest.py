@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from foldstack.operators.binning import bin_edges, blocks, to_bins
@@ -140,3 +141,21 @@ def test_out_of_bag_votes(spark):
         row = found[ids[key]]
         assert row["trees"] == trees[i] and row["y"] == block["y"][i]
         assert row["proba"] is None if not trees[i] else row["proba"] == pytest.approx(share[i] / trees[i], abs=1e-6)
+
+
+def test_trees_stay_out_of_the_driver(spark, tmp_path):
+    x, y = made(200, 4, 3)
+    rows = frame(spark, x, y)
+    few, many = (forest.ForestClasses(3, 64, Growing(n, 2, seed=3)).fit_many(rows, "x", [None, 1], 200) for n in (2, 40))
+    size = lambda model: sum(len(str(v)) for v in model.extractParamMap().values())
+    assert abs(size(few[1]) - size(many[1])) < 10  # what the driver holds does not grow with the trees
+    model = many[1]
+    model.write().save(str(tmp_path / "forest"))
+    again = forest.ForestTrees.load(str(tmp_path / "forest"))
+    assert again.getOrDefault(again.stored) != model.getOrDefault(model.stored)
+    edges = bin_edges(rows, "x", 64)
+    wanted = fit_forest(blocks(rows, edges, "x", 1), [1], 3, edges, Growing(40, 2, seed=3))[0]
+    vectors = rows.select("window_id", array_to_vector("x").alias("_vector"))
+    for one in (model, again):
+        found = {r["window_id"]: r["_probability"] for r in one.transform(vectors).collect()}
+        assert np.array_equal([found[f"w{i}"] for i in range(200)], votes(to_bins(x, edges), wanted) / 40)
