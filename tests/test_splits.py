@@ -111,6 +111,22 @@ def test_join_per_class_agrees_within_and_beyond_the_broadcast_bound(spark):
     assert small.exceptAll(salted).isEmpty() and salted.exceptAll(small).isEmpty()
 
 
+def test_a_table_of_many_classes_is_never_broadcast_in_copies(spark):
+    df, _ = _table(spark, {"big": 400, **{f"class-{i}": 2 for i in range(300)}})
+    coded = classes.join_per_class(df, classes.class_table(df).select("label", "code"), limit=20)
+    wanted = {"big": 0, **{c: i + 1 for i, c in enumerate(sorted(f"class-{i}" for i in range(300)))}}
+    assert {(r["label"], r["code"]) for r in coded.collect()} == set(wanted.items()) and coded.count() == 1000
+    plan = coded._jdf.queryExecution().toString()
+    final = plan[plan.index("== Physical Plan =="):]
+    assert "SortMergeJoin" in final
+    # Copies are made for classes with many rows alone, not for all 301.
+    assert _rows_of(classes.heavy_classes(classes.label_distribution(df), 20)) == ["big"]
+
+
+def _rows_of(df):
+    return sorted(r[0] for r in df.collect())
+
+
 def test_many_classes_split_alike(spark):
     sizes = {f"class-{i}": 1 + i % 4 for i in range(300)}
     df, rows = _table(spark, sizes)
