@@ -4,9 +4,11 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from foldstack.operators import contract, splits
+from foldstack.queries import modelling
 from foldstack.sources import artifacts, snapshots, scratch, synthetic, tables
 
 
@@ -288,3 +290,19 @@ def test_ranges_of_a_file_are_hashed_and_checked_apart(spark, tmp_path):
     (root / "other.csv").write_bytes(b"not listed")
     failed = {(r["rel_path"], r["start"]) for r in artifacts.verify_ranges(spark, str(root), 1000).where("not ok").collect()}
     assert failed == {("large.csv", 3000), ("large.csv", 10_000), ("even.csv", 1000), ("gone.csv", 0)}
+
+
+def test_a_file_per_label_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    labels = ["A", "N", None, "A", "N/x", "A"]
+    rows = spark.createDataFrame([(f"w{i}", c, [float(i)]) for i, c in enumerate(labels)], "window_id string, label string, features array<double>")
+    monkeypatch.setattr(modelling.fx, "large_windows", lambda *args: rows.repartition(3))
+
+    def refused(*args):
+        raise AssertionError("a partitioned write sorts the rows of its task")
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", refused)
+    root = modelling._files_by_label(spark, "unused")
+    found = artifacts.artifact_hashes(spark, root)
+    assert found.count() == 4 and found.where("error is not null").isEmpty()
+    read = spark.read.parquet(f"{root}/windows").groupBy("label").agg(F.sort_array(F.collect_list("window_id")).alias("ids"))
+    assert {r["label"]: r["ids"] for r in read.collect()} == {"A": ["w0", "w3", "w5"], "N": ["w1"], None: ["w2"], "N/x": ["w4"]}
