@@ -132,3 +132,18 @@ def test_full_rounds_learn(spark):
     fresh, wanted = made(300, 5, 3, seed=2)
     p = probabilities(margins_of(to_bins(fresh, edges), model))
     assert (p.argmax(axis=1) == wanted).mean() > 0.9 and np.allclose(p.sum(axis=1), 1)
+
+
+def test_of_two_children_one_is_summed(monkeypatch):
+    rng = np.random.default_rng(7)
+    block = {
+        "bins": rng.integers(0, 9, (2000, 4)).astype(np.uint8), "y": rng.integers(0, 3, 2000).astype(np.int32),
+        "fold": np.zeros(2000, np.int32), "key": rng.integers(0, 2**63, 2000).astype(np.uint64),
+    }
+    settings, sums_of, summed = Boosting(3, 5, 0.3, 1.0, 0.8, seed=2), boosting.sums_of, []
+    monkeypatch.setattr(boosting, "sums_of", lambda *args: summed.append(len(args[2])) or sums_of(*args))
+    found = fit_part(block, None, 3, 9, settings)
+    assert sum(summed) <= 3 * 3 * 2000 * (1 + 4 / 2)  # whole once, then at most half of the rows a level
+    monkeypatch.setattr(boosting._Rows, "sums_below", lambda self, tree, active, above, held, n_bins: self.sums(tree, active, n_bins))
+    wanted = fit_part(block, None, 3, 9, settings)
+    assert all(np.array_equal(found[n], wanted[n]) for n in wanted) and sum(summed) > 3 * 3 * 2000 * 5
