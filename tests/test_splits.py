@@ -137,6 +137,20 @@ def test_many_classes_split_alike(spark):
     assert max(totals.values()) - min(totals.values()) <= 1
 
 
+def test_ranks_count_large_classes_alone(spark, monkeypatch):
+    df, rows = _table(spark, {"big": 700, **{f"class-{i}": 1 + i % 6 for i in range(200)}})
+    quota = splits.holdout_quotas(Counter(c for _, c in rows), 0.2)
+    assert len({quota[f"class-{i}"] for i in range(0, 200, 6)} | {quota[f"class-{i}"] for i in range(3, 200, 6)}) > 1  # cut inside a size
+    for limit in (100, 10_000):  # with a large class alone, and with every class large
+        monkeypatch.setattr(splits, "heavy_classes", lambda sizes, n=limit: classes.heavy_classes(sizes, n))
+        ranked = splits.assign_holdout_by_rank(df, 7)
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert "unhex(md5" in plan and "_large" in plan  # 16 bytes of hash, and buckets where they are needed
+        found = ranked.where("fold = 0").groupBy("label").agg(F.count("*").alias("n")).collect()
+        assert {r["label"]: r["n"] for r in found} == {c: n for c, n in quota.items() if n}
+        assert {r["window_id"]: r["fold"] for r in splits.assign_folds_by_rank(df, 7, 5).collect()} == _brute_force(rows, 7, 5)
+
+
 def test_class_list_refuses_unbounded_labels(spark):
     df, _ = _table(spark, {"a": 1, "b": 1, "c": 1})
     assert classes.class_list(df) == ["a", "b", "c"]
