@@ -159,3 +159,47 @@ def test_trees_stay_out_of_the_driver(spark, tmp_path):
     for one in (model, again):
         found = {r["window_id"]: r["_probability"] for r in one.transform(vectors).collect()}
         assert np.array_equal([found[f"w{i}"] for i in range(200)], votes(to_bins(x, edges), wanted) / 40)
+
+
+@pytest.mark.parametrize("classes, leaf", [(4, 1), (10, 1), (10, 3), (40, 2)])
+def test_divisions_equal_those_counted_by_class(classes, leaf):
+    rng = np.random.default_rng(classes + leaf)
+    for n_rows, n_nodes, n_bins in ((900, 150, 256), (900, 150, 3), (4000, 4, 64)):
+        nodes, y, w = np.arange(n_rows) * n_nodes // n_rows, rng.integers(0, classes, n_rows), rng.integers(1, 4, n_rows)
+        values = rng.integers(0, n_bins, (n_rows, 3)).astype(np.uint8)
+        values[:, 2] = values[:, 1]  # equal scores: the first column counts
+        totals = np.bincount(nodes * classes + y, w, n_nodes * classes).reshape(-1, classes).astype(np.int64)
+        weights = balanced(totals.sum(axis=0))
+        weights[0] *= 1e5  # a rare class outweighs the others
+        cells, counts = forest.cells_of(
+            ((nodes[:, None] * 3 + np.arange(3)) * n_bins + values).ravel(), np.repeat(y, 3), np.repeat(w, 3), n_nodes * 3 * n_bins, classes
+        )
+        wanted = forest.choose(cells, counts, totals, weights, n_bins, 3, leaf)
+        some = values, nodes, y, w, totals, weights
+        for found in (forest.divide(*some, leaf), forest.divide_dense(*some, n_bins, leaf), forest._split(*some, n_bins, leaf)):
+            order = np.argsort(found[0])
+            assert all(np.array_equal(a, b[order]) for a, b in zip(wanted, found))
+
+
+def test_no_number_per_class_of_small_nodes(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, classes = 3000, 10
+    bins, y = rng.integers(0, 256, (n, 12)).astype(np.uint8), rng.integers(0, classes, n).astype(np.int32)
+    weighed, score, choose = [], forest._score, forest.choose
+    monkeypatch.setattr(forest, "_score", lambda left, right: weighed.append(left.size) or score(left, right))
+    monkeypatch.setattr(forest, "choose", lambda found, counts, *rest: weighed.append(counts.size) or choose(found, counts, *rest))
+    tree = forest.grow(bins, y, np.ones(n, np.int64), np.ones(classes), np.array([7], np.uint64), 256, Growing(1, 4, seed=1))
+    assert len(tree["feature"]) > 1500  # some 11 levels of 3,000 rows in 4 columns, which are 1.3 million numbers
+    assert sum(weighed) < 3000 * 4 * classes * 2
+
+
+def test_nodes_are_divided_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 40, (2000, 6)).astype(np.uint8), rng.integers(0, 5, 2000).astype(np.int32)
+    args = bins, y, rng.integers(0, 3, 2000), np.ones(5), np.array([3], np.uint64), 40, Growing(1, 2, seed=1)
+    wanted = forest.grow(*args)
+    monkeypatch.setattr(forest, "DRAWN", 100)
+    monkeypatch.setattr(forest, "CELLS", 1)
+    monkeypatch.setattr(forest, "WEIGHED", 7)
+    found = forest.grow(*args)
+    assert all(np.array_equal(found[n], wanted[n]) for n in wanted)
