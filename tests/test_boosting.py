@@ -147,3 +147,30 @@ def test_of_two_children_one_is_summed(monkeypatch):
     monkeypatch.setattr(boosting._Rows, "sums_below", lambda self, tree, active, above, held, n_bins: self.sums(tree, active, n_bins))
     wanted = fit_part(block, None, 3, 9, settings)
     assert all(np.array_equal(found[n], wanted[n]) for n in wanted) and sum(summed) > 3 * 3 * 2000 * 5
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_rows_of_equal_bins_count_as_one(monkeypatch, classes):
+    rng = np.random.default_rng(classes)
+    block = {
+        "bins": rng.integers(0, 5, (4000, 3)).astype(np.uint8), "y": rng.integers(0, classes, 4000).astype(np.int32),
+        "fold": rng.integers(0, 3, 4000).astype(np.int32), "key": rng.integers(0, 2**63, 4000).astype(np.uint64),
+    }
+    settings, sums_of, summed = Boosting(4, 4, 0.3, 0.8, 0.8, seed=2), boosting.sums_of, []
+    monkeypatch.setattr(boosting, "sums_of", lambda *args: summed.append(len(args[2])) or sums_of(*args))
+    n_trees = 1 if classes == 2 else classes
+    found = fit_part(block, 1, n_trees, 5, settings)
+    assert max(summed) <= 5**3  # not the 2,100 rows that a round takes
+    monkeypatch.setattr(boosting._Rows, "joined", lambda self: self)
+    wanted = fit_part(block, 1, n_trees, 5, settings)
+    assert all(np.array_equal(found[n], wanted[n]) for n in wanted) and max(summed) > 2000
+
+
+def test_tables_are_one_part_by_what_a_task_holds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(boosting, "blocks", lambda rows, edges, column, partitions: asked.append(partitions) or blocks(rows, edges, column, 1))
+    x, y = made(60, 4, 2)
+    learner = boosting.BoostedClasses(2, 16, Boosting(1, 2, 0.3, 0.8, 0.8))
+    for n_rows in (60, 3_600_000, 36_000_000):  # as if there were so many: a level of rounds is a job only beyond a task's share
+        learner.fit_many(frame(spark, x, y), "x", [None], n_rows)
+    assert asked[:2] == [1, 1] and asked[2] > 1
