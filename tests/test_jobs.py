@@ -1,5 +1,7 @@
 """The jobs end to end on separable data, with their guarantees as properties."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ import foldstack
 from foldstack.operators import stacking, splits
 from foldstack.operators.contract import ContractError
 from foldstack.plans import audit as checks
-from foldstack.plans import jobs
+from foldstack.plans import fitting, jobs
 from foldstack.plans.fitting import cross_validate, fit_folds, fit_model, layout_partitions, training_frame
 from foldstack.plans.models import BASE_MODELS, FitContext, get_model, list_models
 from foldstack.queries import modelling
@@ -446,3 +448,24 @@ def test_registered_stacks_take_every_base_model(spark, sf, monkeypatch):
         with pytest.raises(StopIteration):
             query(spark, sf)
         assert seen == [(step, BASE_MODELS) for step in steps.split()]
+
+
+def test_boosting_runs_beside_the_other_models(spark):
+    rows = spark.createDataFrame([(f"w{i}", "ab"[i % 2], i % 3, [float(i), 1.0]) for i in range(30)], "window_id string, label string, fold int, features array<double>")
+    met, seen = threading.Barrier(2), []
+
+    def run(name):
+        seen.append(name)
+        if name in ("xgb", "logreg"):
+            met.wait(60)  # breaks if one waits for the other to end
+        return name.upper()
+
+    with fitting.training_frame(rows) as frame:
+        assert fitting.each_model(frame, ["rf", "xgb", "logreg"], run) == ["RF", "XGB", "LOGREG"]
+        assert seen[-1] == "rf"  # forests after those with short jobs
+
+        def broken(name):
+            raise ValueError(name)
+
+        with pytest.raises(ValueError, match="xgb|rf"):
+            fitting.each_model(frame, ["rf", "xgb"], broken)
