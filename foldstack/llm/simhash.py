@@ -6,13 +6,15 @@ block. A subtree of too many fingerprints is not capped: its free bits are cut i
 sixteen bits are free it holds 65,536 at most. Inside a subtree node pairs descend together, differing bits add up, and
 a pair over budget is dropped. Of the links found only a spanning forest leaves the task.
 
-A budget wide enough for all near copies also joins texts that only resemble each other. ``keep_first_alike`` takes the
-groups joined so as candidates and links only pairs inside them whose word shingles are alike enough by Jaccard; a
-group of any size is confirmed in parts.
+A budget wide enough for all near copies prunes little of a trie, and also joins texts that only resemble each other.
+``keep_first_alike`` asks for alike word shingles by Jaccard as well, so it compares fingerprints only of texts that share
+one of their first shingles in the order of hashes, as any two that are alike enough do. The groups joined so are
+candidates: only pairs inside them whose shingles are alike enough are linked; a group of any size is confirmed in parts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,6 +35,8 @@ SUBTREE = 1 << 16
 FRONTIER = 1 << 18
 #: A leaf of a trie holds no more fingerprints; its members are compared directly, so many pairs at a time.
 LEAF, PAIRS = 64, 1 << 18
+#: Fingerprints of texts with one shingle that are compared pair by pair, and beyond which they go to the trie of all such.
+FEW, MANY = 16, 1 << 14
 #: Texts whose shingles one task compares with as many others.
 BLOCK = 256
 
@@ -277,6 +281,84 @@ def alike_links(
     return out
 
 
+def _first_shingles(rows: DataFrame, words: int, share: float) -> DataFrame:
+    """``(id, mark, fp, runs)`` of ``rows (id, text, mark)``: ``runs`` are the first shingles by hash.
+
+    Two sets whose Jaccard similarity is ``share`` have that share of each in common at least; so the first of what they
+    have in common is among the first of either, without the last ``share`` of its shingles but one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column("text")]
+            fps = np.array([simhash(x) for x in texts], dtype=np.uint64).view(np.int64)
+            first = []
+            for text in texts:
+                found = shingles(text, words)
+                first.append(found[: len(found) - math.ceil(share * len(found) - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, "<u8")]).view(np.int64)))
+            yield pa.record_batch([batch.column("id"), batch.column("mark"), pa.array(fps), runs], names=["id", "mark", "fp", "runs"])
+
+    return rows.mapInArrow(released(run), "id long, mark binary, fp long, runs array<long>")
+
+
+def _near_in_groups(groups: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of distinct values within ``bits`` places in sorted groups, of large ones only as many as join the same."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    sizes = np.diff(np.r_[starts, len(groups)])
+    size, out = np.repeat(sizes, sizes), [(np.zeros(0, np.uint64),) * 2]
+    place = np.arange(len(groups)) - np.repeat(starts, sizes)
+    for lag in range(1, FEW):
+        at = np.flatnonzero((size <= FEW) & (place + lag < size))
+        if not len(at):
+            break
+        at = at[np.bitwise_count(values[at] ^ values[at + lag]) <= bits]
+        out.append((values[at + lag], values[at]))
+    for lo, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        out.append(spanning_links(values[lo : lo + n], bits))
+    found = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)  # texts share many runs
+    return found[:, 0], found[:, 1]
+
+
+def shared_links(rows: DataFrame, bits: int, subtree: int = SUBTREE, many: int = MANY) -> DataFrame:
+    """``(src, dst)``: links that join all ``fp`` of ``rows (fp, runs)`` within ``bits`` places that have a run in common.
+
+    Fingerprints of a run that more than ``many`` have are joined with those of all such runs, whether they share one or
+    not: by :func:`links`, whose tasks are bounded.
+    """
+
+    def run(batches):
+        rest_g, rest_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def flush(groups, values):
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            sizes = np.diff(np.r_[starts, len(groups)])
+            size = np.repeat(sizes, sizes)
+            some = (size > 1) & (size <= many)
+            src, dst = _near_in_groups(groups[some], values[some], bits) if some.any() else (np.zeros(0, np.uint64),) * 2
+            crowd = np.unique(values[size > many])
+            arrays = [pa.array(np.concatenate([x, crowd]).view(np.int64)) for x in (src, dst)]
+            return pa.record_batch([*arrays, pa.array(np.arange(len(src) + len(crowd)) >= len(src))], names=["src", "dst", "crowd"])
+
+        for batch in batches:
+            g = np.concatenate([rest_g, batch.column("run").to_numpy()])
+            v = np.concatenate([rest_v, batch.column("fp").to_numpy().view(np.uint64)])
+            new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])] if len(g) else np.zeros(0, bool)
+            g, v = g[new], v[new]
+            last = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            if last:
+                yield flush(g[:last], v[:last])
+            rest_g, rest_v = g[last:], v[last:]
+        if len(rest_g):
+            yield flush(rest_g, rest_v)
+
+    dealt = rows.select("fp", F.explode("runs").alias("run")).repartition("run").sortWithinPartitions("run", F.col("fp"))
+    found = store(dealt.mapInArrow(released(run), "src long, dst long, crowd boolean").distinct(), "near-shared-links")
+    near, crowd = found.filter("not crowd").select("src", "dst"), found.filter("crowd").select(F.col("src").alias("fp"))
+    return near if crowd.isEmpty() else near.unionByName(links(crowd, bits, subtree))
+
+
 def _alike_texts(members: DataFrame, bits: int, words: int, share: float) -> DataFrame:
     """``(mark, group)`` of texts in ``members (root, n, mark, fp, text)``: one group for all whose likeness is confirmed.
 
@@ -333,14 +415,14 @@ def keep_first_alike(
     missing id counts as the largest; rows that repeat a text are near copies whatever their ids, and different texts
     under one id are told apart. An empty table gives none.
 
-    Candidates are the groups that the trie joins. Only texts in a group with another one are cut into shingles, and
-    pairs are confirmed part by part; a text is known by its SHA-256.
+    Candidates are groups of texts that share a first shingle and are within ``bits`` places; their pairs are confirmed
+    part by part. A text is known by its SHA-256.
     """
     mark = F.unhex(F.sha2(whole(text).cast("binary"), 256))
     keyed = narrow(docs, id=null_as(doc_id, HIGHEST), text=whole(text), mark=mark)
-    rows = _fingerprints(keyed, SHINGLE)
+    rows = store(_first_shingles(keyed, words, share), "near-runs")
     texts = store(rows.groupBy("mark").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "near-texts")
-    roots = connected(links(texts, bits, subtree)).select(F.col("node").alias("fp"), "root")
+    roots = connected(shared_links(rows, bits, subtree)).select(F.col("node").alias("fp"), "root")
     rooted = store(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-rooted")
     shared = store(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "near-shared")
     members = store(rooted.join(shared, "root").select("id", "mark", "fp", "root", "n"), "near-members")

@@ -1,6 +1,7 @@
 """Exact, near, line and passage duplicates against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
@@ -400,3 +401,44 @@ def test_large_groups_are_confirmed_in_parts(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         kept = simhash.keep_first_alike(docs(spark, rows), 45, share=0.7)
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("many", [3, 1000])
+def test_only_texts_with_a_run_in_common_are_compared(spark, many):
+    rng = np.random.default_rng(6)
+    heads = rng.integers(0, 2**63, 6).astype(np.uint64)
+    fps = np.concatenate([h ^ (np.uint64(1) << rng.integers(0, 63, 25).astype(np.uint64)) for h in heads])  # all of a head are near
+    runs = [sorted({int(x) for x in rng.integers(0, 30, 2)} | ({99} if i % 25 < 20 and i < 25 else set())) for i in range(len(fps))]
+    rows = spark.createDataFrame([(int(f), r) for f, r in zip(fps.view(np.int64), runs)], "fp long, runs array<long>")
+    found = simhash.shared_links(rows, 4, many=many)
+    root = {int(f): int(f) for f in fps.view(np.int64)}
+    for i in range(len(fps)):
+        for j in range(i):
+            if int(fps[i] ^ fps[j]).bit_count() <= 4 and set(runs[i]) & set(runs[j]):
+                a, b = sorted((root[int(fps.view(np.int64)[i])], root[int(fps.view(np.int64)[j])]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    joined = {r.node: r.root for r in components.connected(found).collect()}
+    for i, j in itertools.combinations(root, 2):
+        if root[i] == root[j]:
+            assert joined[i] == joined[j]  # every such pair is a candidate
+    if many == 1000:
+        shared = {int(f): set() for f in fps.view(np.int64)}
+        for f, r in zip(fps.view(np.int64), runs):
+            shared[int(f)] |= set(r)
+        assert all(shared[r.src] & shared[r.dst] for r in found.collect())  # and no other: near ones without a run are apart
+
+
+def test_alike_texts_share_a_first_run(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(3, 90, 60)]
+    for t in list(texts):
+        w = t.split()
+        w[int(rng.integers(len(w)))] = "other"
+        texts += [" ".join(w), t + " end", " ".join(t.split()[1:])]
+    frame = spark.createDataFrame([(i, t, bytes([i % 256])) for i, t in enumerate(texts)], "id long, text string, mark binary")
+    first = {r.id: set(r.runs) for r in simhash._first_shingles(frame, 5, 0.8).collect()}
+    sets = [simhash.shingles(t) for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if simhash.alike(sets[i], sets[j])]
+    assert len(alike) > 60 and all(first[i] & first[j] for i, j in alike)
+    assert sum(map(len, first.values())) < 0.35 * sum(map(len, sets))
